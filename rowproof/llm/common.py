@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowproof.session import ship
+
 #: Rows in one Arrow batch: whole texts of up to some 100 KB stay within tens of MB.
 BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, for columns of whole texts and files."""
+    """Bound what one Arrow batch holds, for columns of whole texts and files, and ship the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

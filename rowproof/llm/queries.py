@@ -7,19 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowproof.llm import bpe
+from rowproof.llm import bpe, gif, toxicity
 from rowproof.llm.common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return gif.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_gif": op3_gif,
     "op7_bpe": op7_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {}
