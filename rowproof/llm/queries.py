@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowproof.llm import bpe, gif, toxicity
+from rowproof.llm import bpe, gif, linededup, mixing, simhash, toxicity
 from rowproof.llm.common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,11 +18,25 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.cleaned(pages, "source", "text")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -30,8 +44,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gif": op3_gif,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
     "op7_bpe": op7_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_mixing": mixing.oracle(),
+    "op8_line_dedup": linededup.SQL,
+}
