@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowproof.llm import bpe, gif, linededup, mixing, simhash, toxicity
+from rowproof.llm import bpe, gif, linededup, mixing, multiindex, simhash, toxicity, warc
 from rowproof.llm.common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return multiindex.links(table(spark, sf_dir, "embeddings"))
+
+
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return gif.digests(table(spark, sf_dir, "documents"))
@@ -27,6 +32,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -43,9 +53,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_multi_index": op2_multi_index,
     "op3_gif": op3_gif,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
@@ -53,5 +65,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_mixing": mixing.oracle(),
+    "op6_warc": f"""
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, url, octet_length(b) AS n, sha256(b) AS digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= {warc.MIN_REVISIT} AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= {warc.MIN_REVISIT} AND page_id IS DISTINCT FROM least THEN least END AS refers_to, url
+        FROM f""",
     "op8_line_dedup": linededup.SQL,
 }
