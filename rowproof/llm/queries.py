@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowproof.llm import bpe, gif, linededup, mixing, multiindex, simhash, toxicity, warc
+from rowproof.llm import bpe, gif, htmlcrf, linededup, mixing, multiindex, quotes, simhash, toxicity, warc
 from rowproof.llm.common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")))
+
+
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return multiindex.links(table(spark, sf_dir, "embeddings"))
@@ -52,7 +56,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return htmlcrf.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotes": op1_quotes,
     "op2_multi_index": op2_multi_index,
     "op3_gif": op3_gif,
     "op4_mixing": op4_mixing,
@@ -61,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_html_crf": op10_html_crf,
 }
 
 SQL: dict[str, str] = {
