@@ -12,7 +12,6 @@ hold quote marks as ordinary characters.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,10 +34,19 @@ def _field(delim: str, quote: str) -> str:
     return f"(?:{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+(?:{q}[^{d}\\r\\n]*+)?+|(?!{q})[^{d}\\r\\n]*+)"
 
 
+def _record_pattern(delim: str, quote: str) -> str:
+    f, d = _field(delim, quote), re.escape(delim)
+    return f"((?:{f}{d})*+{f})(\\r\\n|\\r|\\n|\\z)"
+
+
+def _field_pattern(delim: str, quote: str) -> str:
+    d = re.escape(delim)
+    return f"(?:\\A|(?<={d}))({_field(delim, quote)})(?:{d}|\\z)"
+
+
 def raw_records(df: DataFrame, id_col: str, text: Column, delim: str, quote: str) -> DataFrame:
     """One row per record: id, record_no (from 1), raw (without its terminator) and end (the terminator, '' at the end of the text)."""
-    f, d = _field(delim, quote), re.escape(delim)
-    pattern = F.lit(f"((?:{f}{d})*+{f})(\\r\\n|\\r|\\n|\\z)")
+    pattern = F.lit(_record_pattern(delim, quote))
     both = df.select(id_col, F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("raw"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("end")).alias("_r"))
     rows = both.select(id_col, F.posexplode("_r").alias("_k", "_x")).select(id_col, (F.col("_k") + 1).cast("long").alias("record_no"), "_x.raw", "_x.end")
     return rows.where("raw <> '' or end <> ''")  # the search finds one more, empty, at the very end
@@ -46,8 +54,8 @@ def raw_records(df: DataFrame, id_col: str, text: Column, delim: str, quote: str
 
 def raw_fields(rows: DataFrame, delim: str, quote: str) -> DataFrame:
     """rows (with raw) with the array `fields` of fields as written."""
-    q, d = re.escape(quote), re.escape(delim)
-    found = rows.withColumn("_f", F.regexp_extract_all("raw", F.lit(f"(?:\\A|(?<={d}))({_field(delim, quote)})(?:{d}|\\z)"), F.lit(1)))
+    q = re.escape(quote)
+    found = rows.withColumn("_f", F.regexp_extract_all("raw", F.lit(_field_pattern(delim, quote)), F.lit(1)))
     n = F.size("_f")
     # A field that runs to the end may itself end in a delimiter, after which nothing follows.
     open_end = F.coalesce((F.get("_f", n - 1) == "") & F.rlike(F.get("_f", n - 2), F.lit(rf"\A{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+\z")), F.lit(False))
@@ -129,54 +137,51 @@ def counter_columns() -> dict[str, Column]:
     return {name: F.count_if(when[name]) for name in COUNTERS}
 
 
+def _candidate(delim: str, quote: str, rank: int) -> Column:
+    """A dialect with its patterns, so that one pass over exploded candidates reads a text by all of them."""
+    q, d = re.escape(quote), re.escape(delim)
+    inside = rf"\A{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+"
+    parts = {"delim": delim, "quote": quote, "record": _record_pattern(delim, quote), "field": _field_pattern(delim, quote), "open": inside + r"\z", "junk": inside + q + r"[ \t]*+[^ \t]"}
+    return F.struct(F.lit(rank).alias("rank"), *[F.lit(v).alias(k) for k, v in parts.items()])
+
+
 def dialect_scores(df: DataFrame, id_col: str, text_col: str = "text", delim: str | None = None, quote: str | None = None) -> DataFrame:
     """One row per text and candidate: id, delim, quote, score, mode, rank (the order that ties prefer).
 
     The opening rows of a text are read by each dialect: equal widths and more columns count for it, open
     quotes, junk and marks in bare fields against it. Lone blank lines and a record that the opening cuts do not count.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    opening = df.select(id_col, F.substring(text, 1, SNIFF_CHARS).alias("_t"), (F.length(text) > SNIFF_CHARS).alias("_more"))
-    parts, rank = [], 0
-    for d in [delim] if delim else DELIMITERS:
-        for q in [quote] if quote else QUOTES:
-            if d != q:
-                parts.append(_scored(opening, id_col, d, q).withColumns({"delim": F.lit(d), "quote": F.lit(q), "rank": F.lit(rank)}))
-                rank += 1
-    if not parts:
+    pairs = [(d, q) for d in ([delim] if delim else DELIMITERS) for q in ([quote] if quote else QUOTES) if d != q]
+    if not pairs:
         raise ValueError("delimiter and quote must be different characters")
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _scored(opening: DataFrame, id_col: str, delim: str, quote: str) -> DataFrame:
-    cut = opening.select(id_col, "_more")
-    rows = raw_records(opening, id_col, F.col("_t"), delim, quote).where("raw <> ''")
-    order = Window.partitionBy(id_col).orderBy("record_no")
-    rows = rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= SNIFF_ROWS)
-    rows = rows.join(cut.withColumnRenamed(id_col, "_of"), F.col(id_col).eqNullSafe(F.col("_of"))).where("not (_more and end = '')")
-    fields = raw_fields(rows, delim, quote)
-    q = re.escape(quote)
-    inside = rf"\A{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+"
-    marked = lambda x: F.startswith(x, F.lit(quote))
-    count = lambda test: F.size(F.filter("fields", test))
-    facts = fields.select(
-        id_col,
-        F.size("fields").alias("width"),
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    candidates = F.explode(F.array(*[_candidate(d, q, i) for i, (d, q) in enumerate(pairs)]))
+    opening = df.select(id_col, F.substring(text, 1, SNIFF_CHARS).alias("_t"), (F.length(text) > SNIFF_CHARS).alias("_more"), candidates.alias("c"))
+    found = F.arrays_zip(F.regexp_extract_all("_t", F.col("c.record"), F.lit(1)).alias("raw"), F.regexp_extract_all("_t", F.col("c.record"), F.lit(2)).alias("end"))
+    found = F.filter(found, lambda x: x["raw"] != "")
+    rows = opening.select(id_col, "c", "_more", found.alias("_r")).select(id_col, "c", "_more", F.posexplode_outer("_r").alias("_nth", "_x"))
+    # A text without records keeps one row, whose width is null.
+    rows = rows.where(F.col("_nth").isNull() | ((F.col("_nth") < SNIFF_ROWS) & ~(F.col("_more") & (F.col("_x.end") == ""))))
+    rows = rows.withColumn("_f", F.regexp_extract_all("_x.raw", F.col("c.field"), F.lit(1)))
+    marked = lambda x: F.startswith(x, F.col("c.quote"))
+    count = lambda test: F.size(F.filter("_f", test))
+    facts = rows.select(
+        id_col, "c.rank", "c.delim", "c.quote", F.when(F.col("_x").isNotNull(), F.size("_f")).alias("width"),
         count(marked).alias("quoted"),
-        count(lambda x: F.rlike(x, F.lit(inside + r"\z"))).alias("open"),
-        count(lambda x: ~marked(x) & F.contains(x, F.lit(quote))).alias("bare_quote"),
-        count(lambda x: F.rlike(x, F.lit(inside + q + r"[ \t]*+[^ \t]"))).alias("junk"),
-    )
-    by_width = facts.groupBy(id_col, "width").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("quoted", "open", "bare_quote", "junk")])
-    best = by_width.groupBy(id_col).agg(F.max(F.struct("n", (-F.col("width")).alias("w"))).alias("m"), F.sum("n").alias("all"), *[F.sum(c).alias(c) for c in ("quoted", "open", "bare_quote", "junk")])
-    mode = -F.col("m.w")
+        count(lambda x: F.rlike(x, F.col("c.open"))).alias("open"),
+        count(lambda x: ~marked(x) & F.contains(x, F.col("c.quote"))).alias("bare_quote"),
+        count(lambda x: F.rlike(x, F.col("c.junk"))).alias("junk"),
+    )
+    sums = ("quoted", "open", "bare_quote", "junk")
+    by = [id_col, "rank", "delim", "quote"]
+    by_width = facts.groupBy(*by, "width").agg(F.count("width").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    best = by_width.groupBy(*by).agg(F.max(F.struct("n", (-F.col("width")).alias("w"))).alias("m"), F.sum("n").alias("all"), *[F.sum(c).alias(c) for c in sums])
+    mode = F.coalesce(-F.col("m.w"), F.lit(0))
     score = (
-        F.col("m.n") / F.col("all") * 1000 + mode * 25 - F.when(mode <= 1, 800).otherwise(0) + F.when(F.col("quoted") > 0, 100).otherwise(0)
+        F.col("m.n") / F.greatest("all", F.lit(1)) * 1000 + mode * 25 - F.when(mode <= 1, 800).otherwise(0) + F.when(F.col("quoted") > 0, 100).otherwise(0)
         - F.least(F.col("open"), F.lit(3)) * 70 - F.least(F.col("bare_quote"), F.lit(10)) * 25 - F.col("junk") * 40
     )
-    scored = best.select(F.col(id_col).alias("_of"), score.cast("double").alias("_score"), mode.cast("int").alias("_mode"))
-    out = cut.select(id_col).join(scored, F.col(id_col).eqNullSafe(F.col("_of")), "left")
-    return out.select(id_col, F.coalesce("_score", F.lit(-1.0)).alias("score"), F.coalesce("_mode", F.lit(0)).alias("mode"))
+    return best.select(*by, F.when(F.col("all") > 0, score.cast("double")).otherwise(-1.0).alias("score"), mode.cast("int").alias("mode"))
 
 
 def choose_dialect(scores: DataFrame, id_col: str, delim: str | None = None, quote: str | None = None) -> DataFrame:
