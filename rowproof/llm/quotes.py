@@ -84,15 +84,21 @@ def reply_links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def thread_depths(replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, root, depth) of the messages that reply to one, by pointer doubling: log2(longest chain) rounds."""
-    now = saved(replies.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth")), "pointers")
+    """(conv_id, turn, root, depth) of the messages that reply to one, by pointer doubling: log2(longest chain) rounds.
+
+    Only rows whose pointer still leads to a reply take part in a round, so that short chains settle early.
+    """
+    settled = None
+    active = saved(replies.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth")), "pointers")
     for _ in range(MAX_DOUBLINGS):
-        up = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        step = now.join(up, ["conv_id", "root"], "left")
-        moved = saved(step.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "pointers")
-        now = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return now
+        known = active if settled is None else active.unionByName(settled)
+        up = known.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        step = active.join(up, ["conv_id", "root"], "left")
+        step = saved(step.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "pointers")
+        done, active = step.where("not moved").drop("moved"), step.where("moved").drop("moved")
+        settled = done if settled is None else settled.unionByName(done)
+        if active.isEmpty():
+            return settled
     raise RuntimeError("reply chains did not settle")
 
 
