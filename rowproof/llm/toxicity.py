@@ -2,8 +2,8 @@
 
 Features are the distinct words of a whole text and the beginnings of those words. Training minimises
 logistic loss + ridge + `swap_penalty` times the squared change of the score between each labelled text that
-names a group and its counterfactual, in which every identity term is replaced by the next one of its kind.
-A group's name can then not carry a label that the rest of the sentence does not earn.
+names a group and its two counterfactuals: one in which every identity term is replaced by the next one of its kind,
+and one without any. A group's name can then not carry a label that the rest of the sentence does not earn.
 
 Labels are learned from a bounded sample: `max_toxic` and `max_clean` rows at most, on average, chosen by a hash
 of the id. A score takes both classes as equally likely beforehand. Feature counts, selection and scoring run on Spark;
@@ -87,8 +87,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
 
-def fit(rows: list[list[int]], other: list[list[int]], toxic: np.ndarray, n: int, *, swap_penalty: float, ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, float]:
-    """Weights and intercept for rows of feature numbers; other[i] is the counterfactual of rows[i], or the same list.
+def without_terms(words: set[str]) -> set[str]:
+    return {w for w in words if w not in NEXT_TERM}
+
+
+def fit(rows: list[list[int]], pairs: list[tuple[list[int], list[int]]], toxic: np.ndarray, n: int, *, swap_penalty: float, ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, float]:
+    """Weights and intercept for rows of feature numbers; pairs holds texts and their counterfactuals (equal ones are left out).
 
     Both classes weigh half. The objective is smooth and convex; it is minimised by accelerated gradient steps
     from zero over the full bounded sample, so that the result is repeatable and features that many rows share
@@ -99,8 +103,8 @@ def fit(rows: list[list[int]], other: list[list[int]], toxic: np.ndarray, n: int
         return np.repeat(np.arange(len(x)), [len(r) for r in x]), np.array([j for r in x for j in r], np.int64)
 
     at, col = flat(rows)
-    changed = [i for i in range(len(rows)) if list(rows[i]) != list(other[i])]
-    plus, minus = flat([rows[i] for i in changed]), flat([other[i] for i in changed])
+    changed = [(x, y) for x, y in pairs if list(x) != list(y)]
+    plus, minus = flat([x for x, _ in changed]), flat([y for _, y in changed])
     m, k, y = len(rows), max(len(changed), 1), toxic.astype(float)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     size = np.bincount(at, minlength=m) + 1.0
@@ -159,14 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            rows = [[sorted(number[x] for x in features(w) if x in number) for w in (each, swapped(each))] for each in words]
+            rows = [[sorted(number[x] for x in features(w) if x in number) for w in (each, swapped(each), without_terms(each))] for each in words]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)], names=["doc_id", "toxic", "x", "swap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k] for r in rows], kind) for k in range(3))], names=["doc_id", "toxic", "x", "swap", "plain"])
 
     id_kind, label_kind = (sample.schema[c].dataType.simpleString() for c in ("doc_id", "toxic"))
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(indexed, f"doc_id {id_kind}, toxic {label_kind}, x array<int>, swap array<int>")
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(indexed, f"doc_id {id_kind}, toxic {label_kind}, x array<int>, swap array<int>, plain array<int>")
     data = rows.orderBy("doc_id", "x").collect()  # bounded as the sample is, and by the selected features
-    weights, bias = fit([r.x for r in data], [r.swap for r in data], np.array([r.toxic for r in data]), len(chosen), swap_penalty=swap_penalty)
+    pairs = [(r.x, other) for r in data for other in (r.swap, r.plain)]
+    weights, bias = fit([r.x for r in data], pairs, np.array([r.toxic for r in data]), len(chosen), swap_penalty=swap_penalty)
     return Model(float(bias), {f: float(w) for f, w in zip(chosen, weights) if abs(w) > 1e-6})
 
 
