@@ -45,10 +45,16 @@ def _field_pattern(delim: str, quote: str) -> str:
 
 
 def raw_records(df: DataFrame, id_col: str, text: Column, delim: str, quote: str) -> DataFrame:
-    """One row per record: id, record_no (from 1), raw (without its terminator) and end (the terminator, '' at the end of the text)."""
+    """One row per record: id, record_no (from 1), raw (without its terminator), end (the terminator, '' at the end of the text), and the header's record and width."""
     pattern = F.lit(_record_pattern(delim, quote))
     both = df.select(id_col, F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("raw"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("end")).alias("_r"))
-    rows = both.select(id_col, F.posexplode("_r").alias("_k", "_x")).select(id_col, (F.col("_k") + 1).cast("long").alias("record_no"), "_x.raw", "_x.end")
+    # The header is the first record that is no lone blank line.
+    filled = F.transform("_r", lambda x: x["raw"] != "")
+    both = both.withColumn("header_record", F.nullif(F.array_position(filled, F.lit(True)), F.lit(0)))
+    first = F.get("_r", (F.col("header_record") - 1).cast("int"))["raw"]
+    both = both.withColumn("header_width", F.size(F.regexp_extract_all(first, F.lit(_field_pattern(delim, quote)), F.lit(1))))
+    rows = both.select(id_col, "header_record", F.when(F.col("header_record").isNotNull(), F.col("header_width")).alias("header_width"), F.posexplode("_r").alias("_k", "_x"))
+    rows = rows.select(id_col, (F.col("_k") + 1).cast("long").alias("record_no"), "header_record", "header_width", "_x.raw", "_x.end")
     return rows.where("raw <> '' or end <> ''")  # the search finds one more, empty, at the very end
 
 
@@ -91,9 +97,9 @@ def field_facts(raw: Column, delim: str, quote: str) -> dict[str, Column]:
 def tokens(df: DataFrame, id_col: str, text_col: str = "text", delim: str = ",", quote: str = '"') -> DataFrame:
     """One row per field: id, record_no and field_no (from 1), width of its record, value, flags and terminator."""
     rows = raw_fields(raw_records(df, id_col, F.coalesce(F.col(text_col), F.lit("")), delim, quote), delim, quote)
-    rows = rows.select(id_col, "record_no", "end", F.size("fields").alias("width"), F.posexplode("fields").alias("_i", "_x"))
+    rows = rows.select(id_col, "record_no", "header_record", "header_width", "end", F.size("fields").alias("width"), F.posexplode("fields").alias("_i", "_x"))
     facts = field_facts(F.col("_x"), delim, quote)
-    return rows.select(id_col, "record_no", "width", (F.col("_i") + 1).alias("field_no"), *[v.alias(k) for k, v in facts.items()], "end")
+    return rows.select(id_col, "record_no", "header_record", "header_width", "width", (F.col("_i") + 1).alias("field_no"), *[v.alias(k) for k, v in facts.items()], "end")
 
 
 def line_numbers(tok: DataFrame, id_col: str) -> DataFrame:
@@ -123,8 +129,8 @@ def classified(tok: DataFrame) -> DataFrame:
     return tok.withColumn("kind", kind).withColumn("numeric", kind.isin("quoted_required", "quoted_optional", "bare") & is_number(c("value")))
 
 
-def counter_columns() -> dict[str, Column]:
-    """The aggregates that fill COUNTERS from classified tokens."""
+def counter_columns(of: Column) -> dict[str, Column]:
+    """The aggregates that fill COUNTERS from the classified tokens that `of` picks."""
     c = F.col
     kind, numeric = c("kind"), c("numeric")
     held = kind.isin("quoted_required", "quoted_optional")
@@ -134,7 +140,7 @@ def counter_columns() -> dict[str, Column]:
         "numeric_quoted": held & numeric, "numeric_bare": (kind == "bare") & numeric, "text_quoted": held & ~numeric, "text_bare": (kind == "bare") & ~numeric,
         "with_delim": c("has_delim"), "with_break": c("has_break"), "with_inner_quote": c("has_inner_quote") & c("quoted"), "bare_with_quote": (kind == "bare") & c("has_inner_quote"),
     }
-    return {name: F.count_if(when[name]) for name in COUNTERS}
+    return {name: F.count_if(of & when[name]) for name in COUNTERS}
 
 
 def _candidate(delim: str, quote: str, rank: int) -> Column:
@@ -192,22 +198,19 @@ def choose_dialect(scores: DataFrame, id_col: str, delim: str | None = None, quo
 
 
 def records_of(tok: DataFrame, id_col: str, header: bool = True, max_rows: int = 0) -> DataFrame:
-    """Classified tokens with `part` (header, data, blank) and `header_width`; max_rows keeps that many data records in order.
+    """Classified tokens with `part` (header, data, blank); max_rows keeps that many data records in order.
 
     The header is the first record that is no lone blank line; later lone blanks count as blank lines unless the
     header has one column or there is none.
     """
     lone = (F.col("width") == 1) & (F.col("kind") == "bare_empty")
     if header:
-        first = tok.where(~lone).groupBy(id_col).agg(F.min(F.struct("record_no", "width")).alias("first"))
-        first = first.select(F.col(id_col).alias("_of"), F.col("first.record_no").alias("_at"), F.col("first.width").alias("header_width"))
-        tok = tok.join(first, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
-        before = F.col("_at").isNull() | (F.col("record_no") < F.col("_at"))
-        part = F.when(lone & (before | (F.col("header_width") > 1)), "blank").when(F.col("record_no") == F.col("_at"), "header").otherwise("data")
+        at = F.col("header_record")
+        before = at.isNull() | (F.col("record_no") < at)
+        part = F.when(lone & (before | (F.col("header_width") > 1)), "blank").when(F.col("record_no") == at, "header").otherwise("data")
+        out = tok.withColumn("part", part)
     else:
-        tok = tok.withColumn("header_width", F.lit(None).cast("int")).withColumn("_at", F.lit(0).cast("long"))
-        part = F.lit("data")
-    out = tok.withColumn("part", part).drop("_at")
+        out = tok.withColumn("header_width", F.lit(None).cast("int")).withColumn("part", F.lit("data"))
     if max_rows:
         last = out.where("part = 'data'").groupBy(id_col).agg(F.array_sort(F.collect_set("record_no")).alias("_all"))
         last = last.select(F.col(id_col).alias("_of"), F.get("_all", F.lit(max_rows - 1)).alias("_last"))
@@ -219,8 +222,6 @@ def profile(df: DataFrame, id_col: str, text_col: str = "text", delim: str = ","
     """One row per text: the 16 counters of header and data, records, columns and irregularities."""
     tok = records_of(classified(tokens(df, id_col, text_col, delim, quote)), id_col, header, max_rows)
     first_field, data = F.col("field_no") == 1, F.col("part") == "data"
-    fields = tok.where("part <> 'blank'").groupBy(id_col, "part").agg(*[agg.alias(name) for name, agg in counter_columns().items()])
-    wide = fields.groupBy(id_col).agg(*[F.coalesce(F.max(F.when(F.col("part") == where, F.col(name))), F.lit(0)).alias(f"{where}_{name}") for where in ("header", "data") for name in COUNTERS])
     shape = tok.groupBy(id_col).agg(
         F.count_if(first_field & (F.col("part") == "header")).alias("header_records"),
         F.count_if(first_field & data).alias("data_records"),
@@ -231,14 +232,14 @@ def profile(df: DataFrame, id_col: str, text_col: str = "text", delim: str = ","
         F.count_if("junk").alias("junk_after_quote"),
         F.count_if("padded").alias("padded_quotes"),
         F.max("header_width").alias("header_width"),
+        *[agg.alias(f"{where}_{name}") for where in ("header", "data") for name, agg in counter_columns(F.col("part") == where).items()],
     )
     if not header:
         w = tok.where(first_field & data).groupBy(id_col, "width").agg(F.count("*").alias("n"))
         mode = w.groupBy(id_col).agg(F.max(F.struct("n", (-F.col("width")).alias("w"))).alias("m"), F.sum("n").alias("all"))
         mode = mode.select(F.col(id_col).alias("_of"), (-F.col("m.w")).alias("_mode"), (F.col("all") - F.col("m.n")).alias("_ragged"))
         shape = shape.join(mode, F.col(id_col).eqNullSafe(F.col("_of")), "left").withColumns({"header_width": F.col("_mode"), "ragged": F.coalesce("_ragged", F.lit(0))}).drop("_of", "_mode", "_ragged")
-    wide = wide.withColumnRenamed(id_col, "_of")
-    out = shape.join(wide, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
+    out = shape
     # Line breaks count wherever they are, and texts without a record have a profile of zeros.
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = lambda p: F.regexp_count(text, F.lit(p))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowproof.operators import compare
 from rowproof.operators.compare import SIDES
+from rowproof.session import saved
 
 
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -50,7 +51,9 @@ def keyed(a: DataFrame, b: DataFrame, cmp: DataFrame, key: list[str], manual: bo
     A key chosen by hand may not be unique: rows that share one are set aside as duplicates and pair with nothing.
     """
     names = compare.cells(a)
-    only_a, only_b = compare.one_sided(a, cmp, "an"), compare.one_sided(b, cmp, "bn")
+    # The differing hashes and the one-sided rows are read several times below: each is written once.
+    cmp = saved(cmp.where("an <> bn"), "differing")
+    only_a, only_b = saved(compare.one_sided(a, cmp, "an"), "only-a"), saved(compare.one_sided(b, cmp, "bn"), "only-b")
     parts = []
     tag_a = lambda rows, status: compare.tagged(rows, status, "copies", F.lit(0), "copies", names)
     tag_b = lambda rows, status: compare.tagged(rows, status, F.lit(0), "copies", "copies", names)

@@ -11,6 +11,7 @@ from rowproof.functions import delimited, habits
 from rowproof.functions.cells import as_text, is_number, row_hash, to_text
 from rowproof.operators import columns, compare, differences, keys
 from rowproof.plans.sides import CMP_SQL, LINE_SQL, ORDER_SQL, line_sides, order_sides, table
+from rowproof.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,13 +204,13 @@ def column_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ORDER_SQL}, {_VALUES_SQL}, o AS ({_OVERLAP_SQL}), d AS (SELECT (SELECT count(DISTINCT h) FROM a) AS da, (SELECT count(DISTINCT h) FROM b) AS db)
-SELECT pos, overlap, a_distinct = da AS unique_a, b_distinct = db AS unique_b, overlap >= 0.8 AS overlaps FROM o, d""")
+SELECT pos, overlap, a_distinct = da AS unique_a, b_distinct = db AS unique_b, overlap >= 0.8 AS enough FROM o, d""")
 def key_single_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns judged as single keys: overlap, and uniqueness against the distinct rows (one row of counts, read first)."""
     a, b = order_sides(spark, sf_dir)
     n = compare.metrics(compare.counts(a, b)).first()
     stats = columns.statistics(a, b, n.distinct_a, n.distinct_b)
-    return stats.select("pos", "overlap", "unique_a", "unique_b", (F.col("overlap") >= keys.MIN_OVERLAP).alias("overlaps"))
+    return stats.select("pos", "overlap", "unique_a", "unique_b", (F.col("overlap") >= keys.MIN_OVERLAP).alias("enough"))
 
 
 @query(f"""WITH {LINE_SQL}, k AS (SELECT c1, c2, bool_or(s) AS in_a, bool_or(NOT s) AS in_b FROM (SELECT c1, c2, true AS s FROM a UNION ALL SELECT c1, c2, false FROM b) GROUP BY c1, c2)
@@ -299,7 +300,7 @@ def width_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query()

@@ -70,3 +70,12 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             z.write(source, source.relative_to(package.parent))
     context.addPyFile(str(target))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read in fewer parts, for work that costs far more than a shuffle of its rows.
+
+    Large inputs have more parts than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
