@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowproof.llm import bpe, gif, htmlcrf, linededup, mixing, multiindex, quotes, simhash, toxicity, warc
 from rowproof.llm.common import small_batches, table
+from rowproof.session import spread
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,7 +25,7 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return gif.digests(table(spark, sf_dir, "documents"))
+    return gif.digests(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.groups(table(spark, sf_dir, "documents"))
+    return simhash.groups(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.digests(spread(table(spark, sf_dir, "documents")), VOCABULARY)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +54,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classified(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return htmlcrf.extracted(table(spark, sf_dir, "pages"))
+    return htmlcrf.extracted(spread(table(spark, sf_dir, "pages")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
