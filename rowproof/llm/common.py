@@ -24,3 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(col: str | Column) -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores after it until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

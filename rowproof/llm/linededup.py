@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.llm.common import unused
 from rowproof.session import saved
 
 RATIO, MIN_PAGES = 0.01, 5
@@ -40,18 +41,18 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     return bad.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def cleaned(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with `text_col` cleaned, and the columns n_lines and n_dropped (longs) at the end."""
-    bad = saved(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate").toDF("_host", "_bad")
-    joined = pages.join(bad, pages[host_col].eqNullSafe(F.col("_host")), "left")
-    marked = joined.withColumn("_lines", _lines(F.col(text_col)))
-    kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.btrim(x, F.lit(" \t\r")) == "") | ~F.array_contains(F.col("_bad"), _key(x))))
-    marked = marked.withColumn("_kept", kept)
-    columns = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in pages.columns]
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(n).cast("long")
-    n_kept = F.when(F.col("_kept").isNull(), 0).otherwise(F.size("_kept")).cast("long")
-    return marked.select(*columns, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+def cleaned(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """pages with `text_col` cleaned and, with `counts`, the longs n_lines and n_dropped at the end."""
+    host, bad_lines, all_lines, kept_lines = unused(pages, "_host", "_bad", "_lines", "_kept")
+    bad = saved(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate").toDF(host, bad_lines)
+    joined = pages.join(bad, pages[host_col].eqNullSafe(F.col(host)), "left")
+    marked = joined.withColumn(all_lines, _lines(F.col(text_col)))
+    kept = F.filter(all_lines, lambda x: (F.btrim(x, F.lit(" \t\r")) == "") | ~F.array_contains(F.col(bad_lines), _key(x)))
+    marked = marked.withColumn(kept_lines, F.when(F.col(bad_lines).isNull(), F.col(all_lines)).otherwise(kept))
+    columns = [F.array_join(kept_lines, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    more = [size(all_lines).alias("n_lines"), (size(all_lines) - size(kept_lines)).alias("n_dropped")]
+    return marked.select(*columns, *(more if counts else []))
 
 
 SQL = f"""

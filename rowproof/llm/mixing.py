@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.llm.common import unused
 from rowproof.session import saved
 
 FLATTEN, TOLERANCE, MAX_SWEEPS = 0.8, 1e-10, 40
@@ -43,10 +44,10 @@ def draw(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _celled(docs: DataFrame, topic: Column | None) -> DataFrame:
+def _celled(docs: DataFrame, topic: Column | None, cell: str, tokens: str) -> DataFrame:
     text = F.col("text")
     named = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic_of(text) if topic is None else topic}
-    return docs.select("*", F.struct(*[F.coalesce(v, F.lit(NONE)).alias(k) for k, v in named.items()]).alias("_cell"), tokens_of(text).alias("_tokens"))
+    return docs.select("*", F.struct(*[F.coalesce(v, F.lit(NONE)).alias(k) for k, v in named.items()]).alias(cell), tokens_of(text).alias(tokens))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS) -> DataFrame:
@@ -78,24 +79,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
     return cells
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, flatten: float = FLATTEN) -> DataFrame:
-    """docs with _cell, _tokens, _weight (of the cell) and _p, the sampling probability of the document."""
-    held = _celled(docs, topic)
-    raked = rake(held.groupBy("_cell").agg(F.sum("_tokens").alias("tokens")).select("_cell.*", "tokens"), targets, flatten)
+def probabilities(docs: DataFrame, cell: str, tokens: str, p: str, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, flatten: float = FLATTEN) -> DataFrame:
+    """docs with three more columns under the given names: the cell, the tokens and the sampling probability."""
+    held = _celled(docs, topic, cell, tokens)
+    raked = rake(held.groupBy(F.col(cell).alias("cell")).agg(F.sum(tokens).alias("tokens")).select("cell.*", "tokens"), targets, flatten)
     most = raked.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
-    p = saved(raked.select(F.struct(*DIMENSIONS).alias("_of"), F.col("weight").alias("_weight"), (F.col("weight") / F.col("tokens") / F.lit(most)).alias("_p")), "rates")
-    return held.join(p, held["_cell"] == p["_of"]).drop("_of")
+    (of,) = unused(held, "_of")
+    rates = saved(raked.select(F.struct(*DIMENSIONS).alias(of), (F.col("weight") / F.col("tokens") / F.lit(most)).alias(p)), "rates")
+    return held.join(rates, held[cell] == rates[of]).drop(of)
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The documents drawn, with the columns of docs."""
-    return probabilities(docs, **options).where(draw(F.col("doc_id")) < F.col("_p")).select(*docs.columns)
+    cell, tokens, p = unused(docs, "_cell", "_tokens", "_p")
+    return probabilities(docs, cell, tokens, p, **options).where(draw(F.col("doc_id")) < F.col(p)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Every document with its cell, tokens, probability and whether it is drawn."""
-    rows = probabilities(docs.select("doc_id", "text", "source", "lang"), **options)
-    return rows.select("doc_id", "_cell.*", F.col("_tokens").alias("tokens"), F.round("_p", 8).alias("p"), (draw(F.col("doc_id")) < F.col("_p")).alias("kept"))
+    rows = probabilities(docs.select("doc_id", "text", "source", "lang"), "cell", "tokens", "p", **options)
+    return rows.select("doc_id", "cell.*", "tokens", F.round("p", 8).alias("p"), (draw(F.col("doc_id")) < F.col("p")).alias("kept"))
 
 
 def oracle(sweeps: int = 25) -> str:

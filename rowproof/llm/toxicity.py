@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
     return Model(float(bias), {f: float(w) for f, w in zip(chosen, weights) if abs(w) > 1e-6})
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns of docs and `score`: every whole text, 0 to 1. The model has at most MAX_FEATURES weights."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns of docs and the score under `name`: every whole text, 0 to 1. The model has at most MAX_FEATURES weights."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             z = np.clip(np.array(scores, float), -60, 60)
             yield pd.Series(1 / (1 + np.exp(-z)) if model.base_rate is None else np.full(len(z), model.base_rate))
 
-    return docs.withColumn("score", scorer(text_of(text_col)))
+    return docs.withColumn(name, scorer(text_of(text_col)))
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -42,3 +42,12 @@ def test_stages_take_effect_and_keep_columns(spark):
 def test_run(spark):
     out = pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_stages_carry_extra_columns_with_clashing_names(spark):
+    names = ["score", "n_lines", "n_dropped", "_host", "_bad", "_lines", "_kept", "_cell", "_tokens", "_p", "_of", "least", "n", "fp", "component_id", "root"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").selectExpr("*", *(f"'mine' as `{n}`" for n in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA).cache()
+        assert docs.count() and {tuple(r) for r in docs.select(*names).distinct().collect()} == {("mine",) * len(names)}, name
+    assert pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
