@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.llm import bpe, linededup, mixing, simhash, toxicity
-from rowproof.llm.common import small_batches, table
+from rowproof.llm.common import small_batches, table, unused
 from rowproof.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,12 +23,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier rejects go; the labels of the held-out fold are never learned from."""
     small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    (name,) = unused(docs, "score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many documents of a source share go; n_chars follows the text."""
-    clean = linededup.cleaned(docs, "source", "text")
+    clean = linededup.cleaned(docs, "source", "text", counts=False)
     return clean.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
