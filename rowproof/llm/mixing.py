@@ -2,8 +2,11 @@
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked: each sweep scales them to the
 target of every source, then of every language, then of every topic, until no scale moves by more than `tolerance`.
-A cell's calibrated weight over its tokens, divided by the largest such quotient, is the probability that
-each of its documents is sampled with, so that the expected tokens of the sample have the target marginals. The draw
+A cell's calibrated weight over its tokens, times one scale and one at most, is the probability that each of its
+documents is sampled with. The scale is solved on the cells so that the sample's expected tokens are `budget` times the table's: a sparse cell
+whose probability reaches one is clipped there, and what it lacks of its weight (`shortfalls`) is made up by the others, so that
+a rare value costs other cells nothing. Without clipped cells the sample has the target marginals. `budget` None takes
+the largest scale that clips no cell, as the SQL does: there the sparsest cell sets the size of the sample. The draw
 is a hash of the id: repeatable, and independent of partitions.
 
 Targets are shares by value; where none are given, each value's share is its corpus share to the power `flatten`,
@@ -24,6 +27,8 @@ from rowproof.llm.common import unused
 from rowproof.session import saved
 
 FLATTEN, TOLERANCE, MAX_SWEEPS = 0.8, 1e-10, 40
+#: Expected tokens of the sample, as a share of the table's.
+BUDGET = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 
@@ -79,16 +84,48 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
     return cells
 
 
-def probabilities(docs: DataFrame, cell: str, tokens: str, p: str, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, flatten: float = FLATTEN) -> DataFrame:
+def scale_for(raked: DataFrame, budget: float | None) -> float:
+    """The factor from a cell's weight / tokens to its probability, for raked cells.
+
+    Expected tokens are concave in the scale, so that Newton steps from below end on the budget after finitely many;
+    each is one aggregate over the cells.
+    """
+    if budget is None:
+        return 1.0 / (raked.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0)
+    whole, weight = raked.agg(F.sum("tokens"), F.sum("weight")).first()
+    if not weight:
+        return 0.0
+    scale, clipped = budget * whole / weight, 0
+    while True:
+        full = F.lit(scale) * F.col("weight") >= F.col("tokens")
+        n, held, free = raked.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if n == clipped or not free:
+            return scale
+        scale, clipped = max(scale, (budget * whole - held) / free), n
+
+
+def _rates(held: DataFrame, cell: str, tokens: str, targets: dict[str, DataFrame] | None, flatten: float, budget: float | None) -> DataFrame:
+    """The raked cells with `wanted`, the tokens that the scale asks of each, and `rate`, its probability."""
+    raked = rake(held.groupBy(F.col(cell).alias("cell")).agg(F.sum(tokens).alias("tokens")).select("cell.*", "tokens"), targets, flatten)
+    scale = F.lit(scale_for(raked, budget))
+    quotient = F.col("weight") / F.col("tokens")
+    return saved(raked.select(*DIMENSIONS, "tokens", (F.col("weight") * scale).alias("wanted"), F.least(F.lit(1.0), quotient * scale).alias("rate")), "rates")
+
+
+def probabilities(docs: DataFrame, cell: str, tokens: str, p: str, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, flatten: float = FLATTEN, budget: float | None = BUDGET) -> DataFrame:
     """docs with three more columns under the given names: the cell, the tokens and the sampling probability."""
     held = _celled(docs, topic, cell, tokens)
-    raked = rake(held.groupBy(F.col(cell).alias("cell")).agg(F.sum(tokens).alias("tokens")).select("cell.*", "tokens"), targets, flatten)
-    most = raked.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
     (of,) = unused(held, "_of")
-    rates = saved(raked.select(F.struct(*DIMENSIONS).alias(of), (F.col("weight") / F.col("tokens") / F.lit(most)).alias(p)), "rates")
+    rates = _rates(held, cell, tokens, targets, flatten, budget).select(F.struct(*DIMENSIONS).alias(of), F.col("rate").alias(p))
     return held.join(rates, held[cell] == rates[of]).drop(of)
 
 
+def shortfalls(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, flatten: float = FLATTEN, budget: float | None = BUDGET) -> DataFrame:
+    """The clipped cells: tokens, the tokens wanted of each, and the shortfall between them."""
+    cells = _rates(_celled(docs, topic, "cell", "n"), "cell", "n", targets, flatten, budget)
+    return cells.where("wanted > tokens").select(*DIMENSIONS, "tokens", "wanted", (F.col("wanted") - F.col("tokens")).alias("shortfall"))
+
+
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The documents drawn, with the columns of docs."""
     cell, tokens, p = unused(docs, "_cell", "_tokens", "_p")

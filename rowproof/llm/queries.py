@@ -29,7 +29,7 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(table(spark, sf_dir, "documents"))
+    return mixing.report(table(spark, sf_dir, "documents"), budget=None)  # as the SQL
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
