@@ -1,12 +1,14 @@
 """Site-relative line frequency: lines on too many of a site's pages are boilerplate and go.
 
 For each host, the pages that hold a line (trimmed, blank lines aside) are divided by the host's pages; lines above
-`ratio` that are on `min_pages` pages or more are dropped from all of that host's pages. Counting works on two 64-bit hashes of a
+`ratio` that are on `min_pages` pages or more are dropped from all of that host's pages. Pages of one host with equal texts
+count as one page, so that a large group of copies does not make its own lines boilerplate; with `each_copy` every row
+is a page, as in the SQL. Copies are told by two 64-bit hashes of the text and meet by the hashes of their lines. Counting works on two 64-bit hashes of a
 line, is pre-aggregated before the shuffle, and keeps at most (mean lines of a page) / ratio lines for a host, whose list
 meets the pages in one join: broadcast if the written table is small, else by host, where adaptive execution
 splits a hot host. Everything is built from DataFrame functions.
 
-Defined cases: every row is a page; a null text stays null and counts as a page without lines; a null host is a site of its
+Defined cases: a null text stays null and counts as a page without lines; a null host is a site of its
 own; a line that repeats within a page counts once; blank lines stay; a page that loses all its lines keeps its row
 with the empty text; extra columns are carried unchanged.
 """
@@ -31,20 +33,24 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, each_copy: bool = False) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines."""
     lines = F.filter(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(" \t\r")) != "")
-    seen = pages.select(F.col(host_col).alias("host"), F.explode(F.array_distinct(F.transform(lines, _key))).alias("line"))
+    text, keys = F.col(text_col), F.array_distinct(F.transform(lines, _key)).alias("keys")
+    held = pages.select(F.col(host_col).alias("host"), F.struct(text.isNull().alias("none"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("page"), text).alias("b")).alias("page"), keys)
+    whole = held if each_copy else held.groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    counted = held if each_copy else held.select("host", "page").distinct()
+    seen = whole.select("host", F.explode("keys").alias("line"))
     often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy(F.col(host_col).alias("of")).agg(F.count("*").alias("pages"))
+    totals = counted.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
     bad = often.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages"))
     return bad.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def cleaned(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+def cleaned(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True, each_copy: bool = False) -> DataFrame:
     """pages with `text_col` cleaned and, with `counts`, the longs n_lines and n_dropped at the end."""
     host, bad_lines, all_lines, kept_lines = unused(pages, "_host", "_bad", "_lines", "_kept")
-    bad = saved(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate").toDF(host, bad_lines)
+    bad = saved(boilerplate(pages, host_col, text_col, ratio, min_pages, each_copy), "boilerplate").toDF(host, bad_lines)
     joined = pages.join(bad, pages[host_col].eqNullSafe(F.col(host)), "left")
     marked = joined.withColumn(all_lines, _lines(F.col(text_col)))
     kept = F.filter(all_lines, lambda x: (F.btrim(x, F.lit(" \t\r")) == "") | ~F.array_contains(F.col(bad_lines), _key(x)))

@@ -49,7 +49,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return linededup.cleaned(pages, "source", "text")
+    return linededup.cleaned(pages, "source", "text", each_copy=True)  # as the SQL
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
