@@ -2,14 +2,15 @@
 
 A line's quote level is the number of leading > marks. Lines of equal level that follow one another are one passage;
 its text is normalised (lower case, runs of anything but letters and digits as one space) sentence by sentence, so that
-re-wrapped and shortened quotes still match. Each sentence's hash is joined within its conversation to the first
-message that says it itself. A passage comes from the earlier message that holds most of its sentences (the later
-message on ties), and a message replies to the source of its outermost quote, by most sentences. Roots and depths follow by
+re-wrapped and shortened quotes still match. A passage whose sentences are those of a whole earlier message comes from that
+message, the latest such one. Any other comes from the earlier message that holds most of its sentences (the later message
+on ties), by votes over every earlier message that says one. A message replies to the source of its outermost quote, by most sentences. Roots and depths follow by
 pointer doubling; conversations are then ordered by root, depth and turn, so that a message stands after the one that it
 replies to, and `position` numbers that order.
 
-All steps are DataFrame functions. Sentences of originals are pre-aggregated to one row a hash, so that a sentence said
-thousands of times joins as one; positions come from a range-partitioned sort and counts for each partition, so that
+All steps are DataFrame functions. Messages of equal sentences are one class and vote once, as do equal passages; the latest earlier
+turn of a class comes from a range-partitioned sort, so that a message said thousands of times is neither one task nor
+thousands of pairs. Votes for a passage meet every distinct message that shares a sentence with it; positions come from a range-partitioned sort and counts for each partition, so that
 a conversation with a third of all rows is not one task.
 
 Defined cases: messages with equal conversation and turn are one message to link to, while each row keeps its own text; a null
@@ -66,18 +67,62 @@ def sentence_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit("s"), s).alias("b"))))
 
 
+def _keyed(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """rows with two hashes of their sorted sentence hashes `h`."""
+    return rows.withColumns({a: F.xxhash64("h"), b: F.xxhash64(F.lit("m"), "h")})
+
+
+def latest_before(said: DataFrame, asked: DataFrame, group: list[str]) -> DataFrame:
+    """asked (group, turn) with `source`, the latest turn of the group in `said` before it, where there is one."""
+    both = [rows.select(*group, "turn", F.lit(is_said).alias("_said")).distinct() for rows, is_said in ((said, True), (asked, False))]
+    ranged = both[0].unionByName(both[1]).repartitionByRange(*group, "turn", "_said")
+    held = saved(ranged.select("*", F.spark_partition_id().alias("_part")), "events")
+    # A group is ordered within each of its partitions; at one turn, what is asked stands before what is said.
+    near = F.last(F.when(F.col("_said"), F.col("turn")), ignorenulls=True)
+    order = Window.partitionBy(*group, "_part").orderBy("turn", "_said").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = held.withColumn("source", near.over(order)).where("not _said").drop("_said")
+    # A group over several partitions: the end of the last partition before, one row for each.
+    ends = held.where("_said").groupBy(*group, F.col("_part").alias("_before")).agg(F.max("turn").alias("_end"))
+    spans = held.where("not _said").select(*group, "_part").distinct().join(ends, group).where("_before < _part")
+    carried = spans.groupBy(*group, "_part").agg(F.max("_end").alias("_end"))
+    out = found.join(carried, [*group, "_part"], "left").select(*group, "turn", F.coalesce("source", "_end").alias("source"))
+    return out.where("source is not null")
+
+
+def _voted(rest: DataFrame, own: DataFrame) -> DataFrame:
+    """The passages of `rest` with the earlier message that holds most of their sentences, and how many."""
+    merged = own.groupBy("conv_id", "turn").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("h")))).alias("h"))
+    merged = saved(_keyed(merged, "ca", "cb"), "merged")
+    classes = merged.groupBy("conv_id", "ca", "cb").agg(F.min("turn").alias("least"), F.first("h").alias("h"))
+    classes = classes.select("conv_id", "ca", "cb", "least", F.explode("h").alias("h"))
+    asked = rest.groupBy("conv_id", "wa", "wb").agg(F.first("h").alias("h"), F.max("turn").alias("most")).select("conv_id", "wa", "wb", "most", F.explode("h").alias("h"))
+    shared = asked.join(classes, ["conv_id", "h"]).where("least < most")
+    votes = saved(shared.groupBy("conv_id", "wa", "wb", "ca", "cb", "least").agg(F.count("*").alias("hits")), "votes")
+    by = ["conv_id", "wa", "wb", "turn"]
+    open_votes = rest.select(*by).distinct().join(votes, ["conv_id", "wa", "wb"]).where("least < turn")
+    best = open_votes.groupBy(*by).agg(F.max("hits").alias("most"))
+    top = saved(open_votes.join(best, by).where("hits = most").select(*by, "ca", "cb", "hits"), "top")
+    at = latest_before(merged, top, ["conv_id", "ca", "cb"])
+    chosen = top.join(at, ["conv_id", "ca", "cb", "turn"]).groupBy(*by).agg(F.max("source").alias("source"), F.max("hits").alias("hits"))
+    return rest.drop("source").join(chosen, by).select("conv_id", "turn", "passage", "level", "source", "hits")
+
+
 def reply_links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Passages with their sources (conv_id, turn, passage, level, source, hits), and (conv_id, turn, reply_to).
 
     messages holds conv_id, turn and lines; conv_id is never null here."""
     known = messages.where("turn is not null")
-    said = known.select("conv_id", "turn", F.explode(sentence_hashes(own_text(F.col("lines")))).alias("h"))
-    first = said.groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
+    own = known.select("conv_id", "turn", F.array_sort(sentence_hashes(own_text(F.col("lines")))).alias("h")).where(F.size("h") > 0)
     quoted = known.select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
-    quoted = quoted.select("conv_id", "turn", "passage", "p.level", F.explode(sentence_hashes(F.col("p.body"))).alias("h"))
-    hits = quoted.join(first, ["conv_id", "h"]).where("source < turn")
-    votes = hits.groupBy("conv_id", "turn", "passage", "level", "source").agg(F.count("*").alias("hits"))
-    best = votes.groupBy("conv_id", "turn", "passage", "level").agg(F.max(F.struct("hits", "source")).alias("best"))
+    quoted = quoted.select("conv_id", "turn", "passage", "p.level", F.array_sort(sentence_hashes(F.col("p.body"))).alias("h")).where(F.size("h") > 0)
+    quoted = saved(_keyed(quoted, "wa", "wb"), "quoted")
+    whole = latest_before(_keyed(own, "wa", "wb"), quoted, ["conv_id", "wa", "wb"])
+    met = saved(quoted.join(whole, ["conv_id", "wa", "wb", "turn"], "left"), "met")
+    hits = met.where("source is not null").select("conv_id", "turn", "passage", "level", "source", F.size("h").cast("long").alias("hits"))
+    rest = met.where("source is null")
+    if not rest.isEmpty():
+        hits = hits.unionByName(_voted(rest, own))
+    best = hits.groupBy("conv_id", "turn", "passage", "level").agg(F.max(F.struct("hits", "source")).alias("best"))
     linked = saved(best.select("conv_id", "turn", "passage", "level", "best.source", "best.hits"), "passages")
     outer = linked.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("hits"), F.col("source"))).alias("best"))
     return linked, outer.select("conv_id", "turn", F.col("best.source").alias("reply_to"))
