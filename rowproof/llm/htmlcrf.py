@@ -11,7 +11,9 @@ those elements give the label away, each page is also trained on in other clothe
 layouts of generic elements (div, section) whose class words tell the parts, with sidebars, notices, adverts, forms and
 reader comments added from the page's own side texts, so that the field learns class words and text measures as well.
 
-Defined cases: a null or empty html gives the empty text; script, style, template, head and comments never give text; an unclosed
+Defined cases: a null or empty html gives the empty text; script, style, template, head and comments never give text, nor do svg,
+iframe and textarea, the fallbacks in noscript and object, and the annotations of a formula, whose own text stays; a head ends where
+its first other element or text begins, a foreign element (svg, math and what they hold) at its "/>"; an unclosed
 element ends where its parent does, or where the HTML rules close it (p, li, tr, td, option); character
 references are decoded, also those without a semicolon that HTML allows; `br` counts as white space; ids and urls are carried
 as they are; equal pages give equal texts; nothing is cut off.
@@ -39,7 +41,9 @@ BLOCK_TAGS = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript head title textarea svg math iframe object".split())
+SILENT_TAGS = frozenset("script style template noscript head title textarea svg annotation annotation-xml iframe object".split())
+HEAD_TAGS = frozenset("title base basefont bgsound link meta script style template noscript noframes".split())
+FOREIGN_TAGS = frozenset(["svg", "math"])
 RAW_TAGS = frozenset("script style textarea title iframe".split())
 CLOSES = {
     "p": frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
@@ -54,6 +58,7 @@ CLOSES = {
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_SELF_CLOSED = re.compile(r"(?<!=)(?:^|[\s\"'])/\Z|(?:^|\s)[^\s=\"'/]+/\Z")
 _NAME_WORDS = re.compile(r"[a-z]+")
 
 
@@ -82,6 +87,8 @@ class _Cutter:
     linked: int = 0
 
     def text(self, raw: str) -> None:
+        if self.stack and self.stack[-1].tag == "head" and raw.strip():
+            self.stack.pop()
         if raw and not any(o.silent for o in self.stack):
             self.parts.append(raw)
             if any(o.tag == "a" for o in self.stack):
@@ -97,7 +104,10 @@ class _Cutter:
                 self.blocks.append(Block(text, tags, names, min(self.linked, len(text))))
             self.parts, self.linked = [], 0
 
-    def open(self, tag: str, attributes: str) -> None:
+    def open(self, tag: str, attributes: str) -> bool:
+        """Whether the element is open now."""
+        if self.stack and self.stack[-1].tag == "head" and tag not in HEAD_TAGS:
+            self.stack.pop()
         if tag == "br":
             self.text(" ")
         if tag in BLOCK_TAGS:
@@ -109,10 +119,13 @@ class _Cutter:
                     break
                 if held in BLOCK_TAGS:
                     break
-        if tag not in VOID_TAGS:
-            found = [next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(attributes)] if "=" in attributes else []
-            names = tuple(w for value in found for w in _NAME_WORDS.findall(value.lower()))
-            self.stack.append(_Open(tag, names, tag in SILENT_TAGS))
+        foreign = tag in FOREIGN_TAGS or any(o.tag in FOREIGN_TAGS for o in self.stack)
+        if tag in VOID_TAGS or (foreign and _SELF_CLOSED.search(attributes)):
+            return False
+        found = [next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(attributes)] if "=" in attributes else []
+        names = tuple(w for value in found for w in _NAME_WORDS.findall(value.lower()))
+        self.stack.append(_Open(tag, names, tag in SILENT_TAGS))
+        return True
 
     def close(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
@@ -121,7 +134,7 @@ class _Cutter:
             if self.stack[i].tag == tag:
                 del self.stack[i:]
                 return
-            if tag not in BLOCK_TAGS and self.stack[i].tag in BLOCK_TAGS:
+            if tag not in BLOCK_TAGS | SILENT_TAGS and self.stack[i].tag in BLOCK_TAGS:
                 return  # a stray end tag of a formatting element
 
 
@@ -139,8 +152,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[1]:
             cutter.close(tag)
             continue
-        cutter.open(tag, m[3])
-        if tag in RAW_TAGS:
+        if cutter.open(tag, m[3]) and tag in RAW_TAGS:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             at = end.start() if end else len(page)
     cutter.text(page[at:])
