@@ -5,7 +5,8 @@ a block are its ancestors' tags, the words of their class, id and role attribute
 share of links, stops, place in the page). The chain has two states, main and other; weights are trained by gradient
 steps on the log-likelihood (forward-backward) and pages are decoded by Viterbi.
 
-Labelled pages for training come from a bounded sample of the table (`train_pages`, by hash). Blocks inside
+Labelled pages for training come from a bounded sample (`train_pages` and SAMPLE_BYTES, by hash) of the distinct pages with an
+article or main element, long pages too; if none has a labelled block, the field is fitted on a page of ours in the fixed layouts. Blocks inside
 article or main elements that are not in a nested menu, header, footer, aside or form are labelled main, all others not. As
 those elements give the label away, each page is also trained on in other clothes: its blocks are set in fixed
 layouts of generic elements (div, section) whose class words tell the parts, with sidebars, notices, adverts, forms and
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 300
+#: What the sample holds at most, unless its smallest page alone is longer; blocks in one training chain.
+SAMPLE_BYTES, CHAIN_BLOCKS = 16 << 20, 1000
 ROUNDS, RATE, RIDGE = 60, 0.5, 1e-4
 
 # HTML elements by their role in cutting a page.
@@ -314,13 +317,29 @@ def labelled_pages(pages: list[str]) -> list[tuple[list[list[str]], list[int]]]:
     return out
 
 
-def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, longest: int = 100_000) -> Field:
-    """Fit on at most some `train_pages` pages, on average, of at most `longest` bytes each."""
-    fit = pages.where(F.octet_length("html") <= longest)
-    n = fit.count()
-    place = F.pmod(F.xxhash64(F.lit("crf"), "html"), F.lit(1 << 30)) / float(1 << 30)
-    rows = fit.where(place < min(1.0, train_pages / max(n, 1))).select("html").orderBy(F.xxhash64("html"), "html").collect()
-    return train_field(labelled_pages([r.html for r in rows][: 2 * train_pages]))
+#: A page for tables without a labelled one.
+SEED_PAGE = """<html><body><header><p>The Daily Site</p></header><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li><li><a href="/c">Contact</a></li></ul></nav>
+<article><h1>How rivers shape the land</h1><p>Water carries sand and stone from the hills to the plain. Over many years a valley grows wide, and its floor becomes level.</p>
+<p>Where the river slows, it drops what it carries. Farmers have used that soil for thousands of years, and towns grew beside it.</p><p>Floods are part of this. They bring new soil, but they also take houses and roads away.</p></article>
+<aside><p><a href="/r">Related stories</a></p><p>Buy our maps today</p></aside><footer><p>© All rights reserved</p></footer></body></html>"""
+
+
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """Fit on some `train_pages` distinct pages, on average, of `sample_bytes` in all."""
+    fit = pages.where(F.rlike("html", F.lit(r"(?i)<(article|main)[\s/>]"))).select("html", F.xxhash64(F.lit("crf"), "html").alias("a"), F.xxhash64("html").alias("b"))
+    heads = fit.select("a", "b", F.octet_length("html").alias("bytes")).distinct()  # copies are one page
+    n = heads.count()
+    place = F.pmod("a", F.lit(1 << 30)) / float(1 << 30)
+    drawn = heads.where(place < min(1.0, train_pages / max(n, 1))).orderBy("b", "a").limit(2 * train_pages).collect() or heads.orderBy("b", "a").limit(1).collect()
+    chosen, room = [], sample_bytes
+    for r in drawn:
+        if r.bytes <= room:
+            chosen.append(r)
+            room -= r.bytes
+    chosen = chosen or sorted(drawn, key=lambda r: (r.bytes, r.b))[:1]
+    rows = fit.where(F.col("b").isin([r.b for r in chosen])).groupBy("a", "b").agg(F.first("html").alias("html")).orderBy("b", "a").collect() if chosen else []
+    found = labelled_pages([r.html for r in rows]) or labelled_pages([SEED_PAGE])
+    return train_field([(f[i : i + CHAIN_BLOCKS], s[i : i + CHAIN_BLOCKS]) for f, s in found for i in range(0, len(f), CHAIN_BLOCKS)])
 
 
 def main_text(page: str, model: Field) -> str:
