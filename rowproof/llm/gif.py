@@ -3,7 +3,7 @@
 `encode_payloads` stores bytes losslessly as the 8-bit palette indexes of an animated GIF; `decode_frames`
 reads any GIF column back: it parses the blocks, inflates each LZW stream, undoes interlacing, applies the
 local or global palette, composes the canvas by the disposal and transparency rules, and stores one struct per
-timed frame with a colour histogram of the canvas shown.
+timed frame with a colour histogram of the canvas shown. `histogram` counts the area of every frame once, all frames together.
 
 Defined cases: a null medium has no frames and null samples; a broken or truncated medium keeps the frames
 before the fault and names it in `error`; equal bytes give equal results; frames that reach over the canvas
@@ -271,34 +271,35 @@ FRAME_DDL = "array<struct<start_ms:int,delay_ms:int,disposal:int,left:int,top:in
 
 
 def decode_frames(media: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:
-    """The columns in `keep`, `media`, `frames` (timed, with histograms), `samples` (all frames' indexes in order) and `error`."""
+    """The columns in `keep`, `media`, `frames` (timed, with histograms), `histogram` (all frames' areas), `samples` (all frames' indexes in order) and `error`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frames, samples, errors = [], [], []
+            frames, totals, samples, errors = [], [], [], []
             for blob in batch.column(batch.num_columns - 1).to_pylist():
-                timed, parts, error = [], [], None
+                timed, total, parts, error = [], np.zeros(BINS, np.int64), [], None
                 try:
                     for f in read_gif(blob) if blob is not None else ():
                         timed.append({**{k: getattr(f, k) for k in ("start_ms", "delay_ms", "disposal", "left", "top", "width", "height")}, "histogram": colour_histogram(f.canvas).tolist()})
+                        total += colour_histogram(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width].copy())
                         parts.append(f.samples)
                 except ValueError as e:
                     error = str(e)
                 frames.append(timed)
+                totals.append(total.tolist())
                 samples.append(None if blob is None else b"".join(parts))
                 errors.append(error)
-            made = [pa.array(frames, pa.list_(FRAME_TYPE)), pa.array(samples, pa.binary()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "frames", "samples", "error"])
+            made = [pa.array(frames, pa.list_(FRAME_TYPE)), pa.array(totals, pa.list_(pa.int64())), pa.array(samples, pa.binary()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "frames", "histogram", "samples", "error"])
 
     names = [*keep, "media"]
     kinds = "".join(f"`{k}` {media.schema[k].dataType.simpleString()}, " for k in keep)
-    return media.select(*keep, F.col(media_col).alias("media")).mapInArrow(run, f"{kinds}media binary, frames {FRAME_DDL}, samples binary, error string")
+    return media.select(*keep, F.col(media_col).alias("media")).mapInArrow(run, f"{kinds}media binary, frames {FRAME_DDL}, histogram array<long>, samples binary, error string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Store every text as a GIF, read it back, and derive hashes and a feature text."""
     seen = decode_frames(encode_payloads(docs), ["doc_id", "n_bytes"])
-    first = F.col("frames")[0]["histogram"]
     return seen.select(
         "doc_id",
         "n_bytes",
@@ -311,7 +312,7 @@ def digests(docs: DataFrame) -> DataFrame:
             ";",
             F.concat(F.lit("frames="), F.size("frames")),
             F.concat(F.lit("ms="), F.expr("aggregate(frames, 0, (a, f) -> a + f.delay_ms)")),
-            F.concat(F.lit("hist="), F.array_join(first.cast("array<string>"), ",")),
+            F.concat(F.lit("hist="), F.array_join(F.col("histogram").cast("array<string>"), ",")),
         ).alias("feature"),
         "error",
     )
