@@ -151,10 +151,10 @@ def _candidate(delim: str, quote: str, rank: int) -> Column:
     return F.struct(F.lit(rank).alias("rank"), *[F.lit(v).alias(k) for k, v in parts.items()])
 
 
-def dialect_scores(df: DataFrame, id_col: str, text_col: str = "text", delim: str | None = None, quote: str | None = None) -> DataFrame:
+def dialect_scores(df: DataFrame, id_col: str, text_col: str = "text", delim: str | None = None, quote: str | None = None, opening_chars: int | None = None) -> DataFrame:
     """One row per text and candidate: id, delim, quote, score, mode, rank (the order that ties prefer).
 
-    The opening rows of a text are read by each dialect: equal widths and more columns count for it, open
+    The text is read whole, or its first `opening_chars` where it is a file's. The opening rows of a text are read by each dialect: equal widths and more columns count for it, open
     quotes, junk and marks in bare fields against it. Lone blank lines and a record that the opening cuts do not count.
     """
     pairs = [(d, q) for d in ([delim] if delim else DELIMITERS) for q in ([quote] if quote else QUOTES) if d != q]
@@ -162,12 +162,12 @@ def dialect_scores(df: DataFrame, id_col: str, text_col: str = "text", delim: st
         raise ValueError("delimiter and quote must be different characters")
     text = F.coalesce(F.col(text_col), F.lit(""))
     candidates = F.explode(F.array(*[_candidate(d, q, i) for i, (d, q) in enumerate(pairs)]))
-    opening = df.select(id_col, F.substring(text, 1, SNIFF_CHARS).alias("_t"), (F.length(text) > SNIFF_CHARS).alias("_more"), candidates.alias("c"))
+    part, more = (text, F.lit(False)) if opening_chars is None else (F.substring(text, 1, opening_chars), F.length(text) > opening_chars)
+    opening = df.select(id_col, part.alias("_t"), more.alias("_more"), candidates.alias("c"))
     found = F.arrays_zip(F.regexp_extract_all("_t", F.col("c.record"), F.lit(1)).alias("raw"), F.regexp_extract_all("_t", F.col("c.record"), F.lit(2)).alias("end"))
-    found = F.filter(found, lambda x: x["raw"] != "")
-    rows = opening.select(id_col, "c", "_more", found.alias("_r")).select(id_col, "c", "_more", F.posexplode_outer("_r").alias("_nth", "_x"))
+    found = F.slice(F.filter(found, lambda x: (x["raw"] != "") & ~(F.col("_more") & (x["end"] == ""))), 1, SNIFF_ROWS)
     # A text without records keeps one row, whose width is null.
-    rows = rows.where(F.col("_nth").isNull() | ((F.col("_nth") < SNIFF_ROWS) & ~(F.col("_more") & (F.col("_x.end") == ""))))
+    rows = opening.select(id_col, "c", found.alias("_r")).select(id_col, "c", F.explode_outer("_r").alias("_x"))
     rows = rows.withColumn("_f", F.regexp_extract_all("_x.raw", F.col("c.field"), F.lit(1)))
     marked = lambda x: F.startswith(x, F.col("c.quote"))
     count = lambda test: F.size(F.filter("_f", test))

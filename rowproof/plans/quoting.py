@@ -43,7 +43,7 @@ def profile_file(spark: SparkSession, path: str, delim: str | None = None, quote
         if first.error:
             return FileProfile(path, first.error)
         if not (delim and quote):
-            d = delimited.choose_dialect(delimited.dialect_scores(texts, "path", delim=delim, quote=quote), "path", delim, quote).first()
+            d = delimited.choose_dialect(delimited.dialect_scores(texts, "path", delim=delim, quote=quote, opening_chars=delimited.SNIFF_CHARS), "path", delim, quote).first()
             status, delim, quote = d.delim_status, d.delim, d.quote
         else:
             status = "given"

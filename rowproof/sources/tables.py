@@ -25,7 +25,7 @@ def sniff(texts: DataFrame, overrides: dict[str, dict[str, str]] | None = None,
     given = (overrides or {}).get(side)
     if given:
         return Format(given.get("delim", ","), given.get("quote", '"'), "settings")
-    r = delimited.choose_dialect(delimited.dialect_scores(texts, "path"), "path").first()
+    r = delimited.choose_dialect(delimited.dialect_scores(texts, "path", opening_chars=delimited.SNIFF_CHARS), "path").first()
     if r is None:
         return Format(note="empty file")
     return Format(r.delim, r.quote, r.delim_status, "comma assumed" if r.delim_status == "guessed" else "")
