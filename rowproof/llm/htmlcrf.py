@@ -1,184 +1,63 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks.
 
-A page is cut into leaf blocks, the text between the borders of block elements, each with its open ancestors. Features of
+A page is cut into leaf blocks (htmlblocks.py), the text between the borders of block elements. Features of
 a block are its ancestors' tags, the words of their class, id and role attributes, and measures of its text (length,
 share of links, stops, place in the page). The chain has two states, main and other; weights are trained by gradient
-steps on the log-likelihood (forward-backward) and pages are decoded by Viterbi.
+steps on the log-likelihood (forward-backward) and pages are decoded by Viterbi. Time and memory are linear in a page.
 
-Labelled pages for training come from a bounded sample (`train_pages` and SAMPLE_BYTES, by hash) of the distinct pages with an
-article or main element, long pages too; if none has a labelled block, the field is fitted on a page of ours in the fixed layouts. Blocks inside
-article or main elements that are not in a nested menu, header, footer, aside or form are labelled main, all others not. As
-those elements give the label away, each page is also trained on in other clothes: its blocks are set in fixed
+Labelled pages for training come from a bounded sample (`train_pages`, SAMPLE_BYTES and SAMPLE_BLOCKS, by hash; MOST_ANCESTRY ancestor
+features for each block) of the distinct pages with an article or main element. Blocks inside
+article or main elements that are not in a nested menu, header, footer, aside or form are labelled main, all others not. If no
+page has such an element, any pages are drawn and the run of blocks with most text is main; if that labels nothing either, the field is
+fitted on a page of ours. As those elements give the label away, each page is also trained on in other clothes: its blocks are set in fixed
 layouts of generic elements (div, section) whose class words tell the parts, with sidebars, notices, adverts, forms and
 reader comments added from the page's own side texts, so that the field learns class words and text measures as well.
 
-Defined cases: a null or empty html gives the empty text; script, style, template, head and comments never give text, nor do svg,
+Defined cases: a null or empty html gives the empty text, an empty table no rows; script, style, template, head and comments never give text, nor do svg,
 iframe and textarea, the fallbacks in noscript and object, and the annotations of a formula, whose own text stays; a head ends where
-its first other element or text begins, a foreign element (svg, math and what they hold) at its "/>"; an unclosed
-element ends where its parent does, or where the HTML rules close it (p, li, tr, td, option); character
-references are decoded, also those without a semicolon that HTML allows; `br` counts as white space; ids and urls are carried
-as they are; equal pages give equal texts; nothing is cut off.
+its first other element or text begins, a foreign element (svg, math and what they hold) at its "/>", an open drawing or formula at the
+next block element; an unclosed element ends where its parent does, or where the HTML rules close it (p, li, tr, td, option); what follows an
+unclosed comment or tag at the end of the page is part of it; character references are decoded, also those without a semicolon that HTML
+allows; `br` counts as white space; ids and urls are carried as they are; equal pages give equal texts, repeated rows a row each; extra columns
+are ignored; a page of any length is read whole.
 """
 
 from __future__ import annotations
 
-import html
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.llm.htmlblocks import Block, Node, chain, leaf_blocks
+
 TRAIN_PAGES = 300
-#: What the sample holds at most, unless its smallest page alone is longer; blocks in one training chain.
-SAMPLE_BYTES, CHAIN_BLOCKS = 16 << 20, 1000
-ROUNDS, RATE, RIDGE = 60, 0.5, 1e-4
-
-# HTML elements by their role in cutting a page.
-BLOCK_TAGS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary "
-    "table tbody td tfoot th thead tr ul".split()
-)
-VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript head title textarea svg annotation annotation-xml iframe object".split())
-HEAD_TAGS = frozenset("title base basefont bgsound link meta script style template noscript noframes".split())
-FOREIGN_TAGS = frozenset(["svg", "math"])
-RAW_TAGS = frozenset("script style textarea title iframe".split())
-CLOSES = {
-    "p": frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
-    "li": frozenset(["li"]),
-    "dt": frozenset(["dt", "dd"]),
-    "dd": frozenset(["dt", "dd"]),
-    "tr": frozenset(["tr", "tbody", "tfoot"]),
-    "td": frozenset(["td", "th", "tr", "tbody"]),
-    "th": frozenset(["td", "th", "tr", "tbody"]),
-    "option": frozenset(["option", "optgroup"]),
-}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SELF_CLOSED = re.compile(r"(?<!=)(?:^|[\s\"'])/\Z|(?:^|\s)[^\s=\"'/]+/\Z")
-_NAME_WORDS = re.compile(r"[a-z]+")
+#: What the sample holds at most; blocks in one training chain; words that a block costs a run of text.
+SAMPLE_BYTES, SAMPLE_BLOCKS, CHAIN_BLOCKS, RUN_COST = 8 << 20, 60_000, 1000, 8
+ROUNDS, RATE, RIDGE = 150, 0.5, 1e-4
 
+#: Ancestor features of a block in training, the innermost first.
+MOST_ANCESTRY = 64
 
-@dataclass
-class Block:
-    text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
-    linked: int = 0
 
-
-@dataclass
-class _Open:
-    tag: str
-    names: tuple[str, ...] = ()
-    silent: bool = False
-
-
-@dataclass
-class _Cutter:
-    """Collects the text of leaf blocks while tags open and close."""
-
-    stack: list[_Open] = field(default_factory=list)
-    blocks: list[Block] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-
-    def text(self, raw: str) -> None:
-        if self.stack and self.stack[-1].tag == "head" and raw.strip():
-            self.stack.pop()
-        if raw and not any(o.silent for o in self.stack):
-            self.parts.append(raw)
-            if any(o.tag == "a" for o in self.stack):
-                self.linked += len(raw)
-
-    def flush(self) -> None:
-        if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
-            if text:
-                # Formatting elements stay open over block borders; only blocks count as ancestors.
-                tags = tuple(o.tag for o in self.stack if o.tag in BLOCK_TAGS)
-                names = tuple(n for o in self.stack for n in o.names)
-                self.blocks.append(Block(text, tags, names, min(self.linked, len(text))))
-            self.parts, self.linked = [], 0
-
-    def open(self, tag: str, attributes: str) -> bool:
-        """Whether the element is open now."""
-        if self.stack and self.stack[-1].tag == "head" and tag not in HEAD_TAGS:
-            self.stack.pop()
-        if tag == "br":
-            self.text(" ")
-        if tag in BLOCK_TAGS:
-            self.flush()
-            for i in range(len(self.stack) - 1, -1, -1):
-                held = self.stack[i].tag
-                if tag in CLOSES.get(held, ()):
-                    del self.stack[i:]
-                    break
-                if held in BLOCK_TAGS:
-                    break
-        foreign = tag in FOREIGN_TAGS or any(o.tag in FOREIGN_TAGS for o in self.stack)
-        if tag in VOID_TAGS or (foreign and _SELF_CLOSED.search(attributes)):
-            return False
-        found = [next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(attributes)] if "=" in attributes else []
-        names = tuple(w for value in found for w in _NAME_WORDS.findall(value.lower()))
-        self.stack.append(_Open(tag, names, tag in SILENT_TAGS))
-        return True
-
-    def close(self, tag: str) -> None:
-        if tag in BLOCK_TAGS:
-            self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCK_TAGS | SILENT_TAGS and self.stack[i].tag in BLOCK_TAGS:
-                return  # a stray end tag of a formatting element
-
-
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order."""
-    cutter, at, raw = _Cutter(), 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        tag = m[2].lower() if m[2] else ""
-        cutter.text(page[at : m.start()])
-        at = m.end()
-        if not tag:
-            continue
-        if m[1]:
-            cutter.close(tag)
-            continue
-        if cutter.open(tag, m[3]) and tag in RAW_TAGS:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            at = end.start() if end else len(page)
-    cutter.text(page[at:])
-    cutter.flush()
-    return cutter.blocks
+def own_features(b: Block, i: int, n: int) -> list[str]:
+    """The features of a block apart from its ancestry: i is its place among n blocks."""
+    f = ["leaf:" + b.node.leaf, f"words:{min(b.text.count(' ') + 1, 200).bit_length()}", f"links:{4 * b.linked // max(len(b.text), 1)}"]
+    f.append(f"stops:{min(sum(b.text.count(c) for c in '.!?'), 3)}")
+    if "©" in b.text:
+        f.append("has:copyright")
+    f.append("place:first" if i == 0 else "place:last" if i == n - 1 else "place:inner")
+    f.append("bias")
+    return f
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
-    """The feature names of each block."""
-    n, out = len(blocks), []
-    for i, b in enumerate(blocks):
-        words = b.text.count(" ") + 1
-        f = [f"in:{t}" for t in dict.fromkeys(b.tags)] + [f"name:{w}" for w in dict.fromkeys(b.names)]
-        f.append("leaf:" + (b.tags[-1] if b.tags else "none"))
-        f.append(f"words:{min(words, 200).bit_length()}")
-        f.append(f"links:{4 * b.linked // max(len(b.text), 1)}")
-        f.append(f"stops:{min(sum(b.text.count(c) for c in '.!?'), 3)}")
-        if "©" in b.text:
-            f.append("has:copyright")
-        f.append("place:first" if i == 0 else "place:last" if i == n - 1 else "place:inner")
-        f.append("bias")
-        out.append(f)
-    return out
+    """The feature names of each block, for training."""
+    return [b.node.features(MOST_ANCESTRY) + own_features(b, i, len(blocks)) for i, b in enumerate(blocks)]
 
 
 @dataclass
@@ -188,26 +67,47 @@ class Field:
     weights: dict[str, tuple[float, float]]
     steps: np.ndarray  # [from, to]
 
+    def unaries(self, blocks: list[Block]) -> list[tuple[float, float]]:
+        """The weights of both states for each block; a node's sum is made once, from that of the node around it."""
+        get, none = self.weights.get, (0.0, 0.0)
+
+        def summed(features: Iterable[str], at: tuple[float, float]) -> tuple[float, float]:
+            u, v = at
+            for f in features:
+                p, q = get(f, none)
+                u, v = u + p, v + q
+            return u, v
+
+        known: dict[int, tuple[float, float]] = {}
+        out = []
+        for i, b in enumerate(blocks):
+            open_nodes, node = [], b.node
+            while node is not None and id(node) not in known:
+                open_nodes.append(node)
+                node = node.parent
+            at = none if node is None else known[id(node)]
+            for node in reversed(open_nodes):
+                at = known[id(node)] = summed(node.added, at)
+            out.append(summed(own_features(b, i, len(blocks)), at))
+        return out
+
     def decode(self, rows: list[list[str]]) -> list[int]:
-        """The likeliest states by Viterbi; 1 is main."""
-        if not rows:
+        """The likeliest states of blocks given by all their features."""
+        none = (0.0, 0.0)
+        found = [[self.weights.get(f, none) for f in row] for row in rows]
+        return self.viterbi([(sum(p for p, _ in r), sum(q for _, q in r)) for r in found])
+
+    def viterbi(self, unaries: list[tuple[float, float]]) -> list[int]:
+        """The likeliest states; 1 is main."""
+        if not unaries:
             return []
-        get, none = self.weights.get, (0.0, 0.0)
         (aa, ab), (ba, bb) = self.steps.tolist()
         back: list[tuple[int, int]] = []
-        x, y = 0.0, 0.0
-        for k, row in enumerate(rows):
-            u = v = 0.0
-            for f in row:
-                p, q = get(f, none)
-                u += p
-                v += q
-            if k:
-                x0, x1, y0, y1 = x + aa, y + ba, x + ab, y + bb
-                back.append((int(x1 > x0), int(y1 > y0)))
-                x, y = max(x0, x1) + u, max(y0, y1) + v
-            else:
-                x, y = u, v
+        x, y = unaries[0]
+        for u, v in unaries[1:]:
+            x0, x1, y0, y1 = x + aa, y + ba, x + ab, y + bb
+            back.append((int(x1 > x0), int(y1 > y0)))
+            x, y = max(x0, x1) + u, max(y0, y1) + v
         state = int(y > x)
         states = [state]
         for step in reversed(back):
@@ -261,10 +161,6 @@ def train_field(pages: list[tuple[list[list[str]], list[int]]], rounds: int = RO
     return Field({f: (float(theta[i, 0]), float(theta[i, 1])) for f, i in names.items()}, steps)
 
 
-# Elements that hold the article, and those that never do.
-MAIN_TAGS = frozenset(["article", "main"])
-SIDE_TAGS = frozenset(["nav", "header", "footer", "aside", "form", "menu", "dialog"])
-SIDE_WORDS = frozenset("ad ads advert comment comments menu sidebar footer cookie notice banner promo related share".split())
 #: Class words of the layouts that labelled pages are also set in; the first of each part is generic.
 LAYOUTS = (
     {"main": ("div", "content"), "menu": ("div", "menu"), "head": ("div", "header"), "side": ("div", "sidebar"), "ad": ("div", "ad"), "notice": ("div", "cookie notice"), "form": ("form", "search"), "comment": ("div", "comments"), "foot": ("div", "footer")},
@@ -276,43 +172,83 @@ LAYOUTS = (
 
 def weak_labels(blocks: list[Block]) -> list[int]:
     """1 for blocks inside an article or main element and in no side element or side class within it."""
-    out = []
-    for b in blocks:
-        at = max((i for i, t in enumerate(b.tags) if t in MAIN_TAGS), default=-1)
-        out.append(int(at >= 0 and not SIDE_TAGS.intersection(b.tags[at:]) and not SIDE_WORDS.intersection(b.names)))
-    return out
-
-
-def dressed(blocks: list[Block], states: list[int], layout: dict[str, tuple[str, str]]) -> tuple[list[Block], list[int]]:
+    return [int(b.node.inside and not b.node.worded) for b in blocks]
+
+
+def run_labels(blocks: list[Block]) -> list[int]:
+    """For pages without such elements: 1 for the blocks of the run that holds most text, outside side elements and classes.
+
+    The run is that of the largest sum of words outside links, less RUN_COST for each block, and goes on while its neighbours stand in
+    the same elements as its own blocks.
+    """
+    aside = [b.node.sided or b.node.worded for b in blocks]
+    gains = [-RUN_COST if a else (b.text.count(" ") + 1) * (1 - b.linked / max(len(b.text), 1)) - RUN_COST for a, b in zip(aside, blocks)]
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, g in enumerate(gains):
+        if total <= 0:
+            total, start = 0.0, i
+        total += g
+        if total > best:
+            best, span = total, (start, i + 1)
+    first, end = span
+    within = {id(b.node.parent) for b in blocks[first:end]}
+    while 0 < first < end and id(blocks[first - 1].node.parent) in within:
+        first -= 1
+    while first < end < len(blocks) and id(blocks[end].node.parent) in within:
+        end += 1
+    return [int(first <= i < end and not a) for i, a in enumerate(aside)]
+
+
+def _inside(around: Node, *tags: str) -> Node:
+    """The ancestry of a block within further elements."""
+    for tag in tags:
+        around = around.under(tag, (), (f"in:{tag}",) if f"in:{tag}" not in around.features(MOST_ANCESTRY) else ())
+    return around
+
+
+def _setting(b: Block, i: int, heading: str) -> tuple[str, ...]:
+    """The elements that the i-th block of an article is set in: headings, and now and then a list, a quotation or a table."""
+    if re.fullmatch("h[1-6]", b.node.leaf):
+        return (heading,)
+    return ("ul", "li") if i % 5 == 3 else ("blockquote", "p") if i % 7 == 5 else ("table", "tr", "td") if i % 11 == 8 else ("p",)
+
+
+def dressed(blocks: list[Block], states: list[int], layout: dict[str, tuple[str, str]], heading: str = "h1") -> tuple[list[Block], list[int]]:
     """The page's article in another layout: side parts hold the page's own side texts, comments its own sentences."""
     main = [b for b, s in zip(blocks, states) if s]
-    aside = [b for b, s in zip(blocks, states) if not s] or [Block("Home", (), (), 4)]
-    short = [b.text for b in aside]
+    short = [b.text for b, s in zip(blocks, states) if not s] or ["Home"]
     prose = [s for b in main for s in re.split(r"(?<=[.!?]) ", b.text) if s]
 
+    def around(kind: str) -> Node:
+        return chain(["html", "body", layout[kind][0]], layout[kind][1].split())
+
     def part(kind: str, texts: list[str], leaf: str, linked: bool = False) -> list[tuple[Block, int]]:
-        tag, words = layout[kind]
-        return [(Block(t, ("html", "body", tag, leaf), tuple(words.split()), len(t) if linked else 0), int(kind == "main")) for t in texts]
+        node = _inside(around(kind), leaf)
+        return [(Block(t, node, len(t) if linked else 0), 0) for t in texts]
 
     rows = part("notice", short[-1:], "p") + part("head", short[:1], "div") + part("menu", short[:6], "li", True) + part("ad", short[-2:-1] or short[:1], "div")
-    for b in main:
-        tag, words = layout["main"]
-        rows.append((Block(b.text, ("html", "body", tag, b.tags[-1] if b.tags and b.tags[-1] not in MAIN_TAGS else "p"), tuple(words.split()), b.linked), 1))
-    rows += part("ad", short[-1:], "div") + part("comment", prose[:3], "p") + part("form", short[:2], "div") + part("side", [*short[:2], *prose[3:5]], "p", False) + part("foot", short[-1:], "p")
+    article = around("main")
+    told = [(Block(b.text, _inside(article, *_setting(b, i, heading)), b.linked), 1) for i, b in enumerate(main)]
+    # A box within the article: what others say, beside its first blocks.
+    tag, words = layout["side"]
+    box = _inside(article.under(tag, tuple(words.split()), tuple(f"name:{w}" for w in words.split())), "p")
+    rows += told[:2] + [(Block(t, box, len(t)), 0) for t in short[-1:]] + told[2:]
+    rows += part("ad", short[-1:], "div") + part("comment", prose[:3], "p") + part("form", short[:2], "div") + part("side", [*short[:2], *prose[3:5]], "p") + part("foot", short[-1:], "p")
     return [b for b, _ in rows], [s for _, s in rows]
 
 
-def labelled_pages(pages: list[str]) -> list[tuple[list[list[str]], list[int]]]:
-    """Feature rows and states of each page as it is, and in each layout."""
-    out = []
+def labelled_pages(pages: list[str], labels: Callable[[list[Block]], list[int]] = weak_labels) -> list[tuple[list[list[str]], list[int]]]:
+    """Feature rows and states of each page as it is, and in each layout: pages until SAMPLE_BLOCKS blocks."""
+    out, room = [], SAMPLE_BLOCKS
     for page in pages:
-        blocks = leaf_blocks(page)
-        states = weak_labels(blocks)
+        blocks = leaf_blocks(page)[:room]
+        states = labels(blocks)
         if not any(states):
             continue
+        room -= len(blocks)
         out.append((block_features(blocks), states))
-        for layout in LAYOUTS:
-            other, marks = dressed(blocks, states, layout)
+        for layout, heading in zip(LAYOUTS, ("h1", "h2", "h1", "h3")):
+            other, marks = dressed(blocks, states, layout, heading)
             out.append((block_features(other), marks))
     return out
 
@@ -324,27 +260,39 @@ SEED_PAGE = """<html><body><header><p>The Daily Site</p></header><nav><ul><li><a
 <aside><p><a href="/r">Related stories</a></p><p>Buy our maps today</p></aside><footer><p>© All rights reserved</p></footer></body></html>"""
 
 
-def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, sample_bytes: int = SAMPLE_BYTES) -> Field:
-    """Fit on some `train_pages` distinct pages, on average, of `sample_bytes` in all."""
-    fit = pages.where(F.rlike("html", F.lit(r"(?i)<(article|main)[\s/>]"))).select("html", F.xxhash64(F.lit("crf"), "html").alias("a"), F.xxhash64("html").alias("b"))
-    heads = fit.select("a", "b", F.octet_length("html").alias("bytes")).distinct()  # copies are one page
+def drawn(pages: DataFrame, train_pages: int = TRAIN_PAGES, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """Some `train_pages` distinct pages, on average, by hash, of `sample_bytes` in all; a longer one counts by its opening."""
+    hashed = pages.select("html", F.xxhash64(F.lit("crf"), "html").alias("a"), F.xxhash64("html").alias("b"))
+    heads = hashed.select("a", "b", F.octet_length("html").alias("bytes")).distinct()  # copies are one page
     n = heads.count()
     place = F.pmod("a", F.lit(1 << 30)) / float(1 << 30)
-    drawn = heads.where(place < min(1.0, train_pages / max(n, 1))).orderBy("b", "a").limit(2 * train_pages).collect() or heads.orderBy("b", "a").limit(1).collect()
+    most = 2 * train_pages
+    rows = heads.where(place < min(1.0, train_pages / max(n, 1))).orderBy("b", "a").limit(most).collect() or heads.orderBy("b", "a").limit(1).collect()
     chosen, room = [], sample_bytes
-    for r in drawn:
+    for r in rows:
         if r.bytes <= room:
             chosen.append(r)
             room -= r.bytes
-    chosen = chosen or sorted(drawn, key=lambda r: (r.bytes, r.b))[:1]
-    rows = fit.where(F.col("b").isin([r.b for r in chosen])).groupBy("a", "b").agg(F.first("html").alias("html")).orderBy("b", "a").collect() if chosen else []
-    found = labelled_pages([r.html for r in rows]) or labelled_pages([SEED_PAGE])
+    chosen = chosen or sorted(rows, key=lambda r: (r.bytes, r.b))[:1]
+    if not chosen:
+        return []
+    opening = F.substring(F.first("html"), 1, sample_bytes)
+    found = hashed.where(F.col("b").isin([r.b for r in chosen])).groupBy("a", "b").agg(opening.alias("html")).orderBy("b", "a")
+    return [r.html for r in found.limit(most).collect()]
+
+
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """Fit on pages with an article or main element; if none is labelled, on any pages by their run of most text."""
+    some = pages.where("html is not null")
+    marked = some.where(F.rlike("html", F.lit(r"(?i)<(article|main)[\s/>]")))
+    found = labelled_pages(drawn(marked, train_pages, sample_bytes))
+    found = found or labelled_pages(drawn(some, train_pages, sample_bytes), run_labels) or labelled_pages([SEED_PAGE])
     return train_field([(f[i : i + CHAIN_BLOCKS], s[i : i + CHAIN_BLOCKS]) for f, s in found for i in range(0, len(f), CHAIN_BLOCKS)])
 
 
 def main_text(page: str, model: Field) -> str:
     blocks = leaf_blocks(page)
-    states = model.decode(block_features(blocks))
+    states = model.viterbi(model.unaries(blocks))
     return "\n".join(b.text for b, s in zip(blocks, states) if s)
 
 
