@@ -1,24 +1,32 @@
 """Toxicity: a linear classifier whose training penalises score changes when identity terms are swapped.
 
 Features are the distinct words of a whole text and the beginnings of those words. Training minimises
-logistic loss + ridge + `swap_penalty` times the squared change of the score between each labelled text that
-names a group and its two counterfactuals: one in which every identity term is replaced by the next one of its kind,
-and one without any. A group's name can then not carry a label that the rest of the sentence does not earn.
+logistic loss + ridge + `swap_penalty` times the mean squared change of the score between labelled texts and their
+counterfactuals. A text that names a group has two: one in which every identity term is replaced by the next one of its kind,
+and one without any. Every text has a third, in which one more term (by a hash of the text) is mentioned. A group's name, and what it
+has in common with other words, can then not carry a label that the rest of the sentence does not earn, be the group
+named in the labelled texts or not. The model says how many pairs of each sort changed a feature (`swaps`, `mentions`). `terms` holds the
+groups of terms, by default IDENTITY_TERMS for the four languages.
 
 Labels are learned from a bounded sample: `max_toxic` and `max_clean` rows at most, on average, chosen by a hash
-of the id. A score takes both classes as equally likely beforehand. Feature counts, selection and scoring run on Spark;
+of the id; an id with several documents is learned from once, by the first of its texts in order. Features are those in MIN_DOCS
+texts of the sample or more whose symmetric divergence between the classes is MIN_GAIN or more (identity terms whatever theirs),
+the MAX_FEATURES with most of it: bounds of the model, which weigh no document differently by the size of the table. A score
+takes both classes as equally likely beforehand. Feature counts, selection and scoring run on Spark;
 the fit itself sees only that sample's selected features. Every document is scored by its whole text.
 
 Defined cases: a null or empty text scores by the intercept alone; ids or labels that are null are not learned from; an id
 with several labels counts as toxic if any is 1; without labels of both kinds the score is the base rate (0
-without any); equal texts get equal scores; extra columns are ignored.
+without any); an empty table gives no rows; equal texts get equal scores, repeated rows a row each; texts of any length are read
+whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,22 +44,38 @@ PREFIXES = range(2, 7)
 THRESHOLD = 0.7
 SWAP_PENALTY = 4.0
 KEPT_WORDS = 250_000
+Terms = Sequence[Sequence[str]]
+
+# Identity terms by kind, each replaced by the next of its kind; English, French, German, Spanish.
+IDENTITY_TERMS = tuple(
+    tuple(kind.split())
+    for kind in (
+        "women men", "woman man", "girls boys", "muslims christians jews hindus buddhists atheists", "muslim christian jewish hindu buddhist atheist",
+        "gay straight lesbian bisexual transgender", "black white asian latino arab", "african european american chinese mexican",
+        "immigrants citizens refugees", "deaf blind disabled autistic", "old young",
+        "femmes hommes", "femme homme", "filles garçons", "musulmans chrétiens juifs hindous bouddhistes athées", "musulman chrétien juif hindou bouddhiste athée",
+        "homosexuel hétérosexuel lesbienne bisexuel transgenre", "noirs blancs asiatiques arabes", "africain européen américain chinois mexicain",
+        "immigrés citoyens réfugiés", "sourd aveugle handicapé autiste", "vieux jeunes",
+        "frauen männer", "frau mann", "mädchen jungen", "muslime christen juden buddhisten atheisten", "muslimisch christlich jüdisch hinduistisch buddhistisch",
+        "schwul hetero lesbisch bisexuell", "schwarze weiße asiatische arabische", "afrikaner europäer amerikaner chinesen mexikaner",
+        "einwanderer bürger flüchtlinge", "taub behindert autistisch", "alte junge",
+        "mujeres hombres", "mujer hombre", "chicas chicos", "musulmanes cristianos judíos hindúes budistas ateos", "musulmán cristiano judío hindú budista ateo",
+        "homosexual heterosexual lesbiana transexual", "negros blancos asiáticos árabes", "africanos europeos americanos chinos mexicanos",
+        "inmigrantes ciudadanos refugiados", "sordo ciego discapacitado autista", "viejos jóvenes",
+    )
+)
+
+
+def next_terms(groups: Terms) -> dict[str, str]:
+    """Each term with the next of its kind; a term of several kinds is of the first."""
+    out: dict[str, str] = {}
+    for group in groups:
+        for i, term in enumerate(group):
+            out.setdefault(term, group[(i + 1) % len(group)])
+    return out
+
 
-# Identity terms by kind, each replaced by the next of its kind.
-IDENTITY_TERMS = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("girls", "boys"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("black", "white", "asian", "latino", "arab"),
-    ("african", "european", "american", "chinese", "mexican"),
-    ("immigrants", "citizens", "refugees"),
-    ("deaf", "blind", "disabled", "autistic"),
-    ("old", "young"),
-)
-NEXT_TERM = {t: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, t in enumerate(group)}
+NEXT_TERM = next_terms(IDENTITY_TERMS)
 
 _WORD = re.compile(r"\w+")
 
@@ -65,13 +89,28 @@ def features(words: Iterable[str]) -> set[str]:
     return out
 
 
+def words_in(token: str) -> list[str]:
+    """The words of a token, which is what stands between white space."""
+    return _WORD.findall(token.lower())
+
+
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    return {w for token in set(text.split()) for w in words_in(token)}
 
 
-def swapped(words: set[str]) -> set[str]:
+def swapped(words: set[str], following: dict[str, str] = NEXT_TERM) -> set[str]:
     """The words after each identity term has become the next of its kind."""
-    return {NEXT_TERM.get(w, w) for w in words}
+    return {following.get(w, w) for w in words}
+
+
+def without_terms(words: set[str], following: dict[str, str] = NEXT_TERM) -> set[str]:
+    return {w for w in words if w not in following}
+
+
+def mentioning(words: set[str], following: dict[str, str] = NEXT_TERM) -> set[str]:
+    """The words and one term more, chosen by a hash of the words."""
+    terms = sorted(following)
+    return words | {terms[zlib.crc32(" ".join(sorted(words)).encode()) % len(terms)]} if terms else words
 
 
 @dataclass
@@ -79,45 +118,46 @@ class Model:
     bias: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
     base_rate: float | None = None
+    #: Pairs of texts and counterfactuals that differ in a feature of the model.
+    swaps: int = 0
+    mentions: int = 0
+
 
-    def score_words(self, words: Iterable[str]) -> float:
-        if self.base_rate is not None:
-            return self.base_rate
-        total = self.bias + sum(sorted(self.weights[f] for f in features(words) if f in self.weights))
-        return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
+Pairs = Sequence[tuple[Sequence[int], Sequence[int]]]
 
 
-def without_terms(words: set[str]) -> set[str]:
-    return {w for w in words if w not in NEXT_TERM}
+def _differences(pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, feature and sign of what each differing pair differs in, and the number of such pairs."""
+    apart = [(set(x).difference(y), set(y).difference(x)) for x, y in pairs]
+    apart = [(p, m) for p, m in apart if p or m]
+    entries = [(i, j, sign) for i, both in enumerate(apart) for part, sign in zip(both, (1.0, -1.0)) for j in sorted(part)]
+    row, col, sign = zip(*entries) if entries else ((), (), ())
+    return np.array(row, np.int64), np.array(col, np.int64), np.array(sign, float), len(apart)
 
 
-def fit(rows: list[list[int]], pairs: list[tuple[list[int], list[int]]], toxic: np.ndarray, n: int, *, swap_penalty: float, ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, float]:
-    """Weights and intercept for rows of feature numbers; pairs holds texts and their counterfactuals (equal ones are left out).
+def fit(rows: list[list[int]], pairs: Pairs, toxic: np.ndarray, n: int, *, swap_penalty: float, mentions: Pairs = (), ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, float]:
+    """Weights and intercept for rows of feature numbers; pairs and mentions hold texts and their counterfactuals (equal ones are left out).
 
     Both classes weigh half. The objective is smooth and convex; it is minimised by accelerated gradient steps
     from zero over the full bounded sample, so that the result is repeatable and features that many rows share
     come before those that name a single row.
     """
 
-    def flat(x: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(x)), [len(r) for r in x]), np.array([j for r in x for j in r], np.int64)
-
-    at, col = flat(rows)
-    changed = [(x, y) for x, y in pairs if list(x) != list(y)]
-    plus, minus = flat([x for x, _ in changed]), flat([y for _, y in changed])
-    m, k, y = len(rows), max(len(changed), 1), toxic.astype(float)
+    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([j for r in rows for j in r], np.int64)
+    m, y = len(rows), toxic.astype(float)
+    apart = [d for d in map(_differences, (pairs, mentions)) if d[3]] if swap_penalty else []
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     size = np.bincount(at, minlength=m) + 1.0
-    gap = np.bincount(plus[0], minlength=k) + np.bincount(minus[0], minlength=k)
-    step = 1 / (0.25 * (share * size).sum() + ridge + 2 * swap_penalty * gap.mean())  # the trace bounds the curvature
+    # The trace bounds the curvature.
+    step = 1 / (0.25 * (share * size).sum() + ridge + sum(2 * swap_penalty * len(d[0]) / d[3] for d in apart))
     w = look = np.zeros(n + 1)
     for t in range(1, steps + 1):
         z = np.bincount(at, look[col], m) + look[n]
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * share
         grad = np.append(np.bincount(col, g[at], n) + ridge * look[:n], g.sum())
-        if changed:
-            d = 2 * swap_penalty / k * (np.bincount(plus[0], look[plus[1]], k) - np.bincount(minus[0], look[minus[1]], k))
-            grad[:n] += np.bincount(plus[1], d[plus[0]], n) - np.bincount(minus[1], d[minus[0]], n)
+        for row, feature, sign, k in apart:
+            change = np.bincount(row, sign * look[feature], k)
+            grad[:n] += np.bincount(feature, 2 * swap_penalty / k * sign * change[row], n)
         moved = look - step * grad
         look, w = moved + (t - 1) / (t + 2) * (moved - w), moved
     return w[:n], w[n]
@@ -127,7 +167,7 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, swap_penalty: float = SWAP_PENALTY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, swap_penalty: float = SWAP_PENALTY, terms: Terms = IDENTITY_TERMS) -> Model:
     """Fit on labelled rows outside the held-out fold (crc32 of the id mod 3 is 1)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -138,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
     place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
     # The sample is bounded by max_toxic + max_clean rows of two numbers, so that it may be broadcast.
-    sample = saved(docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked), "doc_id"), "toxicity-sample")
+    held = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = saved(held.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    following = next_terms(terms)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
@@ -154,25 +196,30 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
         return Model(base_rate=n_toxic / (n_toxic + n_clean))
     p, q = (F.col("toxic") + 0.5) / (totals[1] + 1.0), (F.col("clean") + 0.5) / (totals[0] + 1.0)
     gain = (p - q) * F.log(p / q) * (2.0 * totals[1] * totals[0] / (totals[1] + totals[0]))
-    keep = (F.col("toxic") + F.col("clean") >= MIN_DOCS) & ((gain >= MIN_GAIN) | F.col("feature").isin(*NEXT_TERM))
+    keep = (F.col("toxic") + F.col("clean") >= MIN_DOCS) & ((gain >= MIN_GAIN) | F.col("feature").isin(*following))
     chosen = [r.feature for r in found.where(keep).orderBy(gain.desc(), "feature").limit(MAX_FEATURES).select("feature").collect()]
     if not chosen:
         return Model(base_rate=n_toxic / (n_toxic + n_clean))
     number = {f: i for i, f in enumerate(chosen)}
 
+    sorts = ("x", "swap", "plain", "mention")
+
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
-            rows = [[sorted(number[x] for x in features(w) if x in number) for w in (each, swapped(each), without_terms(each))] for each in words]
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            made = [(w, swapped(w, following), without_terms(w, following), mentioning(w, following)) for w in words]
+            rows = [[sorted(number[x] for x in features(w) if x in number) for w in four] for four in made]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k] for r in rows], kind) for k in range(3))], names=["doc_id", "toxic", "x", "swap", "plain"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array([r[k] for r in rows], kind) for k in range(4))], names=["doc_id", "toxic", *sorts])
 
     id_kind, label_kind = (sample.schema[c].dataType.simpleString() for c in ("doc_id", "toxic"))
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(indexed, f"doc_id {id_kind}, toxic {label_kind}, x array<int>, swap array<int>, plain array<int>")
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(indexed, f"doc_id {id_kind}, toxic {label_kind}, " + ", ".join(f"{c} array<int>" for c in sorts))
     data = rows.orderBy("doc_id", "x").collect()  # bounded as the sample is, and by the selected features
     pairs = [(r.x, other) for r in data for other in (r.swap, r.plain)]
-    weights, bias = fit([r.x for r in data], pairs, np.array([r.toxic for r in data]), len(chosen), swap_penalty=swap_penalty)
-    return Model(float(bias), {f: float(w) for f, w in zip(chosen, weights) if abs(w) > 1e-6})
+    mentions = [(r.x, r.mention) for r in data]
+    weights, bias = fit([r.x for r in data], pairs, np.array([r.toxic for r in data]), len(chosen), swap_penalty=swap_penalty, mentions=mentions)
+    changed = [sum(x != y for x, y in sort) for sort in (pairs, mentions)]
+    return Model(float(bias), {f: float(w) for f, w in zip(chosen, weights) if abs(w) > 1e-6}, None, *changed)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -191,7 +238,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                 if len(hits) > KEPT_WORDS:
                     hits = {}
                 for token in tokens.difference(hits):
-                    hits[token] = tuple(number[f] for f in features(_WORD.findall(token.lower())) if f in number)
+                    hits[token] = tuple(number[f] for f in features(words_in(token)) if f in number)
                 found = set().union(*filter(None, map(hits.__getitem__, tokens)))
                 scores.append(model.bias + weights[sorted(found)].sum() if found else model.bias)
             z = np.clip(np.array(scores, float), -60, 60)
@@ -200,7 +247,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     return docs.withColumn(name, scorer(text_of(text_col)))
 
 
-def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Train on the labels and judge every document."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
+def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """Train on the labels, by the options of `train`, and judge every document."""
+    scored = score(docs.select("doc_id", "text"), train(docs, labels, **options))
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
