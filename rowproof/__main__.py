@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import fields
 from pathlib import Path
 
-from rowproof.plans.quoting import full_report, profile_file, short_report
+from rowproof.plans.quoting import full_report, profile_file, short_report, write_details
 from rowproof.plans.reconcile import process_pair, self_check
-from rowproof.session import get_session, ship
+from rowproof.session import get_session, scratch, ship
 from rowproof.settings import Settings
 from rowproof.sinks.csv import write_lists
 from rowproof.sinks.workbook import write_workbook
@@ -19,10 +20,33 @@ DELIMITER_NAMES = {"comma": ",", "pipe": "|", "tab": "\t", "semicolon": ";", "\\
 QUOTE_NAMES = {"double": '"', "single": "'"}
 
 
+def split_option(text: str, what: str) -> tuple[str, str]:
+    name, sign, value = text.partition("=")
+    if not (name and sign):
+        raise SystemExit(f"{what} is written NAME=VALUE, not {text!r}")
+    return name, value
+
+
+def settings_of(args: argparse.Namespace) -> Settings:
+    """The settings that the command line gives; what it does not name keeps its default."""
+    formats: dict[str, dict[str, dict[str, str]]] = {}
+    for text in args.format:
+        name, value = split_option(text, "--format")
+        pair, _, side = name.rpartition(":")
+        delim, _, quote = value.partition("+")
+        if side not in ("a", "b") or not pair:
+            raise SystemExit(f"--format is written PAIR:a=DELIMITER+QUOTE, not {text!r}")
+        formats.setdefault(pair, {})[side] = {"delim": DELIMITER_NAMES.get(delim, delim) or ",", "quote": QUOTE_NAMES.get(quote, quote) or '"'}
+    keys: dict[str, list[str] | None] = {k: v.split(",") for k, v in (split_option(x, "--key") for x in args.key)}
+    keys |= {name: None for name in args.no_key}
+    plain = {f.name: getattr(args, f.name) for f in fields(Settings) if getattr(args, f.name, None) is not None}
+    return Settings(**plain, sides=(args.name_a, args.name_b), key_overrides=keys, format_overrides=formats, quote_values=not args.bare_values)
+
+
 def compare(args: argparse.Namespace) -> int:
     spark = get_session("rowproof compare")
     ship(spark)
-    settings = Settings(suffix_a=args.suffix_a, suffix_b=args.suffix_b, sides=(args.name_a, args.name_b), key_overrides={k: v.split(",") for k, v in (x.split("=", 1) for x in args.key)})
+    settings = settings_of(args)
     if not self_check(spark):
         print("The reader does not return cells unchanged; nothing was compared.")
         return 2
@@ -37,12 +61,14 @@ def compare(args: argparse.Namespace) -> int:
 
         for name in found.ignored + found.unpaired:
             say(f"{name}: no pair")
+        for name in found.ambiguous:
+            say(f"{name}: not compared, as another file of its side has this name in other letters")
         for pair in found.pairs:
-            result = process_pair(spark, pair, settings)
-            write_lists(result, args.out, settings.sides)
-            write_workbook(result, f"{args.out}/{pair.prefix}.xlsx", settings)
-            say(f"{pair.prefix}: {result.overall} {result.message}".rstrip() + f" ({result.rows[0]} and {result.rows[1]} rows, {sum(s for _, s in result.timings):.1f} s)")
-            spark.catalog.clearCache()
+            with scratch(spark):  # what a pair wrote to work with goes when its outputs are written
+                result = process_pair(spark, pair, settings)
+                write_lists(result, Path(args.out).absolute().as_uri() if "://" not in args.out else args.out, settings.sides)
+                write_workbook(result, f"{args.out}/{pair.prefix}.xlsx", settings)
+                say(f"{pair.prefix}: {result.overall} {result.message}".rstrip() + f" ({result.rows[0]} and {result.rows[1]} rows, {sum(s for _, s in result.timings):.1f} s)")
     return 0
 
 
@@ -51,20 +77,28 @@ def quotes(args: argparse.Namespace) -> int:
     if any(x and len(x) != 1 for x in (delim, quote)) or (delim and delim == quote):
         print("Delimiter and quote mark are one character each, and differ.", file=sys.stderr)
         return 2
+    if args.max_rows < 0:
+        print("--max-rows is 0 (all) or more.", file=sys.stderr)
+        return 2
     paths = expand(args.paths, args.recursive)
     if not paths:
         print("No files.", file=sys.stderr)
         return 1
     spark = get_session("rowproof quotes")
     ship(spark)
-    found = [profile_file(spark, p, delim, quote, args.encoding, not args.no_header, args.max_rows) for p in paths]
+    found = []
+    for p in paths:
+        with scratch(spark):
+            found.append(profile_file(spark, p, delim, quote, args.encoding, not args.no_header, args.max_rows))
     print(short_report(found), end="")
     if args.report:
         Path(args.report).write_text(full_report(found), encoding="utf-8")
+    if args.details:
+        write_details(found, args.details)
     return int(any(f.error for f in found))
 
 
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="rowproof", description=__doc__)
     commands = parser.add_subparsers(required=True)
     c = commands.add_parser("compare", help="compare pairs of delimited files")
@@ -75,6 +109,19 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--name-a", default="A")
     c.add_argument("--name-b", default="B")
     c.add_argument("--key", action="append", default=[], metavar="PAIR=COL,COL")
+    c.add_argument("--no-key", action="append", default=[], metavar="PAIR", help="compare this pair row by row")
+    c.add_argument("--format", action="append", default=[], metavar="PAIR:SIDE=DELIMITER+QUOTE", help="SIDE is a or b, e.g. one:b=pipe+double")
+    c.add_argument("--key-mode", choices=("auto", "none"))
+    c.add_argument("--key-min-overlap", type=float)
+    c.add_argument("--key-max-columns", type=int)
+    c.add_argument("--key-candidates", type=int)
+    c.add_argument("--key-hints", type=lambda x: tuple(x.split(",")))
+    c.add_argument("--reject-limit-percent", type=float)
+    c.add_argument("--max-line-bytes", type=int)
+    c.add_argument("--example-values", type=int)
+    c.add_argument("--sample-rows", type=int)
+    c.add_argument("--disk-factor", type=float)
+    c.add_argument("--bare-values", action="store_true", help="no quote marks around values in sheets")
     c.set_defaults(run=compare)
     q = commands.add_parser("quotes", help="profile the quoting of delimited files")
     q.add_argument("paths", nargs="+")
@@ -84,9 +131,14 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--quote")
     q.add_argument("--encoding")
     q.add_argument("--max-rows", type=int, default=0)
-    q.add_argument("--report")
+    q.add_argument("--report", metavar="FILE", help="one full report of all files")
+    q.add_argument("--details", metavar="FOLDER", help="a full report for each file")
     q.set_defaults(run=quotes)
-    args = parser.parse_args(argv)
+    return parser
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
     try:
         return args.run(args)
     except KeyboardInterrupt:

@@ -44,10 +44,15 @@ def _field_pattern(delim: str, quote: str) -> str:
     return f"(?:\\A|(?<={d}))({_field(delim, quote)})(?:{d}|\\z)"
 
 
+def record_array(text: Column, delim: str, quote: str) -> Column:
+    """The records of a text: structs (raw, end) of what stands before the terminator, and it; one more, empty, at the very end."""
+    pattern = F.lit(_record_pattern(delim, quote))
+    return F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("raw"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("end"))
+
+
 def raw_records(df: DataFrame, id_col: str, text: Column, delim: str, quote: str) -> DataFrame:
     """One row per record: id, record_no (from 1), raw (without its terminator), end (the terminator, '' at the end of the text), and the header's record and width."""
-    pattern = F.lit(_record_pattern(delim, quote))
-    both = df.select(id_col, F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("raw"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("end")).alias("_r"))
+    both = df.select(id_col, record_array(text, delim, quote).alias("_r"))
     # The header is the first record that is no lone blank line.
     filled = F.transform("_r", lambda x: x["raw"] != "")
     both = both.withColumn("header_record", F.nullif(F.array_position(filled, F.lit(True)), F.lit(0)))
@@ -58,10 +63,11 @@ def raw_records(df: DataFrame, id_col: str, text: Column, delim: str, quote: str
     return rows.where("raw <> '' or end <> ''")  # the search finds one more, empty, at the very end
 
 
-def raw_fields(rows: DataFrame, delim: str, quote: str) -> DataFrame:
-    """rows (with raw) with the array `fields` of fields as written."""
+def raw_fields(rows: DataFrame, delim: str, quote: str, where: Column | None = None) -> DataFrame:
+    """rows (with raw) with the array `fields` of fields as written; null for rows outside `where`."""
     q = re.escape(quote)
-    found = rows.withColumn("_f", F.regexp_extract_all("raw", F.lit(_field_pattern(delim, quote)), F.lit(1)))
+    cut = F.regexp_extract_all("raw", F.lit(_field_pattern(delim, quote)), F.lit(1))
+    found = rows.withColumn("_f", cut if where is None else F.when(where, cut))
     n = F.size("_f")
     # A field that runs to the end may itself end in a delimiter, after which nothing follows.
     open_end = F.coalesce((F.get("_f", n - 1) == "") & F.rlike(F.get("_f", n - 2), F.lit(rf"\A{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+\z")), F.lit(False))
@@ -96,20 +102,17 @@ def field_facts(raw: Column, delim: str, quote: str) -> dict[str, Column]:
 
 def tokens(df: DataFrame, id_col: str, text_col: str = "text", delim: str = ",", quote: str = '"') -> DataFrame:
     """One row per field: id, record_no and field_no (from 1), width of its record, value, flags and terminator."""
-    rows = raw_fields(raw_records(df, id_col, F.coalesce(F.col(text_col), F.lit("")), delim, quote), delim, quote)
+    return tokens_of(raw_records(df, id_col, F.coalesce(F.col(text_col), F.lit("")), delim, quote), id_col, delim, quote)
+
+
+def tokens_of(records: DataFrame, id_col: str, delim: str, quote: str) -> DataFrame:
+    """The tokens of raw records, with the header's record and width."""
+    rows = raw_fields(records, delim, quote)
     rows = rows.select(id_col, "record_no", "header_record", "header_width", "end", F.size("fields").alias("width"), F.posexplode("fields").alias("_i", "_x"))
     facts = field_facts(F.col("_x"), delim, quote)
     return rows.select(id_col, "record_no", "header_record", "header_width", "width", (F.col("_i") + 1).alias("field_no"), *[v.alias(k) for k, v in facts.items()], "end")
 
 
-def line_numbers(tok: DataFrame, id_col: str) -> DataFrame:
-    """(id, record_no, line_no): the physical line on which each record starts, from 1."""
-    inside = F.when(F.col("has_break"), F.regexp_count("value", F.lit("\n"))).otherwise(0)
-    per = tok.groupBy(id_col, "record_no").agg((F.sum(inside) + 1).alias("_lines"))
-    before = Window.partitionBy(id_col).orderBy("record_no").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(id_col, "record_no", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) + 1).alias("line_no"))
-
-
 def field_kind(value: Column, quoted: Column, blank: Column, needs: Column) -> Column:
     return (
         F.when((value == "") & quoted, "quoted_empty")
@@ -212,8 +215,10 @@ def records_of(tok: DataFrame, id_col: str, header: bool = True, max_rows: int =
     else:
         out = tok.withColumn("header_width", F.lit(None).cast("int")).withColumn("part", F.lit("data"))
     if max_rows:
-        last = out.where("part = 'data'").groupBy(id_col).agg(F.array_sort(F.collect_set("record_no")).alias("_all"))
-        last = last.select(F.col(id_col).alias("_of"), F.get("_all", F.lit(max_rows - 1)).alias("_last"))
+        # The number of the last record wanted: Spark keeps the first max_rows of each text before it shuffles.
+        records = out.where((F.col("part") == "data") & (F.col("field_no") == 1)).select(F.col(id_col).alias("_of"), "record_no")
+        nth = F.row_number().over(Window.partitionBy("_of").orderBy("record_no"))
+        last = records.withColumn("_n", nth).where(F.col("_n") <= max_rows).where(F.col("_n") == max_rows).select("_of", F.col("record_no").alias("_last"))
         out = out.join(last, F.col(id_col).eqNullSafe(F.col("_of")), "left").where(F.col("_last").isNull() | (F.col("record_no") <= F.col("_last"))).drop("_of", "_last")
     return out
 
@@ -221,6 +226,11 @@ def records_of(tok: DataFrame, id_col: str, header: bool = True, max_rows: int =
 def profile(df: DataFrame, id_col: str, text_col: str = "text", delim: str = ",", quote: str = '"', header: bool = True, max_rows: int = 0) -> DataFrame:
     """One row per text: the 16 counters of header and data, records, columns and irregularities."""
     tok = records_of(classified(tokens(df, id_col, text_col, delim, quote)), id_col, header, max_rows)
+    return profile_of(tok, newline_counts(df, id_col, text_col), id_col, delim, quote, header)
+
+
+def profile_of(tok: DataFrame, newlines: DataFrame, id_col: str, delim: str, quote: str, header: bool = True) -> DataFrame:
+    """The profiles of the texts in `newlines` (id, crlf, lf, cr, label) from their tokens with `part`."""
     first_field, data = F.col("field_no") == 1, F.col("part") == "data"
     shape = tok.groupBy(id_col).agg(
         F.count_if(first_field & (F.col("part") == "header")).alias("header_records"),
@@ -235,16 +245,12 @@ def profile(df: DataFrame, id_col: str, text_col: str = "text", delim: str = ","
         *[agg.alias(f"{where}_{name}") for where in ("header", "data") for name, agg in counter_columns(F.col("part") == where).items()],
     )
     if not header:
-        w = tok.where(first_field & data).groupBy(id_col, "width").agg(F.count("*").alias("n"))
-        mode = w.groupBy(id_col).agg(F.max(F.struct("n", (-F.col("width")).alias("w"))).alias("m"), F.sum("n").alias("all"))
-        mode = mode.select(F.col(id_col).alias("_of"), (-F.col("m.w")).alias("_mode"), (F.col("all") - F.col("m.n")).alias("_ragged"))
+        mode = width_modes(tok.where(first_field & data), id_col)
+        mode = mode.select(F.col(id_col).alias("_of"), F.col("width").alias("_mode"), (F.col("records") - F.col("n")).alias("_ragged"))
         shape = shape.join(mode, F.col(id_col).eqNullSafe(F.col("_of")), "left").withColumns({"header_width": F.col("_mode"), "ragged": F.coalesce("_ragged", F.lit(0))}).drop("_of", "_mode", "_ragged")
     out = shape
     # Line breaks count wherever they are, and texts without a record have a profile of zeros.
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = lambda p: F.regexp_count(text, F.lit(p))
-    both = found(r"\r\n")
-    base = df.select(F.col(id_col).alias("_of"), newline_label(both, found("\n") - both, found("\r") - both).alias("newline"))
+    base = newlines.select(F.col(id_col).alias("_of"), F.col("label").alias("newline"))
     out = base.join(out, F.col("_of").eqNullSafe(F.col(id_col)), "left").drop(id_col).withColumnRenamed("_of", id_col)
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("header_records", "data_records", "blank_lines", "ragged", "unterminated", "junk_after_quote", "padded_quotes")})
     zero = {f"{where}_{n}": F.coalesce(f"{where}_{n}", F.lit(0)) for where in ("header", "data") for n in COUNTERS}
@@ -259,6 +265,32 @@ def newline_label(crlf: Column, lf: Column, cr: Column) -> Column:
     return F.when(F.size(names) == 0, "none").when(F.size(names) == 1, F.get(names, F.lit(0))).otherwise(F.concat(F.lit("mixed ("), F.array_join(names, ", "), F.lit(")")))
 
 
+def newline_counts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """One row per text: its line breaks by kind, and their label."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    both = n(r"\r\n")
+    c = df.select(id_col, both.alias("crlf"), (n("\n") - both).alias("lf"), (n("\r") - both).alias("cr"))
+    return c.withColumn("label", newline_label(F.col("crlf"), F.col("lf"), F.col("cr")))
+
+
+def width_modes(rows: DataFrame, by: str | list[str]) -> DataFrame:
+    """The commonest `width` of each group, the smaller on ties: its records `n`, and those of all widths."""
+    keys = [by] if isinstance(by, str) else by
+    w = rows.groupBy(*keys, "width").agg(F.count("*").alias("n"))
+    best = w.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("width")).alias("w"))).alias("m"), F.sum("n").alias("records"))
+    return best.select(*keys, (-F.col("m.w")).alias("width"), F.col("m.n").alias("n"), "records")
+
+
+def quotes_needed(df: DataFrame, by: str, value_col: str, delim: str = ",", quote: str = '"') -> DataFrame:
+    """For each group its values, those that hold the delimiter, the quote mark, a line break, and those that need quotes for any of these."""
+    t = df.select(by, F.coalesce(F.col(value_col), F.lit("")).alias("_t"))
+    has = lambda x: F.contains("_t", F.lit(x))
+    broken = has("\n") | has("\r")
+    counts = {"with_delim": has(delim), "with_quote": has(quote), "with_break": broken, "needs_quotes": has(delim) | has(quote) | broken}
+    return t.groupBy(by).agg(F.count("*").alias("texts"), *[F.count_if(test).alias(name) for name, test in counts.items()])
+
+
 def column_habits(tok: DataFrame, id_col: str) -> DataFrame:
     """One row per text and column over the data records: quoted and bare cells, and whether it has both."""
     c = tok.where("part = 'data'").groupBy(id_col, "field_no").agg(F.count_if("quoted").alias("quoted_cells"), F.count_if(~F.col("quoted")).alias("bare_cells"))

@@ -1,10 +1,17 @@
-"""Choosing a record key: by hand, by settings, or by overlap and uniqueness."""
+"""Choosing a record key: by hand, by settings, or by overlap and uniqueness.
+
+Candidates are rows of one table: the columns, with their counts from the column statistics, and sets of columns, whose
+rough counts are taken for all sets in one pass over each side before any is counted exactly. The table is ordered by preference; the first
+candidate that identifies every distinct row on both sides is the key.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations, islice
+from itertools import chain, combinations, islice
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -35,23 +42,30 @@ def folded(name: str) -> str:
     return name.strip().casefold()
 
 
+def header_words(header: str) -> frozenset[str]:
+    return frozenset(filter(None, re.split(r"[^A-Z0-9]+", header.upper())))
+
+
 def hinted(header: str, hints: tuple[str, ...] = HINTS) -> bool:
-    return not {w.upper() for w in re.findall(r"[A-Za-z0-9]+", header)}.isdisjoint(h.upper() for h in hints)
+    return bool(header_words(header) & {h.upper() for h in hints})
 
 
-def manual_positions(wanted: list[str], headers: list[str]) -> tuple[list[int], str]:
-    """Positions of named key columns, or the reason why a name fits none or several.
+class Headers:
+    """Where the names of a table stand: as they are written, and as they are shown where several are alike."""
 
-    A name fits a header as written, up to its first " (", or without its position suffix."""
-    out = []
-    for name in wanted:
-        forms = [{folded(h), folded(h.split(" (")[0])} for h in headers]
-        hits = [i for i, f in enumerate(forms, 1) if folded(name) in f]
-        hits = hits or [i for i, h in enumerate(headers, 1) if folded(re.sub(r" \(\d+\)$", "", h)) == folded(name)]
-        if len(hits) != 1:
-            return [], f"Key column {name!r} matches {'more than one' if hits else 'no'} header"
-        out += hits
-    return out, ""
+    def __init__(self, written: list[str], shown: list[str]) -> None:
+        self.places: dict[str, set[int]] = defaultdict(set)
+        for names in (written, shown):
+            for at, name in enumerate(names, 1):
+                self.places[folded(name)].add(at)
+
+    def place(self, name: str) -> int:
+        """The one column of that name; raises LookupError."""
+        found = self.places.get(folded(name), set())
+        if len(found) == 1:
+            return next(iter(found))
+        where = "in columns " + ", ".join(map(str, sorted(found))) if found else "in no column"
+        raise LookupError(f"key column {name!r} is found {where}")
 
 
 def tuple_stats(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,45 +76,81 @@ def tuple_stats(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("overlap", F.col("common") / F.greatest("a_distinct", "b_distinct", F.lit(1)))
 
 
-def screen(a: DataFrame, b: DataFrame, tuples: list[list[str]], distinct: tuple[int, int]) -> list[bool]:
-    """Which column sets have nearly as many tuples as rows on both sides: all sets in one pass over each side."""
-    if not tuples:
-        return []
-    rough = [df.agg(*[F.approx_count_distinct(F.struct(*t), 0.02).alias(f"n{i}") for i, t in enumerate(tuples)]).first() for df in (a, b)]
-    return [all(r[f"n{i}"] >= SCREEN * d for r, d in zip(rough, distinct)) for i in range(len(tuples))]
-
-
-def detect(a: DataFrame, b: DataFrame, stats: list[Row], headers: list[str], distinct: tuple[int, int], min_overlap: float = MIN_OVERLAP, max_columns: int = MAX_COLUMNS, candidates: int = CANDIDATES, hints: tuple[str, ...] = HINTS) -> Key:
-    """A single unique column with enough overlap, else the first such combination. `stats` has one row per column."""
-    fit = sorted((s for s in stats if s.overlap >= min_overlap), key=lambda s: s.pos)
-    if not fit:
-        return Key("none", reason="No column with sufficient overlap")
-    single = [s for s in fit if s.unique_a and s.unique_b]
-    if single:
-        best = min(single, key=lambda s: (not hinted(headers[s.pos - 1], hints), -s.overlap, s.pos))
-        return Key("detected", [best.pos], [headers[best.pos - 1]], overlap=best.overlap, distinct=(best.a_distinct, best.b_distinct))
-    top = sorted(fit, key=lambda s: -max(s.a_distinct, s.b_distinct))[:candidates]
-    tries = list(islice((c for k in range(2, max_columns + 1) for c in combinations([s.pos for s in top], k)), MAX_TRIES))
-    for positions, likely in zip(tries, screen(a, b, [[f"c{p}" for p in t] for t in tries], distinct)):
-        if not likely:
-            continue
-        s = tuple_stats(a, b, [f"c{p}" for p in positions]).first()
-        if (s.a_distinct, s.b_distinct) == tuple(distinct) and s.overlap >= min_overlap:
-            return Key("detected", list(positions), [headers[p - 1] for p in positions], overlap=s.overlap, distinct=tuple(distinct))
-    return Key("none", reason="No unique key combination found")
-
-
-def select(a: DataFrame, b: DataFrame, prefix: str, stats: list[Row], headers: list[str], distinct: tuple[int, int], mode: str = "auto", overrides: dict[str, list[str] | None] | None = None, **limits) -> Key:
-    """An override for the pair comes first (None: no key), then mode "none", then detection."""
-    for name, wanted in (overrides or {}).items():
-        if name.casefold() == prefix.casefold():
-            if wanted is None:
-                return Key("none", reason="The settings name no key for this pair")
-            positions, reason = manual_positions(wanted, headers)
-            if reason:
-                return Key("manual", reason=reason, invalid=True)
-            s = tuple_stats(a, b, [f"c{p}" for p in positions]).first()
-            return Key("manual", positions, [headers[p - 1] for p in positions], overlap=s.overlap, distinct=(s.a_distinct, s.b_distinct))
-    if mode == "none":
-        return Key("none", reason="Keys are switched off")
-    return detect(a, b, stats, headers, distinct, **limits)
+def screened(a: DataFrame, b: DataFrame, sets: list[list[str]], distinct: tuple[int, int] | None = None) -> DataFrame:
+    """One row per column set: columns, and whether it has nearly as many tuples as distinct rows on both sides.
+
+    All sets are sketched in one aggregate over each side; without `distinct`, the distinct rows are sketched too.
+    """
+    names = [",".join(s) for s in sets]
+
+    def judged(side: DataFrame, rows: int | None) -> DataFrame:
+        whole = F.approx_count_distinct("h", 0.02) if rows is None else F.lit(rows)
+        return side.agg(*[(F.approx_count_distinct(F.struct(*s), 0.02) >= SCREEN * whole).alias(f"p{i}") for i, s in enumerate(sets)])
+
+    both = judged(a, distinct and distinct[0]).unionByName(judged(b, distinct and distinct[1]))
+    one = both.agg(*[F.bool_and(f"p{i}").alias(f"p{i}") for i in range(len(sets))])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("columns"), F.col(f"p{i}").alias("likely")) for i, n in enumerate(names)])).alias("x")).select("x.*")
+
+
+@dataclass
+class Finder:
+    """The search for a key among the columns of two tables. `stats` has one row per column."""
+
+    a: DataFrame
+    b: DataFrame
+    stats: list[Row]
+    headers: list[str]
+    distinct: tuple[int, int]
+    min_overlap: float = MIN_OVERLAP
+    max_columns: int = MAX_COLUMNS
+    candidates: int = CANDIDATES
+    hints: tuple[str, ...] = HINTS
+
+    def key(self, positions: tuple[int, ...], stats: Row, source: str = "detected") -> Key:
+        return Key(source, list(positions), [self.headers[p - 1] for p in positions], overlap=stats.overlap, distinct=(stats.a_distinct, stats.b_distinct))
+
+    def identifies(self, stats: Row) -> bool:
+        return (stats.a_distinct, stats.b_distinct) == tuple(self.distinct) and stats.overlap >= self.min_overlap
+
+    def exact(self, positions: tuple[int, ...]) -> Row:
+        return tuple_stats(self.a, self.b, [f"c{p}" for p in positions]).first()
+
+    def single(self) -> Iterator[tuple[tuple[int, ...], Row]]:
+        """Columns by preference: a hinting header, more overlap, further left."""
+        order = {s.pos: (not hinted(self.headers[s.pos - 1], self.hints), -s.overlap, s.pos) for s in self.stats}
+        yield from (((s.pos,), s) for s in sorted(self.stats, key=lambda s: order[s.pos]))
+
+    def combined(self) -> Iterator[tuple[tuple[int, ...], Row]]:
+        """Sets of the columns with most values, small sets first, that a sketch does not rule out; counted one by one, as the first is mostly it."""
+        usable = [s for s in self.stats if s.overlap >= self.min_overlap]
+        richest = [s.pos for s in sorted(usable, key=lambda s: (-max(s.a_distinct, s.b_distinct), s.pos))[: self.candidates]]
+        sets = list(islice(chain.from_iterable(combinations(richest, size) for size in range(2, self.max_columns + 1)), MAX_TRIES))
+        if sets:
+            rough = {r.columns: r.likely for r in screened(self.a, self.b, [[f"c{p}" for p in s] for s in sets], self.distinct).collect()}
+            yield from ((s, self.exact(s)) for s in sets if rough[",".join(f"c{p}" for p in s)])
+
+    def detect(self) -> Key:
+        for positions, stats in chain(self.single(), self.combined()):
+            if self.identifies(stats):
+                return self.key(positions, stats)
+        shared = any(s.overlap >= self.min_overlap for s in self.stats)
+        return Key("none", reason="No column or set of columns tells all rows apart" if shared else f"No column has {self.min_overlap:.0%} of its values on both sides")
+
+
+def select(a: DataFrame, b: DataFrame, prefix: str, stats: list[Row], headers: list[str], distinct: tuple[int, int], mode: str = "auto", overrides: dict[str, list[str] | None] | None = None, written: list[str] | None = None, **limits) -> Key:
+    """An override for the pair comes first (None: no key), then mode "none", then detection.
+
+    Names given by hand are matched against the headers as written, and as shown where alike ones were numbered."""
+    finder = Finder(a, b, stats, headers, distinct, **limits)
+    given = {folded(name): wanted for name, wanted in (overrides or {}).items()}
+    if folded(prefix) not in given:
+        return finder.detect() if mode != "none" else Key("none", reason="Keys are switched off")
+    wanted = given[folded(prefix)]
+    if wanted is None:
+        return Key("none", reason="The settings name no key for this pair")
+    places = Headers(written or headers, headers)
+    try:
+        positions = tuple(places.place(name) for name in wanted)
+    except LookupError as e:
+        return Key("manual", reason=str(e.args[0]), invalid=True)
+    return finder.key(positions, finder.exact(positions), "manual")

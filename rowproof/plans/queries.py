@@ -228,10 +228,7 @@ _PAIRS_OF = [(i, j) for i in range(1, 6) for j in range(i + 1, 6)]
 )
 def key_approx_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rough screen of all column pairs, as one aggregate over each side."""
-    a, b = line_sides(spark, sf_dir)
-    judged = [side.agg(*[(F.approx_count_distinct(F.struct(f"c{i}", f"c{j}"), 0.02) >= keys.SCREEN * F.approx_count_distinct("h", 0.02)).alias(f"p{i}{j}") for i, j in _PAIRS_OF]) for side in (a, b)]
-    both = judged[0].unionByName(judged[1]).agg(*[F.bool_and(f"p{i}{j}").alias(f"p{i}{j}") for i, j in _PAIRS_OF])
-    return both.select(F.explode(F.array(*[F.struct(F.lit(f"c{i},c{j}").alias("columns"), F.col(f"p{i}{j}").alias("likely")) for i, j in _PAIRS_OF])).alias("x")).select("x.*")
+    return keys.screened(*line_sides(spark, sf_dir), [[f"c{i}", f"c{j}"] for i, j in _PAIRS_OF])
 
 
 def _hash_sql(of: str, cols: list[str]) -> str:
@@ -269,10 +266,7 @@ def multiset_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(count_if(contains(t, ',') OR contains(t, '"') OR contains(t, chr(10)) OR contains(t, chr(13))) AS BIGINT) AS needs_quotes FROM (SELECT source, coalesce(text, '') AS t FROM documents) GROUP BY source""")
 def quote_needed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which values a writer that quotes only where it must would quote."""
-    t = table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("t"))
-    has = lambda x: F.contains("t", F.lit(x))
-    brk = has("\n") | has("\r")
-    return t.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(has(",")).alias("with_delim"), F.count_if(has('"')).alias("with_quote"), F.count_if(brk).alias("with_break"), F.count_if(has(",") | has('"') | brk).alias("needs_quotes"))
+    return delimited.quotes_needed(table(spark, sf_dir, "documents"), "source", "text")
 
 
 @query("""SELECT kind, count(*) AS n, CAST(count_if(num AND kind = 'bare') AS BIGINT) AS numeric FROM (SELECT CASE WHEN v = '' THEN 'bare_empty' WHEN trim(v, ' ' || chr(9)) = '' THEN 'ws_bare' ELSE 'bare' END AS kind,
@@ -295,8 +289,8 @@ def numeric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, width, n FROM w QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, width) = 1""")
 def width_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest number of fields of each event type's property text, the smaller on ties."""
-    w = table(spark, sf_dir, "events").groupBy("event_type", F.size(F.split(F.coalesce("props", F.lit("")), ",", -1)).cast("long").alias("width")).agg(F.count("*").alias("n"))
-    return w.groupBy("event_type").agg(F.max(F.struct("n", (-F.col("width")).alias("w"))).alias("m")).select("event_type", (-F.col("m.w")).alias("width"), F.col("m.n").alias("n"))
+    widths = table(spark, sf_dir, "events").select("event_type", F.size(F.split(F.coalesce("props", F.lit("")), ",", -1)).cast("long").alias("width"))
+    return delimited.width_modes(widths, "event_type").drop("records")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,8 +340,4 @@ SELECT doc_id, len(regexp_extract_all(t, '\\r\\n')) AS crlf, len(regexp_extract_
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
 def newline_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line breaks of each document by kind."""
-    n = lambda p: F.regexp_count("t", F.lit(p)).cast("long")
-    t = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    both = n(r"\r\n")
-    c = t.select("doc_id", both.alias("crlf"), (n("\n") - both).alias("lf"), (n("\r") - both).alias("cr"))
-    return c.withColumn("label", delimited.newline_label(F.col("crlf"), F.col("lf"), F.col("cr")))
+    return delimited.newline_counts(table(spark, sf_dir, "documents"), "doc_id")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.functions import delimited, habits
-from rowproof.sources import encoding
+from rowproof.session import saved
+from rowproof.sources import records
 
 
 @dataclass
@@ -20,6 +23,9 @@ class FileProfile:
     names: list[str] = field(default_factory=list)
     columns: list[Row] = field(default_factory=list)
     samples: list[Row] = field(default_factory=list)
+    n_bytes: int = 0
+    seconds: float = 0.0
+    detail: str = ""
 
     def labels(self) -> list[str]:
         """Column names; blank ones are numbered, repeated ones get their number."""
@@ -38,25 +44,27 @@ class FileProfile:
 def profile_file(spark: SparkSession, path: str, delim: str | None = None, quote: str | None = None, encoding_name: str | None = None, header: bool = True, max_rows: int = 0) -> FileProfile:
     """Profile one file; what cannot be read becomes its error."""
     try:
-        texts = encoding.read_texts(spark, [path], "file", encoding_name).cache()
-        first = texts.select("encoding", "error").first()
-        if first.error:
-            return FileProfile(path, first.error)
+        start = time.time()
+        opened = records.open_file(spark, path, "file", encoding_name)
+        status = "given"
         if not (delim and quote):
-            d = delimited.choose_dialect(delimited.dialect_scores(texts, "path", delim=delim, quote=quote, opening_chars=delimited.SNIFF_CHARS), "path", delim, quote).first()
+            scores = delimited.dialect_scores(opened.opening_text(spark), "path", delim=delim, quote=quote, opening_chars=delimited.SNIFF_CHARS)
+            d = delimited.choose_dialect(scores, "path", delim, quote).first()
             status, delim, quote = d.delim_status, d.delim, d.quote
-        else:
-            status = "given"
-        tok = delimited.records_of(delimited.classified(delimited.tokens(texts, "path", delim=delim, quote=quote)), "path", header, max_rows).cache()
-        profile = habits.judged(delimited.profile(texts, "path", delim=delim, quote=quote, header=header, max_rows=max_rows)).withColumn("delim_status", F.lit(status)).withColumn("checks", habits.checks())
+        # Tokens are written once; the profile, the columns and the samples are read from them.
+        raw = records.with_header(records.records(opened, delim, quote), delim, quote)
+        tok = saved(delimited.records_of(delimited.classified(delimited.tokens_of(raw, "path", delim, quote)), "path", header, max_rows), "tokens")
+        profile = habits.judged(delimited.profile_of(tok, records.newlines(opened), "path", delim, quote, header))
+        profile = profile.withColumn("delim_status", F.lit(status)).withColumn("checks", habits.checks())
         names = [r.value for r in tok.where("part = 'header'").orderBy("field_no").select("value").collect()]
         return FileProfile(
-            path, "", first.encoding, profile.first(), names,
+            path, "", opened.label, profile.first(), names,
             delimited.column_habits(tok, "path").orderBy("field_no").collect(), delimited.first_samples(tok, "path", delim, quote).orderBy("part", "record_no").collect(),
+            opened.n_bytes, time.time() - start,
         )
     except Exception as e:
         text = str(e)
-        return FileProfile(path, "File not found." if "PATH_NOT_FOUND" in text else f"{type(e).__name__}: {text[:300]}")
+        return FileProfile(path, "File not found." if "PATH_NOT_FOUND" in text or "FileNotFound" in text else f"{type(e).__name__}: {text[:300]}")
 
 
 def short_report(found: list[FileProfile]) -> str:
@@ -75,9 +83,46 @@ def short_report(found: list[FileProfile]) -> str:
     return "\n\n".join(blocks) + "\n" if blocks else ""
 
 
+#: What a report says before its files.
+EXPLANATION = """How to read this report
+  Values are judged as their file writes them: a field is quoted if it begins with the quote mark.
+  "when required" means that only values with a delimiter, a quote mark or a line break are quoted; "text quoted" that numbers are bare and
+  other values quoted; "mixed" that no single rule explains the file. Empty and blank fields are judged on their own.
+  Samples show the first field of each kind; previews are cut at 40 characters.
+"""
+CAVEATS = {
+    "low_confidence": "many rows have another number of columns than the header: delimiter or quote mark may be wrong",
+    "unterminated": "a quoted field is never closed: all that follows it was read as its value",
+    "guessed": "no delimiter was found in the opening: the comma was assumed",
+}
+
+
+def size_text(n: int) -> str:
+    """Bytes in the largest unit that leaves a whole part."""
+    units = ["bytes", "KB", "MB", "GB", "TB"]
+    at = min(max(n.bit_length() - 1, 0) // 10, len(units) - 1)
+    return f"{n:,} bytes" if at == 0 else f"{n / (1 << 10 * at):.1f} {units[at]}"
+
+
+def write_details(found: list[FileProfile], folder: str) -> list[str]:
+    """One report for each file, named after it; a name that is taken gets -2, -3 and so on. Returns the paths."""
+    out, taken = Path(folder), set()
+    out.mkdir(parents=True, exist_ok=True)
+    for f in found:
+        name = base = f.path.rstrip("/").rsplit("/", 1)[-1]
+        k = 1
+        while name.casefold() in taken:
+            k += 1
+            name = f"{base}-{k}"
+        taken.add(name.casefold())
+        (out / f"{name}.txt").write_text(full_report([f]), encoding="utf-8")
+        f.detail = str(out / f"{name}.txt")
+    return [f.detail for f in found]
+
+
 def full_report(found: list[FileProfile]) -> str:
     """Per file: format, habits, counts, columns, checks and samples; then how the files compare."""
-    out = []
+    out = [EXPLANATION]
     for f in found:
         out.append(f"== {f.path}")
         if f.error:
@@ -85,6 +130,9 @@ def full_report(found: list[FileProfile]) -> str:
             continue
         p = f.profile
         out.append(f"  encoding {f.encoding}, delimiter {p.delim!r} ({p.delim_status}), quote {p.quote!r}, line breaks {p.newline}")
+        out.append(f"  {size_text(f.n_bytes)}, read in {f.seconds:.1f} s")
+        doubts = [CAVEATS[c] for c, on in (("guessed", p.delim_status == "guessed"), ("unterminated", p.unterminated), ("low_confidence", p.low_confidence)) if on]
+        out += [f"  caution: {text}" for text in doubts]
         out.append(f"  {p.data_records:,} data rows, {p.columns} columns, judged from {p.judged}")
         out.append(f"  values: {p.value_habit}; empties: {p.empty_habit}; {p.habit}" + (f" ({p.caveat})" if p.caveat else ""))
         for where in ("header", "data"):

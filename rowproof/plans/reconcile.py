@@ -5,13 +5,13 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.operators import columns, compare, differences, keys
+from rowproof.session import saved, shared_folder
 from rowproof.settings import Settings
-from rowproof.sources import encoding, files, tables
+from rowproof.sources import files, records, tables
 
 
 @dataclass
@@ -49,13 +49,17 @@ class _Clock:
         self.at = time.time()
 
 
-def reconcile(a: DataFrame, b: DataFrame, headers: list[str], settings: Settings | None = None, prefix: str = "", result: Result | None = None) -> Result:
-    """Compare two tables of text cells with hashes (see functions.cells)."""
+def reconcile(a: DataFrame, b: DataFrame, headers: list[str], settings: Settings | None = None, prefix: str = "", result: Result | None = None, written: list[str] | None = None) -> Result:
+    """Compare two tables of text cells with hashes (see functions.cells); `written` are the headers before repeated ones were numbered.
+
+    The counts, the paired records and the unpaired rows are written once each to the shared folder: what reads them later (counts by
+    column, lists, sheets) runs no join again. Nothing is cached.
+    """
     settings = settings or Settings()
     result = result or Result(prefix)
     result.headers = headers
     clock = _Clock(result)
-    cmp = compare.counts(a, b).persist(StorageLevel.MEMORY_AND_DISK)
+    cmp = saved(compare.counts(a, b), "row-counts")
     m = result.metrics = compare.metrics(cmp).first()
     result.rows = (m.rows_a, m.rows_b)
     clock.step("row comparison")
@@ -63,7 +67,7 @@ def reconcile(a: DataFrame, b: DataFrame, headers: list[str], settings: Settings
     result.columns = columns.statistics(a, b, *distinct, settings.example_values).orderBy("pos").collect()  # one row a column
     clock.step("column analysis")
     key = result.key = keys.select(
-        a, b, prefix, result.columns, headers, distinct, settings.key_mode, settings.key_overrides,
+        a, b, prefix, result.columns, headers, distinct, settings.key_mode, settings.key_overrides, written,
         min_overlap=settings.key_min_overlap, max_columns=settings.key_max_columns, candidates=settings.key_candidates, hints=settings.key_hints,
     )
     clock.step("key")
@@ -71,14 +75,15 @@ def reconcile(a: DataFrame, b: DataFrame, headers: list[str], settings: Settings
         result.overall, result.message = "ERROR", f"Invalid key: {key.reason}"
         return result
     if key.positions:
-        found = differences.keyed(a, b, cmp, [f"c{p}" for p in key.positions], key.manual, settings.sides)
-        result.differences, result.unpaired = found.differences, found.unpaired
-        by_column = columns.differing_by_column(found.differences).collect()
-        result.paired_differing = {r.pos: r.paired_differing for r in by_column}
-        result.counts = {r.status: r["n"] for r in compare.status_counts(found.unpaired).collect()}
-        result.counts |= {"Paired records": found.paired.count(), "Differing cells": sum(result.paired_differing.values())}
+        names = [f"c{p}" for p in key.positions]
+        found = differences.keyed(a, b, cmp, names, key.manual, settings.sides)
+        paired, result.unpaired = saved(found.paired, "paired"), saved(found.unpaired, "unpaired")
+        result.differences = differences.cell_differences(paired, names, compare.cells(a))
+        result.paired_differing = {r.pos: r.paired_differing for r in columns.differing_by_column(result.differences).collect()}  # one row a column
+        result.counts = {r.status: r["n"] for r in compare.status_counts(result.unpaired).collect()}
+        result.counts |= {"Paired records": paired.count(), "Differing cells": sum(result.paired_differing.values())}
     else:
-        result.mismatches = compare.mismatches(a, b, cmp, settings.sides)
+        result.mismatches = saved(compare.mismatches(a, b, cmp, settings.sides), "mismatches")
         result.counts = {r.status: r["n"] for r in compare.status_counts(result.mismatches).collect()}
     clock.step("pairing")
     same = m.rows_a == m.rows_b == m.matched_rows and not sum(result.rejected)
@@ -99,38 +104,40 @@ def process_pair(spark: SparkSession, pair: files.Pair, settings: Settings | Non
 
 def _process(spark: SparkSession, pair: files.Pair, settings: Settings, result: Result) -> Result:
     clock = _Clock(result)
-    texts = [encoding.read_texts(spark, [p]).persist(StorageLevel.MEMORY_AND_DISK) for p in (pair.a, pair.b)]
-    facts = [t.select("encoding", "fallback_bytes", "fallback_lines", "error").first() for t in texts]
-    for side, f in zip(settings.sides, facts):
-        if f.error:
-            raise ValueError(f"{side}: {f.error}")
-        if f.fallback_bytes:
-            result.warnings.append(f"{side}: {f.fallback_bytes} bytes read as cp1252, first on lines {', '.join(map(str, f.fallback_lines))}")
-    result.encodings = tuple(f.encoding for f in facts)
+    paths = (pair.a, pair.b)
+    fits, room = files.room_for(shared_folder(spark), files.sizes_of(spark, list(paths)), settings.disk_factor, spark)
+    if not fits:
+        raise OSError(f"not enough room to work: {room}")
+    opened = []
+    for side, path in zip(settings.sides, paths):
+        try:
+            opened.append(records.open_file(spark, path))
+        except (UnicodeDecodeError, ValueError) as e:
+            raise ValueError(f"{side}: {e}") from e
+        if n := opened[-1].fallback_bytes:
+            result.warnings.append(f"{side}: {n} bytes read as cp1252, first on lines {', '.join(map(str, opened[-1].fallback_lines))}")
+    result.encodings = tuple(o.label for o in opened)
     clock.step("encoding")
-    overrides = settings.format_overrides.get(pair.prefix)
-    formats = [tables.sniff(t, overrides, s) for t, s in zip(texts, "ab")]
-    result.formats = tuple(formats)
-    names = [tables.headers(t, f) for t, f in zip(texts, formats)]
+    overrides = {name.casefold(): given for name, given in settings.format_overrides.items()}.get(pair.prefix.casefold())
+    formats = result.formats = tuple(tables.sniff(o.opening_text(spark), overrides, s) for o, s in zip(opened, "ab"))
+    names = [records.first_record(o, spark, f.delim, f.quote) or [] for o, f in zip(opened, formats)]
     check = result.header_check = tables.compare_headers(*names, settings.sides)
     clock.step("format and headers")
-    for side, t, f in zip(settings.sides, texts, formats):
-        if (longest := tables.longest_line(t, f)) > settings.max_line_bytes:
-            raise ValueError(f"{side}: a line of {longest} bytes is over the limit of {settings.max_line_bytes}")
-    sides = [tables.load(t, f, max(len(n), 1)) for t, f, n in zip(texts, formats, names)]
+    sides = [tables.load(records.records(o, f.delim, f.quote), f, max(len(n), 1)) for o, f, n in zip(opened, formats, names)]
+    result.rows, result.rejected = tuple(s.n_rows for s in sides), tuple(s.n_rejects for s in sides)
+    clock.step("load")
+    for side, s in zip(settings.sides, sides):
+        if s.longest > settings.max_line_bytes:
+            raise ValueError(f"{side}: a line of {s.longest} bytes is over the limit of {settings.max_line_bytes}")
     if not check.match:
-        result.overall, result.rows = "COLUMNS DIFFER", tuple(s.rows.count() for s in sides)
+        result.overall, result.rejected = "COLUMNS DIFFER", (0, 0)
         return result
-    rows = [s.rows.persist(StorageLevel.MEMORY_AND_DISK) for s in sides]
-    result.rows = tuple(r.count() for r in rows)
-    result.rejected = tuple(s.rejects.agg(F.count_distinct("line")).first()[0] for s in sides)
     if sum(result.rejected):
         result.rejects = sides[0].rejects.unionByName(sides[1].rejects)
-    clock.step("load")
     if any(tables.over_limit(n, bad, settings.reject_limit_percent) for n, bad in zip(result.rows, result.rejected)):
         result.overall = "Too many malformed lines"
         return result
-    return reconcile(*rows, check.display, settings, pair.prefix, result)
+    return reconcile(sides[0].rows, sides[1].rows, check.display, settings, pair.prefix, result, check.written)
 
 
 # One cell of each kind that a reader may bend.
@@ -143,6 +150,7 @@ def self_check(spark: SparkSession) -> bool:
     quoted[3] = '""'
     text = ",".join(f"C{i}" for i in range(1, 12)) + "\n" + ",".join(quoted) + "\n"
     texts = spark.createDataFrame([("self-check", text)], "path string, text string")
-    loaded = tables.load(texts, tables.Format(), len(SELF_CHECK))
+    opened = records.Opened("self-check", "UTF-8", text, texts=texts)
+    loaded = tables.load(records.records(opened, ",", '"'), tables.Format(), len(SELF_CHECK))
     got = loaded.rows.first()
     return got is not None and tuple(got)[:-1] == SELF_CHECK and got.h is not None

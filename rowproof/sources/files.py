@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import shutil
+from collections import defaultdict
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -19,49 +20,79 @@ class Pair:
 
 @dataclass
 class Discovery:
+    """`ambiguous` holds names of one side that differ by case alone: none of them is compared."""
+
     pairs: list[Pair] = field(default_factory=list)
     ignored: list[str] = field(default_factory=list)
     unpaired: list[str] = field(default_factory=list)
+    ambiguous: list[str] = field(default_factory=list)
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def list_folder(spark: SparkSession, folder: str) -> list[str] | None:
     """Names of the files in a folder of any store that Spark reads; None if there is no such folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = _store(spark, folder)
     if not fs.exists(path):
         return None
     return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile())
 
 
-def without_suffix(name: str, suffix: str) -> str | None:
-    return name[: -len(suffix)] if name.lower().endswith(suffix.lower()) else None
+def head_of(spark: SparkSession, path: str, n: int) -> tuple[bytes, int]:
+    """The first n bytes of a file in any store that Spark reads, and its length."""
+    fs, at = _store(spark, path)
+    size = fs.getFileStatus(at).getLen()
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(n)), size
+    finally:
+        stream.close()
+
+
+def tail_of(spark: SparkSession, path: str) -> bytes:
+    """The last byte of a file, if it has one."""
+    fs, at = _store(spark, path)
+    size = fs.getFileStatus(at).getLen()
+    stream = fs.open(at)
+    try:
+        stream.seek(max(size - 1, 0))
+        return bytes(stream.readNBytes(1))
+    finally:
+        stream.close()
+
+
+def sizes_of(spark: SparkSession, paths: list[str]) -> list[int]:
+    return [fs.getFileStatus(at).getLen() for fs, at in (_store(spark, p) for p in paths)]
 
 
 def discover(spark: SparkSession, folder: str, suffix_a: str, suffix_b: str) -> Discovery:
-    """Match files of both sides on their names before the suffix, whatever the case; the longer suffix is tried first."""
+    """Match files of both sides on their names before the suffix, whatever the case; where both suffixes fit, the longer counts."""
     names = list_folder(spark, folder)
-    found = Discovery()
     if names is None:
-        found.ignored.append(f"Folder {folder} does not exist")
-        return found
-    sides: dict[str, dict[str, tuple[str, str]]] = {"a": {}, "b": {}}
-    order = sorted((("a", suffix_a), ("b", suffix_b)), key=lambda x: -len(x[1]))
-    for name in names:
-        if name.startswith("."):
-            continue
-        for side, suffix in order:
-            prefix = without_suffix(name, suffix)
-            if prefix is not None:
-                sides[side][prefix.lower()] = (prefix, name)
-                break
-        else:
+        return Discovery(ignored=[f"Folder {folder} does not exist"])
+    found, groups = Discovery(), defaultdict(lambda: {"a": [], "b": []})
+    for name in (n for n in names if not n.startswith(".")):
+        fits = [(len(suffix), side) for side, suffix in (("a", suffix_a), ("b", suffix_b)) if name.lower().endswith(suffix.lower())]
+        if not fits:
             found.ignored.append(name)
+            continue
+        length, side = max(fits, key=lambda fit: fit[0])
+        stem = name[: len(name) - length]
+        groups[stem.lower()][side].append((stem, name))
     base = folder.rstrip("/")
-    for key in sorted(sides["a"].keys() | sides["b"].keys()):
-        if key in sides["a"] and key in sides["b"]:
-            found.pairs.append(Pair(sides["a"][key][0], f"{base}/{sides['a'][key][1]}", f"{base}/{sides['b'][key][1]}"))
-        else:
-            found.unpaired.append((sides["a"].get(key) or sides["b"][key])[1])
+    for _, sides in sorted(groups.items()):
+        match len(sides["a"]), len(sides["b"]):
+            case (1, 1):
+                (stem, name_a), (_, name_b) = sides["a"][0], sides["b"][0]
+                found.pairs.append(Pair(stem, f"{base}/{name_a}", f"{base}/{name_b}"))
+            case (n, m) if n > 1 or m > 1:
+                found.ambiguous += [name for _, name in sides["a"] + sides["b"]]
+            case _:
+                found.unpaired += [name for _, name in sides["a"] + sides["b"]]
     return found
 
 
@@ -79,10 +110,17 @@ def expand(paths: list[str], recursive: bool = False) -> list[str]:
     return list(out)
 
 
-def room_for(folder: str, sizes: list[int], factor: float) -> tuple[bool, str]:
-    """Whether the nearest existing parent has `factor` times the files' size free."""
-    at = Path(folder).absolute()
-    while not at.exists():
-        at = at.parent
-    free, need = shutil.disk_usage(at).free, int(factor * sum(sizes))
+def room_for(folder: str, sizes: list[int], factor: float, spark: SparkSession | None = None) -> tuple[bool, str]:
+    """Whether the nearest existing parent has `factor` times the files' size free; with a session, in any store that Spark reads."""
+    need = int(factor * sum(sizes))
+    if spark is None:
+        at = Path(folder).absolute()
+        while not at.exists():
+            at = at.parent
+        free = shutil.disk_usage(at).free
+    else:
+        fs, at = _store(spark, folder)
+        while not fs.exists(at):
+            at = at.getParent()
+        free = fs.getStatus(at).getRemaining()
     return free >= need, f"{free:,} bytes free in {at}, {need:,} needed"

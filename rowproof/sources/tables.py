@@ -1,15 +1,19 @@
-"""Decoded files to tables of text cells, with the lines that do not fit listed rather than dropped."""
+"""Records of delimited files to tables of text cells, with the lines that do not fit listed rather than dropped."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import zip_longest
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.functions import delimited
-from rowproof.functions.cells import with_hash
+from rowproof.functions.cells import row_hash
 from rowproof.operators.keys import folded
+from rowproof.session import saved
 
 
 @dataclass(frozen=True)
@@ -21,7 +25,7 @@ class Format:
 
 
 def sniff(texts: DataFrame, overrides: dict[str, dict[str, str]] | None = None, side: str = "a") -> Format:
-    """The format of a decoded file: an override for its side, else the dialect that reads its opening best."""
+    """The format of a file's opening (path, text): an override for its side, else the dialect that reads it best."""
     given = (overrides or {}).get(side)
     if given:
         return Format(given.get("delim", ","), given.get("quote", '"'), "settings")
@@ -31,62 +35,51 @@ def sniff(texts: DataFrame, overrides: dict[str, dict[str, str]] | None = None,
     return Format(r.delim, r.quote, r.delim_status, "comma assumed" if r.delim_status == "guessed" else "")
 
 
-def _rows(texts: DataFrame, fmt: Format) -> DataFrame:
-    """Records with their field arrays; records that are a lone blank line are left out by the readers below."""
-    raw = delimited.raw_records(texts, "path", F.coalesce("text", F.lit("")), fmt.delim, fmt.quote)
-    return delimited.raw_fields(raw, fmt.delim, fmt.quote)
-
-
-def _value(fmt: Format):
-    return lambda x: delimited.field_facts(x, fmt.delim, fmt.quote)["value"]
-
-
-def headers(texts: DataFrame, fmt: Format) -> list[str]:
-    """The cells of the first record that is not blank."""
-    first = _rows(texts, fmt).where("raw <> ''").orderBy("record_no").select(F.transform("fields", _value(fmt)).alias("cells")).first()
-    return [c.lstrip("﻿") if i == 0 else c for i, c in enumerate(first.cells)] if first else []
-
-
 @dataclass
 class Loaded:
     """rows: c1 .. cN and h. rejects: file, line, error_type, error_message, raw_line."""
 
     rows: DataFrame
     rejects: DataFrame
+    n_rows: int
+    n_rejects: int
+    longest: int
 
 
-def load(texts: DataFrame, fmt: Format, n_columns: int) -> Loaded:
+def load(records: DataFrame, fmt: Format, n_columns: int) -> Loaded:
     """Rows with the wrong number of cells, an open quote or text after a closing quote are rejects.
 
-    The first record that is not blank is the header. A blank line is a row only where there is one column.
+    records has path, record_no, line and raw. The first record that is not blank is the header. A blank line is a row only where there is
+    one column. Every record is read once: rows and rejects are written together, column by column, and counted from what was written.
     """
-    rows = _rows(texts, fmt)
-    first = rows.where("raw <> ''").groupBy("path").agg(F.min("record_no").alias("_first")).withColumnRenamed("path", "_of")
-    data = rows.join(first, F.col("path").eqNullSafe(F.col("_of"))).where("record_no > _first")
-    if n_columns > 1:
-        data = data.where("raw <> ''")
+    plain = ~F.contains("raw", F.lit(fmt.quote))
+    # A record without a quote mark has bare fields only, which its delimiters cut; others are read field by field.
+    split = F.split("raw", re.escape(fmt.delim), -1)
+    held = delimited.raw_fields(records, fmt.delim, fmt.quote, where=~plain)
     facts = lambda k: F.exists("fields", lambda x: delimited.field_facts(x, fmt.delim, fmt.quote)[k])
-    n = F.size("fields")
+    value = lambda x: delimited.field_facts(x, fmt.delim, fmt.quote)["value"]
+    cells = held.withColumn("_cells", F.when(plain, split).otherwise(F.transform("fields", value)))
+    n = F.size("_cells")
     error = (
-        F.when(facts("unterminated"), "UNQUOTED VALUE").when(facts("junk"), "INVALID STATE")
+        F.when(~plain & facts("unterminated"), "UNQUOTED VALUE").when(~plain & facts("junk"), "INVALID STATE")
         .when(n < n_columns, "MISSING COLUMNS").when(n > n_columns, "TOO MANY COLUMNS")
     )
-    judged = data.withColumn("_error", error)
-    good = judged.where("_error is null").withColumn("_cells", F.transform("fields", _value(fmt)))
-    cells = good.select(*[F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(f"c{i + 1}") for i in range(n_columns)])
-    lines = rows.select("path", "record_no", (F.regexp_count("raw", F.lit(r"\r\n|\r|\n")) + 1).alias("_n"))
-    before = Window.partitionBy("path").orderBy("record_no").rowsBetween(Window.unboundedPreceding, -1)
-    at = lines.select(F.col("path").alias("_p"), F.col("record_no").alias("_r"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias("line"))
-    bad = judged.where("_error is not null").join(at, (F.col("path") == F.col("_p")) & (F.col("record_no") == F.col("_r")))
-    message = F.concat(F.lit(f"Expected {n_columns} columns, found "), n.cast("string"))
-    rejects = bad.select(F.element_at(F.split("path", "/"), -1).alias("file"), "line", F.col("_error").alias("error_type"), message.alias("error_message"), F.btrim("raw", F.lit("\r\n")).alias("raw_line"))
-    return Loaded(with_hash(cells), rejects)
-
-
-def longest_line(texts: DataFrame, fmt: Format) -> int:
-    """Bytes of the longest record."""
-    r = _rows(texts, fmt).agg(F.max(F.octet_length("raw")).alias("n")).first()
-    return r["n"] or 0
+    names = [f"c{i + 1}" for i in range(n_columns)]
+    made = cells.select(
+        "path", "record_no", "line", (F.col("raw") != "").alias("filled"), F.octet_length("raw").alias("bytes"), error.alias("error"), n.alias("width"),
+        F.when(error.isNotNull(), F.col("raw")).alias("raw"), *[F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)],
+    )
+    table = saved(made.withColumn("h", row_hash(names)), "loaded")
+    first, longest = table.agg(F.min(F.when(F.col("filled"), F.col("record_no"))), F.max("bytes")).first()
+    data = table.where(F.col("record_no") > F.lit(first)) if first is not None else table.where("false")
+    if n_columns > 1:
+        data = data.where("filled")
+    message = F.concat(F.lit(f"Expected {n_columns} columns, found "), F.col("width").cast("string"))
+    rejects = data.where("error is not null").select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "line", F.col("error").alias("error_type"), message.alias("error_message"), F.btrim("raw", F.lit("\r\n")).alias("raw_line")
+    )
+    good, bad = data.agg(F.count_if(F.col("error").isNull()), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("line")))).first()
+    return Loaded(data.where("error is null").select(*names, "h"), rejects, good, bad, longest or 0)
 
 
 def over_limit(rows: int, rejected: int, percent: float) -> bool:
@@ -99,24 +92,25 @@ class HeaderCheck:
     match: bool
     positions: list[tuple[int, str, str, str]]
     display: list[str]
+    #: The names as written, which keys chosen by hand are looked up by.
+    written: list[str]
 
 
 def display_names(names: list[str]) -> list[str]:
     """Names as written; those that collide after trimming and folding get their position."""
-    keys = [folded(n) for n in names]
-    return [f"{n.strip()} ({i})" if keys.count(k) > 1 else n for i, (n, k) in enumerate(zip(names, keys), 1)]
+    uses = Counter(map(folded, names))
+    return [name if uses[folded(name)] == 1 else f"{name.strip()} ({at})" for at, name in enumerate(names, 1)]
 
 
 def compare_headers(a: list[str], b: list[str], sides: tuple[str, str] = ("A", "B")) -> HeaderCheck:
-    """By position, trimmed and folded."""
-    positions = []
-    for i in range(max(len(a), len(b))):
-        x, y = (h[i] if i < len(h) else "" for h in (a, b))
-        if i >= len(a):
-            status = f"Extra in {sides[1]}"
-        elif i >= len(b):
-            status = f"Extra in {sides[0]}"
-        else:
-            status = "Match" if folded(x) == folded(y) else "Different"
-        positions.append((i + 1, x, y, status))
-    return HeaderCheck(all(p[3] == "Match" for p in positions), positions, display_names(a or b))
+    """By position, trimmed and folded; a name without a counterpart is extra on its side."""
+
+    def status(x: str | None, y: str | None) -> str:
+        if x is not None and y is not None:
+            return "Match" if folded(x) == folded(y) else "Different"
+        return f"Extra in {sides[x is None]}"
+
+    pairs = list(zip_longest(a, b))
+    rows = [(at, x or "", y or "", status(x, y)) for at, (x, y) in enumerate(pairs, 1)]
+    written = a or b
+    return HeaderCheck({r[3] for r in rows} <= {"Match"}, rows, display_names(written), written)

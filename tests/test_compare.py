@@ -78,7 +78,7 @@ def test_match_and_invalid_key(spark):
     a, b = sides(spark, A, A)
     assert reconcile(a, b, HEADERS).overall == "MATCH"
     r = reconcile(a, b, HEADERS, Settings(key_overrides={"P": ["NOPE"]}), prefix="p")
-    assert r.overall == "ERROR" and "matches no header" in r.message
+    assert r.overall == "ERROR" and "in no column" in r.message
     assert reconcile(a, b, HEADERS, Settings(key_overrides={"p": None}), prefix="P").key.positions == []
 
 
@@ -89,10 +89,15 @@ def test_combination_key(spark):
     assert r.key.names == ["X", "Y"] and r.counts["Differing cells"] == 6
 
 
-def test_manual_positions():
-    assert keys.manual_positions([" cust_id "], ["CUST_ID", "B"]) == ([1], "")
-    assert keys.manual_positions(["amount"], ["ID", "AMOUNT (USD)"]) == ([2], "")
-    assert "more than one" in keys.manual_positions(["a"], ["A (1)", "A (2)"])[1]
+def test_keys_by_hand_are_looked_up_as_written():
+    place = lambda name, written, shown=None: keys.Headers(written, shown or written).place(name)
+    assert place(" cust_id ", ["CUST_ID", "B"]) == 1
+    assert place("AMOUNT (USD)", ["ID", "AMOUNT (USD)"]) == 2
+    with pytest.raises(LookupError, match="in no column"):
+        place("amount", ["ID", "AMOUNT (USD)"])
+    with pytest.raises(LookupError, match="in columns 1, 2"):
+        place("a", ["A", "a "], ["A (1)", "a (2)"])
+    assert place("A (2)", ["A", "a "], ["A (1)", "a (2)"]) == 2
     assert keys.hinted("order_id") and keys.hinted("ID") and not keys.hinted("IDEA")
 
 

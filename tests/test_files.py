@@ -24,6 +24,9 @@ def test_discovery(spark, tmp_path):
     d = files.discover(spark, str(tmp_path), "_a.csv", "_b.csv")
     assert [p.prefix for p in d.pairs] == ["One"] and d.unpaired == ["lonely_a.csv"] and d.ignored == ["x_a (1).csv"]
     assert files.discover(spark, str(tmp_path / "no"), "_a", "_b").ignored
+    (tmp_path / "ONE_b.csv").write_text("ID\n2\n")
+    d = files.discover(spark, str(tmp_path), "_a.csv", "_b.csv")
+    assert d.pairs == [] and sorted(d.ambiguous) == ["ONE_b.csv", "One_A.csv", "one_b.csv"]
     assert files.expand([str(tmp_path), str(tmp_path / "*.nope")])[-1].endswith("*.nope")
     assert files.room_for(str(tmp_path / "deep" / "er"), [1], 1)[0] and not files.room_for(str(tmp_path), [1 << 60], 4)[0]
 
