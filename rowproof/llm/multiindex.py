@@ -7,16 +7,17 @@ distance to a codeword is that to the plane which separates it from the vector's
 lower bound on the distance to anything in that cell. With `reach` = 1 the traversal stops where the bound passes the
 threshold's distance, and recall is 1; a lower reach stops earlier. Cosines are then verified in double precision.
 
-Equal vectors of a label are one class with a count. Each label's cells are shuffled to tasks; a cell with more than `part`
-classes is cut, its visitors meet every part, and stream through it in batches. A task sends on only the number of links of
+Equal vectors of a label are one class with a count. Each label's cells are shuffled to tasks, with the vectors as they were given; a cell
+with more than `part` classes is cut, its visitors meet every part, and stream through it in batches. A task sends on only the number of links of
 each visitor and the edges of a spanning forest.
 
-The codebooks come from a bounded sample (`sample_rows`, by hash); the index holds every vector. Codewords per
-half: the root of classes / labels / cell_size, 2 to 256.
+The codebooks come from a bounded sample (`sample_rows`, by hash), one for every vector length in it; a length too rare for the sample is one
+cell. The index holds every vector. Codewords per half: the root of classes / labels / cell_size, 2 to 256. Cells are large, as a product of
+matrices costs less than the shuffle of a vector to one more cell.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with
 nothing and are their own component; only vectors of equal length are compared; repeated rows count as separate
-vectors; a null vec_id is counted as a link but names no component; extra columns are ignored.
+vectors; a null vec_id is counted as a link but names no component; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from rowproof.llm.components import components
 from rowproof.session import saved
 
 THRESHOLD, REACH = 0.98, 1.0
-SAMPLE_ROWS, CELL_SIZE, PART = 20_000, 256, 1024
-FORMAT = "label string, dim int, cell int, role int, key string, m long, vec array<double>"
+SAMPLE_ROWS, CELL_SIZE, PART = 20_000, 2048, 4096
+FORMAT = "label string, dim int, cell int, role int, key binary, m long, vec binary"
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -86,12 +87,12 @@ def _valid(vec: Column) -> Column:
 
 def codebooks(classes: DataFrame, sample_rows: int, cell_size: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """The two codebooks of each vector length, from a bounded sample of the classes."""
-    shape = classes.groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).orderBy("dim").limit(64).collect()
-    total = sum(r["n"] for r in shape)
-    if not total:
-        return {}
+    total = classes.count()
     place = F.pmod(F.xxhash64(F.lit("codebook"), "key"), F.lit(1 << 30)) / float(1 << 30)
-    rows = classes.where(place < min(1.0, sample_rows / total)).select("dim", "vec").orderBy("dim", "key").collect()
+    rows = classes.where(place < min(1.0, sample_rows / max(total, 1))).select("dim", "vec").orderBy("dim", "key").collect()
+    met = sorted({r.dim for r in rows})  # as many as the sample has rows, at most
+    counts = classes.where(F.col("dim").isin(met)).groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels"))
+    shape = counts.orderBy("dim").collect() if met else []
     books = {}
     for r in shape:
         x = np.array([s.vec for s in rows if s.dim == r.dim], float)
@@ -101,49 +102,57 @@ def codebooks(classes: DataFrame, sample_rows: int, cell_size: int) -> dict[int,
     return books
 
 
-def _visits(classes: DataFrame, books: dict, bound: float) -> DataFrame:
-    """Each class as a member (role 0) of its cell, and as a visitor (role 1) of each cell it must look in."""
-    shared = classes.sparkSession.sparkContext.broadcast(books)  # 64 lengths at most, 512 codewords each
+def _dtype(classes: DataFrame) -> str:
+    """How vectors are sent: floats as they are, other numbers as doubles."""
+    return "<f4" if classes.schema["vec"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def _visits(classes: DataFrame, books: dict, bound: float, members_only: bool = False) -> DataFrame:
+    """Each class as a member (role 0) of its cell and, unless `members_only`, as a visitor (role 1) of each cell it must look in."""
+    shared = classes.sparkSession.sparkContext.broadcast(books)  # 512 codewords for each length that the bounded sample has
+    dtype = _dtype(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                unit = _unit(part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float))
+                given = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                unit = _unit(given.astype(float))
                 zero = np.zeros((1, 0))
                 one, two = shared.value.get(dim, (zero, zero))
                 own1, d1 = plane_distances(unit[:, : one.shape[1]], one)
                 own2, d2 = plane_distances(unit[:, dim - two.shape[1] :], two)
                 row, cell, role = [], [], []
                 for i in range(len(unit)):
-                    visited = [a * len(two) + b for a, b in multi_sequence(d1[i], d2[i], bound)]
+                    visited = [] if members_only else [a * len(two) + b for a, b in multi_sequence(d1[i], d2[i], bound)]
                     row += [i] * (len(visited) + 1)
                     cell += [int(own1[i]) * len(two) + int(own2[i]), *visited]
                     role += [0] + [1] * len(visited)
                 take = pa.array(row, pa.int64())
-                flat = pa.array(unit[row].ravel())
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * len(row) + 1, dim), pa.int32()), flat)
+                sent = given.astype(dtype)[row] if not members_only else np.zeros((len(row), 0), dtype)
+                ends = np.arange(0, sent.shape[1] * sent.itemsize * len(row) + 1, max(sent.shape[1] * sent.itemsize, 1), np.int32) if sent.size else np.zeros(len(row) + 1, np.int32)
+                vec = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(sent.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cell, pa.int32()), pa.array(role, pa.int32()), part.column(2).take(take), part.column(3).take(take), vec], names=["label", "dim", "cell", "role", "key", "m", "vec"])
 
-    return classes.select("label", "dim", "key", "m", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, FORMAT)
+    return classes.select("label", "dim", "key", "m", "vec").mapInArrow(run, FORMAT)
 
 
 class _Part:
     """The members of one part of a cell."""
 
     def __init__(self) -> None:
-        self.keys: list[str] = []
+        self.keys: list[bytes] = []
         self.weights: list[int] = []
         self.vectors: list[np.ndarray] = []
         self.root: np.ndarray | None = None
 
-    def add(self, keys: list[str], weights: list[int], vectors: np.ndarray) -> None:
+    def add(self, keys: list[bytes], weights: list[int], vectors: np.ndarray) -> None:
         self.keys += keys
         self.weights += weights
         self.vectors.append(vectors)
 
-    def visit(self, keys: list[str], vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    def visit(self, keys: list[bytes], vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
         """Weighted links of each visitor, and the edges that join parts of the forest."""
         if not self.keys:
             return np.zeros(len(keys), np.int64), []
@@ -160,15 +169,20 @@ class _Part:
         return near @ self.m, edges
 
 
-def _verified(visits: DataFrame, threshold: float, part: int) -> DataFrame:
-    """(key, n, other): weighted links of key within one part, or an edge to other."""
+def _verified(classes: DataFrame, books: dict, bound: float, threshold: float, part: int) -> DataFrame:
+    """(key, n, other): weighted links of key within one part, or an edge to other.
+
+    Vectors are shuffled once, to the cells that they visit. The cells that are cut, one for `part` classes at most, are counted before.
+    """
     cell = ["label", "dim", "cell"]
-    sizes = saved(visits.where("role = 0").groupBy(*cell).agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "cells")
-    dealt = visits.join(sizes, cell)
+    members = _visits(classes, books, bound, members_only=True).groupBy(*cell).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    cut = saved(members.where("parts > 1"), "cut-cells")
+    dealt = _visits(classes, books, bound).join(cut, cell, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("key"), F.col("parts").cast("long")).cast("int")
     part_col = F.explode(F.when(F.col("role") == 0, F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(*cell, "role", "key", "m", "vec", part_col.alias("part"))
     rows = dealt.repartition(*cell, "part").sortWithinPartitions(*cell, "part", "role")
+    dtype = _dtype(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, _Part()
@@ -177,14 +191,14 @@ def _verified(visits: DataFrame, threshold: float, part: int) -> DataFrame:
             col = {n: batch.column(i) for i, n in enumerate(names)}
             ids = list(zip(*(col[n].to_pylist() for n in (*cell, "part", "role"))))
             cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-            out: list[tuple[str, int, str | None]] = []
+            out: list[tuple[bytes, int, bytes | None]] = []
             for i, j in zip(cuts, cuts[1:]):
                 if i == j:
                     continue
                 if ids[i][:4] != at:
                     at, held = ids[i][:4], _Part()
                 keys = col["key"].slice(i, j - i).to_pylist()
-                vectors = col["vec"].slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)
+                vectors = _unit(np.frombuffer(b"".join(col["vec"].slice(i, j - i).to_pylist()), dtype).reshape(j - i, -1).astype(float))
                 if ids[i][4] == 0:
                     held.add(keys, col["m"].slice(i, j - i).to_pylist(), vectors)
                 else:
@@ -192,22 +206,22 @@ def _verified(visits: DataFrame, threshold: float, part: int) -> DataFrame:
                     out += [(k, int(n), None) for k, n in zip(keys, links.tolist()) if n]
                     out += [(a, 0, b) for a, b in edges]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.string(), pa.int64(), pa.string()))], names=["key", "n", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.binary(), pa.int64(), pa.binary()))], names=["key", "n", "other"])
 
-    return rows.mapInArrow(run, "key string, n long, other string")
+    return rows.mapInArrow(run, "key binary, n long, other binary")
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH, sample_rows: int = SAMPLE_ROWS, cell_size: int = CELL_SIZE, part: int = PART) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     vec = F.col("embedding")
     ok = F.coalesce(F.col("label").isNotNull() & _valid(vec), F.lit(False))
-    own = F.concat_ws("-", F.xxhash64("label", vec), F.xxhash64(F.lit("v"), "label", vec))
+    hashes = (F.xxhash64("label", vec), F.xxhash64(F.lit("v"), "label", vec))
+    own = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in hashes]))
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.when(ok, vec).alias("vec"), F.when(ok, own).alias("key"))
     classes = saved(rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("dim", F.size("vec")), "classes")
     books = codebooks(classes, sample_rows, cell_size)
     # |u - v|^2 = 2 - 2 cos; a hair more, as the bound is computed in floating point.
-    visits = saved(_visits(classes, books, (2 - 2 * threshold) * reach + 1e-9), "visits")
-    found = saved(_verified(visits, threshold, part), "links")
+    found = saved(_verified(classes, books, (2 - 2 * threshold) * reach + 1e-9, threshold, part), "links")
     roots = components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")))
     counts = found.where("other is null").groupBy("key").agg((F.sum("n") - 1).alias("n_links"))
     named = saved(classes.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")), "members")
