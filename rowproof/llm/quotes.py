@@ -6,7 +6,7 @@ re-wrapped and shortened quotes still match. A passage whose sentences are those
 message, the latest such one. Any other comes from the earlier message that holds most of its sentences (the later message
 on ties), by votes over every earlier message that says one. A message replies to the source of its outermost quote, by most sentences. Roots and depths follow by
 pointer doubling; conversations are then ordered by root, depth and turn, so that a message stands after the one that it
-replies to, and `position` numbers that order.
+replies to, and `position` numbers that order; rows of one turn stand by role and a hash of their text.
 
 All steps are DataFrame functions. Messages of equal sentences are one class and vote once, as do equal passages; the latest earlier
 turn of a class comes from a range-partitioned sort, so that a message said thousands of times is neither one task nor
@@ -16,8 +16,8 @@ a conversation with a third of all rows is not one task.
 Defined cases: messages with equal conversation and turn are one message to link to, while each row keeps its own text; a null
 conversation is a conversation of its own; a null turn sorts first and is neither linked nor linked to; a null text
 is empty; quotes without an original leave reply_to null; a message without quotes is a root; attribution lines ("On ...
-wrote:") directly above a quote go with it; quotes of the message itself or of later ones are not links; extra columns
-are ignored.
+wrote:") directly above a quote go with it; quotes of the message itself or of later ones are not links; an empty table gives no rows; a text is read
+whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rowproof.session import saved
 
 MARKS = r"^[ \t]*(>[> \t]*)"
-ATTRIBUTION = r"^[ \t]*On .{1,200} wrote:[ \t\r]*$"
+ATTRIBUTION = r"^[ \t]*On .+ wrote:[ \t\r]*$"
 MAX_DOUBLINGS = 40
 
 
@@ -67,11 +67,24 @@ def sentence_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit("s"), s).alias("b"))))
 
 
+def _whole(text: Column) -> Column:
+    """Two hashes of the sorted hashes of a text's sentences, and how many there are; the sentences are hashed once."""
+    made = lambda h: F.struct(F.xxhash64(h).alias("wa"), F.xxhash64(F.lit("m"), h).alias("wb"), F.size(h).cast("long").alias("n"))
+    return F.get(F.transform(F.array(F.array_sort(sentence_hashes(text))), made), F.lit(0))
+
+
 def _keyed(rows: DataFrame, a: str, b: str) -> DataFrame:
     """rows with two hashes of their sorted sentence hashes `h`."""
     return rows.withColumns({a: F.xxhash64("h"), b: F.xxhash64(F.lit("m"), "h")})
 
 
+def facts(messages: DataFrame) -> DataFrame:
+    """messages (with lines) with the text of their own, its whole hash, and those of the passages that they quote."""
+    bare = messages.withColumns({"own": own_text(F.col("lines")), "_passages": passages(F.col("lines"))}).drop("lines")
+    quoted = F.transform("_passages", lambda p: F.struct(p["level"].alias("level"), _whole(p["body"]).alias("w")))
+    return bare.withColumns({"whole": _whole(F.col("own")), "quoted": quoted}).drop("_passages")
+
+
 def latest_before(said: DataFrame, asked: DataFrame, group: list[str]) -> DataFrame:
     """asked (group, turn) with `source`, the latest turn of the group in `said` before it, where there is one."""
     both = [rows.select(*group, "turn", F.lit(is_said).alias("_said")).distinct() for rows, is_said in ((said, True), (asked, False))]
@@ -107,21 +120,36 @@ def _voted(rest: DataFrame, own: DataFrame) -> DataFrame:
     return rest.drop("source").join(chosen, by).select("conv_id", "turn", "passage", "level", "source", "hits")
 
 
-def reply_links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _spoken(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, h): the sentence hashes of each message's own text."""
+    return messages.select("conv_id", "turn", F.array_sort(sentence_hashes(own_text(F.col("lines")))).alias("h")).where(F.size("h") > 0)
+
+
+def _asked(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, passage, h): the sentence hashes of each passage."""
+    each = messages.select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
+    return each.select("conv_id", "turn", "passage", F.array_sort(sentence_hashes(F.col("p.body"))).alias("h"))
+
+
+def reply_links(messages: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Passages with their sources (conv_id, turn, passage, level, source, hits), and (conv_id, turn, reply_to).
 
-    messages holds conv_id, turn and lines; conv_id is never null here."""
-    known = messages.where("turn is not null")
-    own = known.select("conv_id", "turn", F.array_sort(sentence_hashes(own_text(F.col("lines")))).alias("h")).where(F.size("h") > 0)
-    quoted = known.select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
-    quoted = quoted.select("conv_id", "turn", "passage", "p.level", F.array_sort(sentence_hashes(F.col("p.body"))).alias("h")).where(F.size("h") > 0)
-    quoted = saved(_keyed(quoted, "wa", "wb"), "quoted")
-    whole = latest_before(_keyed(own, "wa", "wb"), quoted, ["conv_id", "wa", "wb"])
+    messages holds conv_id, turn and lines; conv_id is never null here. `known` holds their facts where they are written already. Passages are first looked
+    up by their whole hashes; the sentences of those that are no whole message are hashed one by one, in a second reading.
+    """
+    messages = messages.where("turn is not null")
+    known = saved(facts(messages), "facts") if known is None else known.where("turn is not null")
+    own = known.select("conv_id", "turn", "whole.*").where("n > 0")
+    quoted = known.select("conv_id", "turn", F.posexplode("quoted").alias("passage", "p")).select("conv_id", "turn", "passage", "p.level", "p.w.*").where("n > 0")
+    whole = latest_before(own, quoted, ["conv_id", "wa", "wb"])
     met = saved(quoted.join(whole, ["conv_id", "wa", "wb", "turn"], "left"), "met")
-    hits = met.where("source is not null").select("conv_id", "turn", "passage", "level", "source", F.size("h").cast("long").alias("hits"))
-    rest = met.where("source is null")
+    hits = met.where("source is not null").select("conv_id", "turn", "passage", "level", "source", F.col("n").alias("hits"))
+    rest = met.where("source is null").drop("n")
     if not rest.isEmpty():
-        hits = hits.unionByName(_voted(rest, own))
+        open_rows = rest.join(_asked(messages).dropDuplicates(["conv_id", "turn", "passage", "h"]), ["conv_id", "turn", "passage"])
+        # Of several rows of one turn, the passage whose hash is asked for counts.
+        open_rows = open_rows.where((F.xxhash64("h") == F.col("wa")) & (F.xxhash64(F.lit("m"), "h") == F.col("wb")))
+        hits = hits.unionByName(_voted(saved(open_rows, "open"), _spoken(messages)))
     best = hits.groupBy("conv_id", "turn", "passage", "level").agg(F.max(F.struct("hits", "source")).alias("best"))
     linked = saved(best.select("conv_id", "turn", "passage", "level", "best.source", "best.hits"), "passages")
     outer = linked.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("hits"), F.col("source"))).alias("best"))
@@ -160,31 +188,35 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """One row per row: conv_id, turn, role, text without quotes, n_quotes, reply_to, root, depth and position."""
+    """One row per row: conv_id, turn, role, text without quotes, n_quotes, reply_to, root, depth and position.
+
+    Texts are written once, without their quotes; all that links and orders them are hashes and numbers, which meet the texts by row at the end.
+    """
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
-    rows = messages.select(key.alias("_conv"), "conv_id", "turn", "role", parsed(F.coalesce("text", F.lit(""))).alias("lines"))
-    rows = saved(rows, "messages")
-    linked, replies = reply_links(rows.select(F.col("_conv").alias("conv_id"), "turn", "lines"))
+    rows = messages.select(key.alias("_conv"), F.col("conv_id").alias("_id"), "turn", "role", parsed(F.coalesce("text", F.lit(""))).alias("lines"))
+    lines = rows.select(F.col("_conv").alias("conv_id"), "turn", "lines")
+    held = saved(facts(rows.withColumnRenamed("_conv", "conv_id")).withColumn("_of_row", F.monotonically_increasing_id()), "messages")
+    linked, replies = reply_links(lines, held.select("conv_id", "turn", "whole", "quoted"))
     replies = saved(replies, "replies")
-    threads = thread_depths(replies)
-    facts = [
-        replies.select(F.col("conv_id").alias("_conv"), "turn", "reply_to"),
-        threads.select(F.col("conv_id").alias("_conv"), "turn", "root", "depth"),
-        linked.groupBy(F.col("conv_id").alias("_conv"), "turn").agg(F.count("*").alias("n_linked")),
-    ]
-    text = own_text(F.col("lines"))
-    plain = rows.select("_conv", "conv_id", "turn", "role", text.alias("text"), F.size(passages(F.col("lines"))).cast("long").alias("n_quotes"))
-    joined = reduce(lambda a, b: a.join(b, ["_conv", "turn"], "left"), facts, plain)
-    full = joined.select("_conv", "conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
-    return numbered(full, "_conv", ["root", "depth", "turn", "role", "text"], "position").drop("_conv")
+    by = ["conv_id", "turn"]
+    parts = [replies, thread_depths(replies), linked.groupBy(*by).agg(F.count("*").alias("n_linked"))]
+    # Rows of one turn follow each other by role and a hash of their text.
+    plain = held.select(*by, "_of_row", "role", F.xxhash64("own").alias("_text"), F.size("quoted").cast("long").alias("n_quotes"))
+    joined = reduce(lambda a, b: a.join(b, by, "left"), parts, plain)
+    full = joined.select(*by, "_of_row", "role", "_text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    placed = numbered(full, "conv_id", ["root", "depth", "turn", "role", "_text"], "position")
+    texts = held.select("_of_row", "_id", F.col("own").alias("text"))
+    return texts.join(placed, "_of_row").select(F.col("_id").alias("conv_id"), "turn", "role", "text", "n_quotes", "n_linked", "reply_to", "root", "depth", "position")
 
 
 def as_mail(turns: DataFrame) -> DataFrame:
     """Conversations as a mail client sends them: each turn quotes the two before it, at levels one and two."""
-    first = turns.groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    back = lambda n: first.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("m.role").alias(f"role{n}"), F.col("m.text").alias(f"text{n}"))
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # One shuffle: each turn goes to the two after it, the first of its rows where it has several.
+    sent = turns.select("conv_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("_back"), "turn", said.alias("_m")).select("conv_id", (F.col("turn") + F.col("_back")).alias("turn"), "_back", "_m")
+    before = sent.groupBy("conv_id", "turn").agg(*[F.min(F.when(F.col("_back") == n, F.col("_m"))).alias(f"m{n}") for n in (1, 2)])
+    joined = turns.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "text", F.col("m1.role").alias("role1"), F.col("m1.text").alias("text1"), F.col("m2.text").alias("text2"))
     marked = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)))
-    joined = turns.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
     head = F.concat(F.lit("On turn "), (F.col("turn") - 1).cast("string"), F.lit(", "), F.col("role1"), F.lit(" wrote:"))
     mail = F.concat_ws("\n", F.when(F.col("text1").isNotNull(), head), marked(F.col("text1"), "> "), marked(F.col("text2"), ">> "), F.coalesce("text", F.lit("")))
     return joined.select("conv_id", "turn", "role", mail.alias("text"))
