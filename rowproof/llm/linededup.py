@@ -10,7 +10,8 @@ splits a hot host. Everything is built from DataFrame functions.
 
 Defined cases: a null text stays null and counts as a page without lines; a null host is a site of its
 own; a line that repeats within a page counts once; blank lines stay; a page that loses all its lines keeps its row
-with the empty text; extra columns are carried unchanged.
+with the empty text; an empty table gives no rows; a line and a page of any length count whole; extra columns are carried unchanged. Web pages take
+their host from the address (`host_of`); the corpus's documents have sources.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from rowproof.llm.common import unused
 from rowproof.session import saved
 
-RATIO, MIN_PAGES = 0.01, 5
+#: A line of one page repeats nothing; from two pages on the ratio decides, whatever the size of the site.
+RATIO, MIN_PAGES = 0.01, 2
 
 
 def _key(line: Column) -> Column:
@@ -29,6 +31,11 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit("line"), trimmed).alias("b"))
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address, in lower case; null where there is none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -53,8 +60,13 @@ def cleaned(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO
     bad = saved(boilerplate(pages, host_col, text_col, ratio, min_pages, each_copy), "boilerplate").toDF(host, bad_lines)
     joined = pages.join(bad, pages[host_col].eqNullSafe(F.col(host)), "left")
     marked = joined.withColumn(all_lines, _lines(F.col(text_col)))
-    kept = F.filter(all_lines, lambda x: (F.btrim(x, F.lit(" \t\r")) == "") | ~F.array_contains(F.col(bad_lines), _key(x)))
-    marked = marked.withColumn(kept_lines, F.when(F.col(bad_lines).isNull(), F.col(all_lines)).otherwise(kept))
+    # A page's own boilerplate is found by sets of hashes; its lines are then held against those few.
+    met = F.array_intersect(F.transform(all_lines, lambda x: _key(x)["a"]), F.transform(bad_lines, lambda b: b["a"]))
+    few = lambda found: F.filter(bad_lines, lambda b: F.array_contains(found, b["a"]))
+    blank = lambda x: F.btrim(x, F.lit(" \t\r")) == ""
+    kept = lambda own: F.when(F.size(own) == 0, F.col(all_lines)).otherwise(F.filter(all_lines, lambda x: blank(x) | ~F.array_contains(own, _key(x))))
+    cleared = F.get(F.transform(F.array(met), lambda found: F.get(F.transform(F.array(few(found)), kept), F.lit(0))), F.lit(0))
+    marked = marked.withColumn(kept_lines, F.when(F.col(bad_lines).isNull(), F.col(all_lines)).otherwise(cleared))
     columns = [F.array_join(kept_lines, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     more = [size(all_lines).alias("n_lines"), (size(all_lines) - size(kept_lines)).alias("n_dropped")]

@@ -1,6 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, on DataFrame functions alone.
 
-Documents fall into cells of source, language and topic. The cells' token weights are raked: each sweep scales them to the
+Documents fall into cells of source, language and topic. Topics come from the texts: each language
+has TOPICS key words, taken from a bounded sample, and a document's topic is the number of the one it says most often. (Words that name a topic in one language only
+would tie topics to languages, so that targets for both could not be met.) The cells' token weights are raked: each sweep scales them to the
 target of every source, then of every language, then of every topic, until no scale moves by more than `tolerance`.
 A cell's calibrated weight over its tokens, times one scale and one at most, is the probability that each of its
 documents is sampled with. The scale is solved on the cells so that the sample's expected tokens are `budget` times the table's: a sparse cell
@@ -15,33 +17,84 @@ table of cells is small.
 
 Defined cases: a null source, language or topic is the value (none); a null text has the weight of one token; rows without an
 id are drawn by the text "null"; repeated ids share one draw; values without a given target get weight zero and
-are not sampled; targets for absent values are left out and the rest scaled to one; an empty table gives no rows.
+are not sampled; targets for absent values are left out and the rest scaled to one; targets that the cells cannot meet within MAX_OFF raise
+ValueError where they were given, and warn where they are the default shares; an empty table gives no rows; texts are read whole; extra
+columns are carried, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowproof.llm.common import unused
 from rowproof.session import saved
 
 FLATTEN, TOLERANCE, MAX_SWEEPS = 0.8, 1e-10, 40
+SWEEPS_A_STEP = 2
 #: Expected tokens of the sample, as a share of the table's.
 BUDGET = 0.5
 DIMENSIONS = ("source", "lang", "topic")
-NONE = "(none)"
+NONE, OTHER = "(none)", "(other)"
+#: Topics of a language, languages with topics, the sample that names them, and which words can: letters at least, and shares of the sample's texts.
+TOPICS, LANGUAGES, SAMPLE_ROWS, LEAST_LETTERS, RARE, COMMON = 8, 20, 2000, 4, 0.02, 0.2
+UPPER, WORD_BREAK, TOKEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\p{L}\p{N}]+", r"[^ \t\n\r]+"
+#: How far a marginal may be from its target, relative to it, before raking counts as failed.
+MAX_OFF = 0.01
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text: A-Z in lower case, cut at anything but letters and digits."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), WORD_BREAK, -1)
+
+
+Names = dict[str, list[str]]
+
+
+def key_words(docs: DataFrame, topics: int = TOPICS, sample_rows: int = SAMPLE_ROWS) -> Names:
+    """The words that tell the topics of each language: of those in some but not in most of its texts in a bounded sample, by hash of the id, the most frequent.
+
+    The LANGUAGES most frequent languages of the sample have topics."""
+    n = docs.count()
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang")
+    drawn = saved(docs.where(draw(F.col("doc_id")) < min(1.0, sample_rows / max(n, 1))).select(lang, F.array_distinct(words_of(F.col("text"))).alias("w")), "topic-sample")
+    sizes = {r.lang: r["n"] for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
+    if not sizes:
+        return {}
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang"))
+    found = drawn.where(F.col("lang").isin(*sizes)).select("lang", F.explode("w").alias("w")).where(F.length("w") >= LEAST_LETTERS).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "w"))
+    rows = found.where(F.col("n").between(RARE * size, COMMON * size)).withColumn("place", place).where(F.col("place") <= topics).orderBy("lang", "place").collect()
+    names: Names = {}
+    for r in rows:
+        names.setdefault(r.lang, []).append(r.w)
+    return names
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by form: tables, short notes, articles, long reads."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(F.contains(t, F.lit(" | ")), "table").when(F.length(t) < 500, "note").when(F.length(t) < 5000, "article").otherwise("long read")
+def topic_of(text: Column, lang: Column, names: Names) -> Column:
+    """The number of the key word of its language that a text says most often, the first on ties; OTHER if it says none."""
+    count = lambda said, w: F.size(F.filter(said, lambda x: x == w))
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("place"))
+
+    def best(said: Column) -> Column:
+        out = none
+        for name, words in names.items():
+            mine = F.greatest(*[F.struct(count(said, w).alias("n"), F.lit(-i).alias("place")) for i, w in enumerate(words, 1)], none)
+            out = F.when(F.coalesce(lang, F.lit(NONE)) == name, mine).otherwise(out)
+        return out["place"]
+
+    if not names:
+        return F.lit(OTHER)
+    said = F.filter(words_of(text), lambda x: x.isin(*sorted({w for words in names.values() for w in words})))
+    place = F.get(F.transform(F.array(said), best), F.lit(0))
+    return F.when(place < 0, F.concat(F.lit("topic "), (-place).cast("string"))).otherwise(OTHER)
 
 
 def tokens_of(text: Column) -> Column:
-    """Token weight: a quarter of the bytes, one at least."""
-    return F.greatest(F.lit(1).cast("long"), F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4.0))
+    """Token weight: the words between white space, one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long"))
 
 
 def draw(id_col: Column) -> Column:
@@ -51,7 +104,7 @@ def draw(id_col: Column) -> Column:
 
 def _celled(docs: DataFrame, topic: Column | None, cell: str, tokens: str) -> DataFrame:
     text = F.col("text")
-    named = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic_of(text) if topic is None else topic}
+    named = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic_of(text, F.col("lang").cast("string"), key_words(docs)) if topic is None else topic}
     return docs.select("*", F.struct(*[F.coalesce(v, F.lit(NONE)).alias(k) for k, v in named.items()]).alias(cell), tokens_of(text).alias(tokens))
 
 
@@ -70,20 +123,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
         scale = aim.agg(F.sum("share")).first()[0] or 1.0
         aims[d] = aim.select(F.col("value").alias(d), (F.col("share") / F.lit(scale) * F.lit(whole)).alias("aim"))
     cells = cells.withColumn("weight", F.col("tokens"))
-    for _ in range(max_sweeps):
-        moved = F.lit(0.0)
-        for d in DIMENSIONS:
-            scale = cells.groupBy(d).agg(F.sum("weight").alias("have")).join(aims[d], d, "left")
-            scale = scale.select(d, F.when(F.col("have") > 0, F.coalesce("aim", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias(f"scale_{d}"))
-            cells = cells.join(scale, d).withColumn("weight", F.col("weight") * F.col(f"scale_{d}"))
-            moved = F.greatest(moved, F.when(F.col("weight") > 0, F.abs(F.col(f"scale_{d}") - 1)).otherwise(0.0))
+    for first in range(0, max_sweeps, SWEEPS_A_STEP):
+        for _ in range(min(SWEEPS_A_STEP, max_sweeps - first)):  # the cells are written after several sweeps, not after each
+            moved = F.lit(0.0)
+            for d in DIMENSIONS:
+                scale = cells.groupBy(d).agg(F.sum("weight").alias("have")).join(aims[d], d, "left")
+                scale = scale.select(d, F.when(F.col("have") > 0, F.coalesce("aim", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias(f"scale_{d}"))
+                cells = cells.drop(f"scale_{d}").join(scale, d).withColumn("weight", F.col("weight") * F.col(f"scale_{d}"))
+                moved = F.greatest(moved, F.when(F.col("weight") > 0, F.abs(F.col(f"scale_{d}") - 1)).otherwise(0.0))
         step = saved(cells.select(*DIMENSIONS, "tokens", "weight", moved.alias("moved")), "raked")
         cells = step.drop("moved")
         if (step.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
-            break
+            return cells
+    missed = unmet(cells, aims)
+    if missed:
+        text = f"targets not met after {max_sweeps} sweeps: " + "; ".join(f"{d} {value!r} has {have:.6g} of {aim:.6g} tokens" for d, value, have, aim in missed[:5])
+        if targets:
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=2)
     return cells
 
 
+def unmet(cells: DataFrame, aims: dict[str, DataFrame]) -> list[tuple[str, str, float, float]]:
+    """(dimension, value, weight, target) of the marginals that are MAX_OFF or more from their target, the worst first: a row a value at most."""
+    out = []
+    for d, aim in aims.items():
+        both = cells.groupBy(d).agg(F.sum("weight").alias("have")).join(aim, d)
+        out += [(d, r[d], r.have, r.aim) for r in both.where(F.abs(F.col("have") - F.col("aim")) > MAX_OFF * F.col("aim")).collect()]
+    return sorted(out, key=lambda x: -abs(x[2] - x[3]) / x[3] if x[3] else 0.0)
+
+
 def scale_for(raked: DataFrame, budget: float | None) -> float:
     """The factor from a cell's weight / tokens to its probability, for raked cells.
 
@@ -135,16 +204,24 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
 def report(docs: DataFrame, **options) -> DataFrame:
     """Every document with its cell, tokens, probability and whether it is drawn."""
     rows = probabilities(docs.select("doc_id", "text", "source", "lang"), "cell", "tokens", "p", **options)
-    return rows.select("doc_id", "cell.*", "tokens", F.round("p", 8).alias("p"), (draw(F.col("doc_id")) < F.col("p")).alias("kept"))
+    return rows.select("doc_id", "cell.*", "tokens", F.round("p", 6).alias("p"), (draw(F.col("doc_id")) < F.col("p")).alias("kept"))
 
 
-def oracle(sweeps: int = 25) -> str:
+def oracle(sweeps: int = MAX_SWEEPS) -> str:
     """The same in SQL, with the sweeps written out."""
     cut = "coalesce(text, '')"
+    draws = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0"
+    words = f"string_split_regex(translate({cut}, '{UPPER}', '{UPPER.lower()}'), '{WORD_BREAK}')"
     sql = [
-        f"doc AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE WHEN contains({cut}, ' | ') THEN 'table' "
-        f"WHEN length({cut}) < 500 THEN 'note' WHEN length({cut}) < 5000 THEN 'article' ELSE 'long read' END AS topic, "
-        f"greatest(1, CAST(ceil(strlen({cut}) / 4.0) AS BIGINT)) AS tokens FROM documents)",
+        f"said AS MATERIALIZED (SELECT row_number() OVER () AS r, *, {words} AS words, {draws} AS lot FROM documents)",
+        f"drawn AS MATERIALIZED (SELECT coalesce(lang, '{NONE}') AS lang, list_distinct(words) AS w FROM said WHERE lot < least(1.0, {SAMPLE_ROWS} / (SELECT count(*) FROM said)))",
+        f"held AS MATERIALIZED (SELECT lang, count(*) AS m FROM drawn GROUP BY lang ORDER BY m DESC, lang LIMIT {LANGUAGES})",
+        f"often AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(w) AS w FROM drawn) WHERE length(w) >= {LEAST_LETTERS} GROUP BY lang, w)",
+        f"named AS MATERIALIZED (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS i FROM often JOIN held USING (lang) WHERE n BETWEEN {RARE} * m AND {COMMON} * m QUALIFY i <= {TOPICS})",
+        f"hit AS (SELECT r, i, count(*) AS n FROM (SELECT r, coalesce(lang, '{NONE}') AS lang, unnest(words) AS w FROM said) JOIN named USING (lang, w) GROUP BY ALL)",
+        "topic AS (SELECT r, 'topic ' || i AS w FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, i) = 1)",
+        f"doc AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, coalesce(w, '{OTHER}') AS topic, "
+        f"greatest(1, len(regexp_extract_all({cut}, '{TOKEN}'))) AS tokens FROM said LEFT JOIN topic USING (r))",
         "cell AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM doc GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
@@ -156,10 +233,9 @@ def oracle(sweeps: int = 25) -> str:
             name = f"w{k}_{d}"
             sql.append(f"{name} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, weight * aim / have AS weight FROM {at} c JOIN (SELECT {d}, sum(weight) AS have FROM {at} x GROUP BY {d}) h USING ({d}) JOIN aim_{d} USING ({d}))")
             at = name
-    draws = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0"
     return (
         "WITH "
         + ",\n".join(sql)
         + f",\nrate AS (SELECT source, lang, topic, weight / tokens / (SELECT max(weight / tokens) FROM {at}) AS p FROM {at})\n"
-        + f"SELECT doc_id, source, lang, topic, tokens, round(p, 8) AS p, {draws} < p AS kept FROM doc JOIN rate USING (source, lang, topic)"
+        + f"SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS p, {draws} < p AS kept FROM doc JOIN rate USING (source, lang, topic)"
     )
