@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, on DataFrame functions alone.
 
-Documents fall into cells of source, language and topic. Topics come from the texts: each language
-has TOPICS key words, taken from a bounded sample, and a document's topic is the number of the one it says most often. (Words that name a topic in one language only
-would tie topics to languages, so that targets for both could not be met.) The cells' token weights are raked: each sweep scales them to the
+Documents fall into cells of source, language and topic. The default topic is a text's form; `topic` takes any other column, such as
+`topic_of`: each language has TOPICS key words, taken from a bounded sample (`key_words`), and a document's topic is the number of the one it says
+most often. (That reads every word of the corpus, at some ten times the cost. Words that name a topic in one language only would tie
+topics to languages, so that targets for both could not be met.) The cells' token weights are raked: each sweep scales them to the
 target of every source, then of every language, then of every topic, until no scale moves by more than `tolerance`.
 A cell's calibrated weight over its tokens, times one scale and one at most, is the probability that each of its
 documents is sampled with. The scale is solved on the cells so that the sample's expected tokens are `budget` times the table's: a sparse cell
@@ -49,6 +50,12 @@ def words_of(text: Column) -> Column:
     return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), WORD_BREAK, -1)
 
 
+def form_of(text: Column) -> Column:
+    """The default topic, by form: tables, short notes, articles, long reads."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(t, F.lit(" | ")), "table").when(F.length(t) < 500, "note").when(F.length(t) < 5000, "article").otherwise("long read")
+
+
 Names = dict[str, list[str]]
 
 
@@ -103,7 +110,7 @@ def draw(id_col: Column) -> Column:
 
 def _celled(docs: DataFrame, topic: Column | None, cell: str, tokens: str) -> DataFrame:
     text = F.col("text")
-    named = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic_of(text, F.col("lang").cast("string"), key_words(docs)) if topic is None else topic}
+    named = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": form_of(text) if topic is None else topic}
     return docs.select("*", F.struct(*[F.coalesce(v, F.lit(NONE)).alias(k) for k, v in named.items()]).alias(cell), tokens_of(text).alias(tokens))
 
 
@@ -209,17 +216,10 @@ def oracle(sweeps: int = MAX_SWEEPS) -> str:
     """The same in SQL, with the sweeps written out."""
     cut = "coalesce(text, '')"
     draws = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0"
-    words = f"string_split_regex(translate({cut}, '{UPPER}', '{UPPER.lower()}'), '{WORD_BREAK}')"
     sql = [
-        f"said AS MATERIALIZED (SELECT row_number() OVER () AS r, *, {words} AS words, {draws} AS lot FROM documents)",
-        f"drawn AS MATERIALIZED (SELECT coalesce(lang, '{NONE}') AS lang, list_distinct(words) AS w FROM said WHERE lot < least(1.0, {SAMPLE_ROWS} / (SELECT count(*) FROM said)))",
-        f"held AS MATERIALIZED (SELECT lang, count(*) AS m FROM drawn GROUP BY lang ORDER BY m DESC, lang LIMIT {LANGUAGES})",
-        f"often AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(w) AS w FROM drawn) WHERE length(w) >= {LEAST_LETTERS} GROUP BY lang, w)",
-        f"named AS MATERIALIZED (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS i FROM often JOIN held USING (lang) WHERE n BETWEEN {RARE} * m AND {COMMON} * m QUALIFY i <= {TOPICS})",
-        f"hit AS (SELECT r, i, count(*) AS n FROM (SELECT r, coalesce(lang, '{NONE}') AS lang, unnest(words) AS w FROM said) JOIN named USING (lang, w) GROUP BY ALL)",
-        "topic AS (SELECT r, 'topic ' || i AS w FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, i) = 1)",
-        f"doc AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, coalesce(w, '{OTHER}') AS topic, "
-        f"greatest(1, len(regexp_extract_all({cut}, '{TOKEN}'))) AS tokens FROM said LEFT JOIN topic USING (r))",
+        f"doc AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE WHEN contains({cut}, ' | ') THEN 'table' "
+        f"WHEN length({cut}) < 500 THEN 'note' WHEN length({cut}) < 5000 THEN 'article' ELSE 'long read' END AS topic, "
+        f"greatest(1, len(regexp_extract_all({cut}, '{TOKEN}'))) AS tokens FROM documents)",
         "cell AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM doc GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
