@@ -38,7 +38,9 @@ def parsed(text: Column) -> Column:
     """The lines of a text as structs (level, body)."""
     marks = lambda x: F.regexp_extract(x, MARKS, 1)
     level = lambda x: F.length(F.regexp_replace(marks(x), "[^>]", ""))
-    return F.transform(F.split(text, "\n", -1), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
+    quoted = lambda x: F.startswith(F.ltrim(x, F.lit(" \t")), F.lit(">"))
+    read = lambda x: F.when(quoted(x), F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("body"))).otherwise(F.struct(F.lit(0).alias("level"), x.alias("body")))
+    return F.transform(F.split(text, "\n", -1), read)
 
 
 def _next(lines: Column, i: Column) -> Column:
@@ -47,7 +49,7 @@ def _next(lines: Column, i: Column) -> Column:
 
 def own_text(lines: Column) -> Column:
     """The text without quoted lines, without attributions above them, and without blank lines at its ends."""
-    attribution = lambda x, i: F.rlike(x["body"], F.lit(ATTRIBUTION)) & (F.coalesce(_next(lines, i)["level"], F.lit(0)) > 0)
+    attribution = lambda x, i: (F.coalesce(_next(lines, i)["level"], F.lit(0)) > 0) & F.rlike(x["body"], F.lit(ATTRIBUTION))
     kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~attribution(x, i))
     return F.btrim(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), F.lit("\n\r"))
 
@@ -55,16 +57,18 @@ def own_text(lines: Column) -> Column:
 def passages(lines: Column) -> Column:
     """Quoted passages in order: structs (level, body), one for each run of lines of equal level over zero."""
     starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.coalesce(F.get(lines, F.greatest(i - 1, F.lit(0)))["level"], F.lit(-1))))
-    runs = F.transform(starts, lambda i, k: F.struct(F.get(lines, i)["level"].alias("level"), F.slice(lines, i + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - i).alias("run")))
+    run = lambda at: lambda i, k: F.struct(F.get(lines, i)["level"].alias("level"), F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - i).alias("run"))
+    runs = F.get(F.transform(F.array(starts), lambda at: F.transform(at, run(at))), F.lit(0))  # the starts are found once
     quoted = F.filter(runs, lambda r: r["level"] > 0)
     return F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), F.array_join(F.transform(r["run"], lambda x: x["body"]), "\n").alias("body")))
 
 
 def sentence_hashes(text: Column) -> Column:
     """The distinct hashes of a text's normalised sentences."""
-    flat = F.regexp_replace(text, r"\s+", " ")
-    plain = F.transform(F.split(flat, r"(?<=[.!?]) "), lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    return F.array_distinct(F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit("s"), s).alias("b"))))
+    flat = F.regexp_replace(F.lower(text), r"\s+", " ")
+    plain = F.regexp_replace(F.regexp_replace(flat, r"(?<=[.!?]) ", "\n"), r"[^\p{L}\p{N}\n]+", " ")
+    sentences = F.filter(F.transform(F.split(plain, "\n", -1), lambda s: F.btrim(s)), lambda s: s != "")
+    return F.array_distinct(F.transform(sentences, lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit("s"), s).alias("b"))))
 
 
 def _whole(text: Column) -> Column:
