@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from rowproof.session import ship
 
-#: Rows in one Arrow batch: whole texts of up to some 100 KB stay within tens of MB.
-BATCH_ROWS = 256
+#: Rows and bytes at which an Arrow batch ends; one longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, for columns of whole texts and files, and ship the package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,9 @@ timed frame with a colour histogram of the canvas shown. `histogram` counts the
 
 Defined cases: a null medium has no frames and null samples; a broken or truncated medium keeps the frames
 before the fault and names it in `error`; equal bytes give equal results; frames that reach over the canvas
-are clipped when composed, while their samples stay whole; a delay of zero is stored as zero.
+are clipped when composed, while their samples stay whole; a delay of zero is stored as zero; a canvas or frame of more than
+MAX_PIXELS is a fault; texts of any length are stored whole, in as many frames as they need; an empty table gives no rows; extra columns
+are not carried unless `keep` names them.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ UNIT, PAD = 576, 255
 #: Rows in a stored frame, so that a long payload becomes several timed frames.
 FRAME_ROWS = 64
 DELAY_MS = 100
+#: The largest canvas or frame that is read, in pixels: its header alone asks for four bytes each.
+MAX_PIXELS = 1 << 26
 MOST_CODES = 4096
 #: Histogram bins: two bits of each colour channel.
 BINS = 64
@@ -195,6 +199,8 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         raise ValueError("no GIF signature")
     wide, high, flags, _, _ = struct.unpack("<HHBBB", r.take(7))
     shared = r.palette(flags)
+    if wide * high > MAX_PIXELS:
+        raise ValueError(f"a canvas of {wide} x {high} pixels")
     canvas = np.zeros((high, wide, 4), np.uint8)
     clock, disposal, delay, clear_index = 0, 0, 0, -1
     while (kind := r.take(1)[0]) != 0x3B:
@@ -207,6 +213,8 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         if kind != 0x2C:
             raise ValueError(f"unknown block {kind}")
         left, top, w, h, flags = struct.unpack("<HHHHB", r.take(9))
+        if w * h > MAX_PIXELS:
+            raise ValueError(f"a frame of {w} x {h} pixels")
         local = r.palette(flags)
         colours = shared if local is None else local
         if colours is None:

@@ -66,6 +66,9 @@ def test_disposal_transparency_palettes_and_interlacing():
     assert gif.colour_histogram(f[0].canvas)[0b110000] == 4
 
 
+HUGE = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+
+
 def test_stored_texts_come_back(spark):
     d = spark.createDataFrame(list(enumerate(AWKWARD)), "doc_id long, text string").selectExpr("*", "1 as media")
     got = {r.doc_id: r for r in gif.digests(d).collect()}
@@ -76,8 +79,8 @@ def test_stored_texts_come_back(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
         assert r.error is None
     assert got[6].media_sha256 == got[7].media_sha256 and "frames=3;" in got[5].feature
-    broken = spark.createDataFrame([(1, b"GIF89a"), (2, b"nope"), (3, None)], "doc_id long, media binary")
-    assert {r.doc_id: (r.error, len(r.frames)) for r in gif.decode_frames(broken, ["doc_id"]).collect()} == {1: ("the file is cut short", 0), 2: ("the file is cut short", 0), 3: (None, 0)}
+    broken = spark.createDataFrame([(1, b"GIF89a"), (2, b"nope"), (3, None), (4, HUGE)], "doc_id long, media binary")
+    assert {r.doc_id: (r.error, len(r.frames)) for r in gif.decode_frames(broken, ["doc_id"]).collect()} == {1: ("the file is cut short", 0), 2: ("the file is cut short", 0), 3: (None, 0), 4: ("a canvas of 65535 x 65535 pixels", 0)}
     assert gif.digests(d.where("false")).count() == 0
 
 
