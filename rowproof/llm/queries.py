@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_quotes": quotes.SQL,
     "op4_mixing": mixing.oracle(),
     "op6_warc": f"""
         WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),

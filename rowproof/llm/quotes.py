@@ -205,7 +205,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     by = ["conv_id", "turn"]
     parts = [replies, thread_depths(replies), linked.groupBy(*by).agg(F.count("*").alias("n_linked"))]
     # Rows of one turn follow each other by role and a hash of their text.
-    plain = held.select(*by, "_of_row", "role", F.xxhash64("own").alias("_text"), F.size("quoted").cast("long").alias("n_quotes"))
+    plain = held.select(*by, "_of_row", "role", F.md5("own").alias("_text"), F.size("quoted").cast("long").alias("n_quotes"))
     joined = reduce(lambda a, b: a.join(b, by, "left"), parts, plain)
     full = joined.select(*by, "_of_row", "role", "_text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
     placed = numbered(full, "conv_id", ["root", "depth", "turn", "role", "_text"], "position")
@@ -224,3 +224,59 @@ def as_mail(turns: DataFrame) -> DataFrame:
     head = F.concat(F.lit("On turn "), (F.col("turn") - 1).cast("string"), F.lit(", "), F.col("role1"), F.lit(" wrote:"))
     mail = F.concat_ws("\n", F.when(F.col("text1").isNotNull(), head), marked(F.col("text1"), "> "), marked(F.col("text2"), ">> "), F.coalesce("text", F.lit("")))
     return joined.select("conv_id", "turn", "role", mail.alias("text"))
+
+
+#: conversations(as_mail(conversations)) in DuckDB: sentences are compared as texts, not by hash, and chains are walked.
+SQL = rf"""
+    WITH RECURSIVE said AS (SELECT conv_id, turn + back AS turn, back, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS m FROM conversations, (VALUES (1), (2)) b(back)),
+    before AS (SELECT conv_id, turn, min(m) FILTER (back = 1) AS m1, min(m) FILTER (back = 2) AS m2 FROM said GROUP BY ALL),
+    mail AS (
+        SELECT row_number() OVER () AS id, coalesce(CAST(c.conv_id AS VARCHAR), '') AS conv, c.conv_id, c.turn, c.role,
+               concat_ws(chr(10), CASE WHEN m1 IS NOT NULL THEN concat('On turn ', c.turn - 1, ', ', m1.role, ' wrote:') END,
+                         '> ' || replace(m1.text, chr(10), chr(10) || '> '), '>> ' || replace(m2.text, chr(10), chr(10) || '>> '), coalesce(c.text, '')) AS text
+        FROM conversations c LEFT JOIN before b ON b.conv_id = c.conv_id AND b.turn = c.turn),
+    cut AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM mail),
+    marked AS (SELECT id, i, line, starts_with(ltrim(line, ' ' || chr(9)), '>') AS quoted FROM cut),
+    levels AS (
+        SELECT id, i, CASE WHEN quoted THEN length(regexp_replace(regexp_extract(line, '{MARKS}', 1), '[^>]', '', 'g')) ELSE 0 END AS level,
+               CASE WHEN quoted THEN regexp_replace(line, '{MARKS}', '') ELSE line END AS body FROM marked),
+    near AS (SELECT *, coalesce(lead(level) OVER w, 0) AS following, level IS DISTINCT FROM lag(level) OVER w AS starts FROM levels WINDOW w AS (PARTITION BY id ORDER BY i)),
+    own AS (
+        SELECT id, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (following > 0 AND regexp_matches(body, '{ATTRIBUTION}'))), ''), chr(10) || chr(13)) AS text
+        FROM near GROUP BY id),
+    runs AS (SELECT *, CAST(sum(CAST(starts AND level > 0 AS INT)) OVER (PARTITION BY id ORDER BY i) - 1 AS BIGINT) AS passage FROM near),
+    passages AS (SELECT id, passage, level, string_agg(body, chr(10) ORDER BY i) AS text FROM runs WHERE level > 0 GROUP BY id, passage, level),
+    texts AS (SELECT id, CAST(NULL AS BIGINT) AS passage, 0 AS level, text FROM own UNION ALL SELECT * FROM passages),
+    plain AS (
+        SELECT id, passage, level,
+               regexp_replace(regexp_replace(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS text FROM texts),
+    pieces AS (SELECT id, passage, level, trim(unnest(string_split(text, chr(10)))) AS s FROM plain),
+    sets AS (
+        SELECT conv, turn, passage, level, list_sort(list(DISTINCT s)) AS whole, count(DISTINCT s) AS n
+        FROM pieces JOIN mail USING (id) WHERE s <> '' AND turn IS NOT NULL GROUP BY conv, turn, id, passage, level),
+    asked AS (SELECT DISTINCT * FROM sets WHERE passage IS NOT NULL),
+    found AS (
+        SELECT a.*, (SELECT max(o.turn) FROM sets o WHERE o.passage IS NULL AND o.conv = a.conv AND o.whole = a.whole AND o.turn < a.turn) AS source FROM asked a),
+    sentences AS (SELECT DISTINCT conv, turn, unnest(whole) AS s FROM sets WHERE passage IS NULL),
+    rest AS (SELECT conv, turn, passage, level, whole, unnest(whole) AS s FROM found WHERE source IS NULL),
+    votes AS (
+        SELECT r.conv, r.turn, r.passage, r.level, r.whole, o.turn AS source, count(*) AS hits
+        FROM rest r JOIN sentences o ON o.conv = r.conv AND o.s = r.s AND o.turn < r.turn GROUP BY ALL),
+    hits AS (
+        SELECT conv, turn, passage, level, source, n AS hits FROM found WHERE source IS NOT NULL
+        UNION ALL SELECT conv, turn, passage, level, source, hits FROM votes),
+    linked AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY conv, turn, passage, level ORDER BY hits DESC, source DESC) = 1),
+    replies AS (
+        SELECT conv, turn, source AS reply_to, count(*) OVER (PARTITION BY conv, turn) AS n_linked FROM linked
+        QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY level, hits DESC, source DESC) = 1),
+    chain AS (
+        SELECT conv, turn, reply_to AS root, 1 AS depth FROM replies
+        UNION ALL SELECT c.conv, c.turn, r.reply_to, c.depth + 1 FROM chain c JOIN replies r ON r.conv = c.conv AND r.turn = c.root),
+    roots AS (SELECT conv, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM chain GROUP BY conv, turn),
+    placed AS (
+        SELECT m.conv, m.conv_id, m.turn, m.role, o.text, (SELECT count(*) FROM passages p WHERE p.id = m.id) AS n_quotes,
+               coalesce(n_linked, 0) AS n_linked, reply_to, coalesce(root, m.turn) AS root, coalesce(depth, 0) AS depth
+        FROM mail m JOIN own o USING (id) LEFT JOIN replies r ON r.conv = m.conv AND r.turn = m.turn LEFT JOIN roots t ON t.conv = m.conv AND t.turn = m.turn)
+    SELECT conv_id, turn, role, text, CAST(n_quotes AS BIGINT) AS n_quotes, CAST(n_linked AS BIGINT) AS n_linked, reply_to, root, CAST(depth AS BIGINT) AS depth,
+           row_number() OVER (PARTITION BY conv ORDER BY root NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, md5(text)) - 1 AS position
+    FROM placed"""
