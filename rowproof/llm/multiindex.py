@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowproof.llm.components import components
+from rowproof.llm.components import components, looked_up
 from rowproof.session import saved
 
 THRESHOLD, REACH = 0.98, 1.0
@@ -225,8 +225,9 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH
     roots = components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")))
     counts = found.where("other is null").groupBy("key").agg((F.sum("n") - 1).alias("n_links"))
     named = saved(classes.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")), "members")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_class = saved(named.join(ids, "root").join(counts, "key", "left").select("key", "component_id", "n_links"), "per-class")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_class = looked_up(named.select("root", "key"), ids, "root", "component_id", "key", named.count())
+    per_class = saved(by_class.join(counts, "key", "left").select("key", "component_id", "n_links"), "per-class")
     joined = rows.select("vec_id", "key").join(per_class, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.llm.common import text_of
-from rowproof.llm.components import components
+from rowproof.llm.components import components, looked_up
 from rowproof.session import saved
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -197,10 +197,10 @@ def groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, shard_rows
     marked = saved(with_fingerprints(docs, words=words), "fingerprints")
     nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = saved(components(close_edges(nodes, radius, shard_rows)), "roots")
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = saved(member.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    by_fp = member.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = saved(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
+    named = saved(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "components")
+    by_fp = looked_up(member.select("root", "fp"), named, "root", "component_id", "fp", member.count())
+    return marked.join(by_fp.drop("root"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
