@@ -124,6 +124,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars whose hubs are broadcast give what they give without: two hubs with a common leaf, a hub that is no root, chains."""
+    edges = [(1000, i) for i in range(1, 200)] + [(5000, i) for i in range(5001, 5100)] + [(199, 5050), (7000, 7001), (7001, 7002)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    want = {**{i: 1 for i in range(2, 200)}, **{i: 1 for i in (1000, 5000, *range(5001, 5100))}, 7001: 7000, 7002: 7000}
+    for rows in (10, 1_000):
+        monkeypatch.setattr(components, "HUB_ROWS", rows)
+        assert {r.node: r.root for r in components.components(frame).collect()} == want
+
+
+def test_looked_up_deals_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", 5)
+    rows = spark.createDataFrame([(k, str(i)) for k, n in (("a", 50), ("b", 3)) for i in range(n)], "k string, o string")
+    groups = spark.createDataFrame([("a", 1, 50), ("b", 2, 3), ("c", 3, 9)], "k string, v long, n long")
+    got = components.looked_up(rows, groups, "k", "v", "o", 53).collect()
+    assert sorted(map(tuple, got)) == sorted((r.k, r.o, 1 if r.k == "a" else 2) for r in rows.collect())
+
+
 # ---- line dedup
 
 
@@ -262,14 +280,34 @@ def test_long_reply_chain(spark):
     assert all(r.depth == r.turn == r.position and r.root == 0 for r in got)
 
 
-@pytest.mark.parametrize("name", ["op4_mixing", "op6_warc", "op8_line_dedup"])
+def test_odd_conversations_equal_sql(spark):
+    """Quotes within the table's own texts, whole and partial, repeated rows and sentences, nulls, unlinked and forward quotes, three levels."""
+    import duckdb
+
+    rows = [
+        (1, 0, "a", "Yes. Thanks. A."), (1, 1, "b", "Yes. Thanks. B."), (1, 1, "b", "Yes. Thanks. B."), (1, 1, "c", "Other row. Yes!"),
+        (1, 2, "a", "> Yes. Thanks. B.\nfine"), (1, 3, None, ">> yes -- thanks\n> fine\nOn x wrote:\n> b\n\nend"), (1, 4, "a", "On Monday, b wrote:\n>  other ROW\n> > > deep\nlast"),
+        (1, 5, "b", "> > nothing said so far\n> last\nok"), (1, 6, "a", ">"), (1, 7, "a", "\t> ok\r\n> ok\n"), (1, 9, "b", None), (1, None, "a", "> Yes. Thanks. A."),
+        (None, 0, "a", "alone here"), (None, 1, "b", "> alone here\n> never said"), (2, 0, "a", ""), (2, 1, "b", "ÉTÉ à Paris. Straße 5!"), (2, 2, "b", "> été À paris\n> straße 5\nja"),
+        (3, -1, "a", "> later words"), (3, 0, "b", "later words"), (3, 1, "a", "a " * 5000 + "."), (3, 2, "b", "> " + "a " * 5000 + ".\nlong"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.conversations(quotes.as_mail(frame))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    names = sorted(got.columns)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, con.sql(f"SELECT {', '.join(names)} FROM ({quotes.SQL})").fetchall()))
+
+
+@pytest.mark.parametrize("name", ["op1_quotes", "op4_mixing", "op6_warc", "op8_line_dedup"])
 def test_sql(spark, name):
     import duckdb
 
     from rowproof.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = QUERIES[name](spark, DATA)
     names = sorted(got.columns)
