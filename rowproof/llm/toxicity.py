@@ -28,10 +28,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,26 +128,50 @@ class Model:
 Pairs = Sequence[tuple[Sequence[int], Sequence[int]]]
 
 
-def _differences(pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Row, feature and sign of what each differing pair differs in, and the number of such pairs."""
+class Apart(NamedTuple):
+    """What the differing pairs differ in: pair, feature and sign of each difference, and the number of such pairs."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    sign: np.ndarray
+    pairs: int
+
+
+def _differences(pairs: Pairs) -> Apart:
     apart = [(set(x).difference(y), set(y).difference(x)) for x, y in pairs]
     apart = [(p, m) for p, m in apart if p or m]
     entries = [(i, j, sign) for i, both in enumerate(apart) for part, sign in zip(both, (1.0, -1.0)) for j in sorted(part)]
     row, col, sign = zip(*entries) if entries else ((), (), ())
-    return np.array(row, np.int64), np.array(col, np.int64), np.array(sign, float), len(apart)
+    return Apart(np.array(row, np.int64), np.array(col, np.int64), np.array(sign, float), len(apart))
+
 
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the value of each element of a column of lists."""
+    sizes = pc.list_value_length(lists).to_numpy()
+    return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(lists).to_numpy().astype(np.int64)
 
-def fit(rows: list[list[int]], pairs: Pairs, toxic: np.ndarray, n: int, *, swap_penalty: float, mentions: Pairs = (), ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, float]:
-    """Weights and intercept for rows of feature numbers; pairs and mentions hold texts and their counterfactuals (equal ones are left out).
+
+def _apart(signed: list[tuple[pa.ChunkedArray, float]], m: int) -> Apart:
+    """As _differences, from columns of features with their sign; two columns, lost and gained, are one sort of pairs."""
+    parts = [(*_flat(lists), sign, k // 2 * m) for k, (lists, sign) in enumerate(signed)]
+    row = np.concatenate([r + base for r, _, _, base in parts])
+    pairs, row = np.unique(row, return_inverse=True)
+    return Apart(row, np.concatenate([c for _, c, _, _ in parts]), np.concatenate([np.full(len(c), sign) for _, c, sign, _ in parts]), len(pairs))
+
+
+def fit(
+    rows: list[list[int]] | pa.ChunkedArray, pairs: Pairs | Apart, toxic: np.ndarray, n: int, *, swap_penalty: float, mentions: Pairs | Apart = (), ridge: float = 1e-5, steps: int = 1500
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept for rows of feature numbers; pairs and mentions hold texts and their counterfactuals (equal ones are left out), or their differences.
 
     Both classes weigh half. The objective is smooth and convex; it is minimised by accelerated gradient steps
     from zero over the full bounded sample, so that the result is repeatable and features that many rows share
     come before those that name a single row.
     """
-
-    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([j for r in rows for j in r], np.int64)
+    at, col = _flat(rows if isinstance(rows, pa.ChunkedArray) else pa.chunked_array([pa.array(rows, pa.list_(pa.int32()))]))
     m, y = len(rows), toxic.astype(float)
-    apart = [d for d in map(_differences, (pairs, mentions)) if d[3]] if swap_penalty else []
+    both = [p if isinstance(p, Apart) else _differences(p) for p in (pairs, mentions)]
+    apart = [d for d in both if d.pairs] if swap_penalty else []
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     size = np.bincount(at, minlength=m) + 1.0
     # The trace bounds the curvature.
@@ -202,24 +228,27 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
         return Model(base_rate=n_toxic / (n_toxic + n_clean))
     number = {f: i for i, f in enumerate(chosen)}
 
-    sorts = ("x", "swap", "plain", "mention")
+    sorts = ("swap_lost", "swap_gained", "plain_lost", "plain_gained", "mention_lost", "mention_gained")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int32())
         for batch in batches:
-            words = [words_of(t) for t in batch.column("text").to_pylist()]
-            made = [(w, swapped(w, following), without_terms(w, following), mentioning(w, following)) for w in words]
-            rows = [[sorted(number[x] for x in features(w) if x in number) for w in four] for four in made]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array([r[k] for r in rows], kind) for k in range(4))], names=["doc_id", "toxic", *sorts])
+            out: list[list[list[int]]] = []
+            for text in batch.column("text").to_pylist():
+                w = words_of(text)
+                x, *others = ({number[f] for f in features(v) if f in number} for v in (w, swapped(w, following), without_terms(w, following), mentioning(w, following)))
+                out.append([sorted(x), *(sorted(part) for other in others for part in (x - other, other - x))])
+            lists = [pa.array([r[k] for r in out], kind) for k in range(1 + len(sorts))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "x", *sorts])
 
     id_kind, label_kind = (sample.schema[c].dataType.simpleString() for c in ("doc_id", "toxic"))
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(indexed, f"doc_id {id_kind}, toxic {label_kind}, " + ", ".join(f"{c} array<int>" for c in sorts))
-    data = rows.orderBy("doc_id", "x").collect()  # bounded as the sample is, and by the selected features
-    pairs = [(r.x, other) for r in data for other in (r.swap, r.plain)]
-    mentions = [(r.x, r.mention) for r in data]
-    weights, bias = fit([r.x for r in data], pairs, np.array([r.toxic for r in data]), len(chosen), swap_penalty=swap_penalty, mentions=mentions)
-    changed = [sum(x != y for x, y in sort) for sort in (pairs, mentions)]
-    return Model(float(bias), {f: float(w) for f, w in zip(chosen, weights) if abs(w) > 1e-6}, None, *changed)
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(indexed, f"doc_id {id_kind}, toxic {label_kind}, x array<int>, " + ", ".join(f"{c} array<int>" for c in sorts))
+    # Bounded as the sample is, and by the selected features; it stays in Arrow's arrays, as Python's lists take ten times as much.
+    data = rows.orderBy("doc_id", "x").drop("doc_id").toArrow()
+    signed = [(data[c], 1.0 if c.endswith("lost") else -1.0) for c in sorts]
+    pairs, mentions = _apart(signed[:4], len(data)), _apart(signed[4:], len(data))
+    weights, bias = fit(data["x"], pairs, data["toxic"].to_numpy(), len(chosen), swap_penalty=swap_penalty, mentions=mentions)
+    return Model(float(bias), {f: float(w) for f, w in zip(chosen, weights) if abs(w) > 1e-6}, None, pairs.pairs, mentions.pairs)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
