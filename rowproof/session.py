@@ -59,8 +59,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _scratch.remove(folder)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        removed(spark, folder)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -79,6 +78,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors, once for each application; needed for Python functions only."""
     context = spark.sparkContext
