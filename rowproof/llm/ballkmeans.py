@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.llm.common import unused
@@ -195,7 +195,7 @@ def _pass(rows: DataFrame, balls: Balls, width: int, length: int, last: bool) ->
             one = lambda c: table.column(c).combine_chunks()
             label_type, schema = table.schema.field("label").type, table.schema
             columns = [
-                pa.array(["row"] * n), one("vec_id"), one("label"), one("length"), nulls(pa.binary()) if last else one("q"), pa.array(code, pa.binary()), pa.array(error, pa.int64()),
+                pa.array(["row"] * n, pa.string()), one("vec_id"), one("label"), one("length"), nulls(pa.binary()) if last else one("q"), pa.array(code, pa.binary()), pa.array(error, pa.int64()),
                 nulls(pa.int32()), nulls(pa.int32()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())),
             ]
             columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
@@ -206,7 +206,7 @@ def _pass(rows: DataFrame, balls: Balls, width: int, length: int, last: bool) ->
         n = len(used)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(["sum"] * n), pa.nulls(n, pa.int64()), pa.nulls(n, label_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()),
+                pa.array(["sum"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, label_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()),
                 pa.array([p for p, _ in used], pa.int32()), pa.array([e for _, e in used], pa.int32()), pa.array([int(count[u]) for u in used], pa.int64()), pa.array([int(radius[u]) for u in used], pa.int64()),
                 pa.array([sums[u].tolist() for u in used], pa.list_(pa.int64())),
             ], names=names,
@@ -228,6 +228,23 @@ def updated(sums: DataFrame, balls: Balls) -> Balls:
     return Balls(books, radii)
 
 
+def _first(rows: DataFrame, n: int) -> list[Row]:
+    """The n first rows (length, x) by id, then by components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, stored = batch.column("length").to_pylist(), batch.column("q").to_pylist()
+            x = [np.frombuffer(q, "<i4" if len(q) == 4 * (k + -k % PARTS) else "<i2").tolist() for k, q in zip(sizes, stored)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("length"), pa.array(x, pa.list_(pa.int64()))], names=["vec_id", "length", "x"])
+
+    by = F.col("vec_id").asc_nulls_last()
+    ids = rows.select("vec_id").orderBy(by).limit(n).collect()
+    if not ids:
+        return []
+    upto = F.lit(True) if ids[-1].vec_id is None else F.col("vec_id") <= ids[-1].vec_id
+    return rows.where(upto).select("vec_id", "length", "q").mapInArrow(run, "vec_id long, length int, x array<long>").orderBy(by, "x").limit(n).collect()
+
+
 def fit(embeddings: DataFrame, vector: str = "embedding", rounds: int = ROUNDS, entries: int = ENTRIES) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, label, code binary, error long) of all kept vectors, written, and the final codebooks (part, entry, component)."""
     spark: SparkSession = embeddings.sparkSession
@@ -235,13 +252,13 @@ def fit(embeddings: DataFrame, vector: str = "embedding", rounds: int = ROUNDS,
     made, path = integers_of(embeddings, vector), scratch_path(spark, "integers")
     made.write.parquet(path)
     rows = spark.read.schema(made.schema).parquet(path)
-    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "q").limit(entries).select("vec_id", "length", "q").collect()
+    first = _first(rows, entries)
     if not first:
         return rows.select("vec_id", "label", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error")), np.zeros((PARTS, 0, 0), np.int64)
     length = first[0].length
     width = (length + PARTS - 1) // PARTS
-    seeds = rows.where(F.col("length") == length).orderBy(F.col("vec_id").asc_nulls_last(), "q").limit(entries).select("q").collect() if any(r.length != length for r in first) else first
-    balls = Balls(_integers([bytes(r.q) for r in seeds], width)[1].transpose(1, 0, 2).copy())
+    seeds = _first(rows.where(F.col("length") == length), entries) if any(r.length != length for r in first) else first
+    balls = Balls(np.array([r.x for r in seeds], np.int64).reshape(len(seeds), PARTS, width).transpose(1, 0, 2).copy())
     for _ in range(rounds):
         made, before, path = _pass(rows, balls, width, length, last=False), path, scratch_path(spark, "codes")
         made.write.partitionBy("kind").parquet(path)
