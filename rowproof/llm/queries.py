@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowproof.llm import ballkmeans, bpe, gif, htmlcrf, linededup, mixing, multiindex, quotes, simhash, toxicity, warc
+from rowproof.llm import ballkmeans, bpe, gif, htmlcrf, linededup, mixing, multiindex, periodic, quotes, simhash, toxicity, warc
 from rowproof.llm.common import small_batches, table
 from rowproof.session import spread
 
@@ -66,6 +66,10 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ballkmeans.codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotes": op1_quotes,
     "op2_multi_index": op2_multi_index,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_html_crf": op10_html_crf,
     "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
