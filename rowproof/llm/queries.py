@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowproof.llm import ballkmeans, bpe, gif, htmlcrf, linededup, mixing, multiindex, periodic, quotes, simhash, toxicity, warc
+from rowproof.llm import ballkmeans, bpe, gif, htmlcrf, licenses, linededup, mixing, multiindex, periodic, quotes, simhash, toxicity, warc
 from rowproof.llm.common import small_batches, table
 from rowproof.session import spread
 
@@ -62,6 +62,10 @@ def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcrf.extracted(spread(table(spark, sf_dir, "pages")))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ballkmeans.codes(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_html_crf": op10_html_crf,
+    "op11_licenses": op11_licenses,
     "op12_ball_kmeans": op12_ball_kmeans,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -97,5 +102,6 @@ SQL: dict[str, str] = {
                CASE WHEN n >= {warc.MIN_REVISIT} AND page_id IS DISTINCT FROM least THEN least END AS refers_to, url
         FROM f""",
     "op8_line_dedup": linededup.SQL,
+    "op11_licenses": licenses.oracle(),
     "op12_ball_kmeans": ballkmeans.oracle(),
 }
