@@ -9,7 +9,7 @@ A cell's calibrated weight over its tokens, times one scale and one at most, is
 documents is sampled with. The scale is solved on the cells so that the sample's expected tokens are `budget` times the table's: a sparse cell
 whose probability reaches one is clipped there, and what it lacks of its weight (`shortfalls`) is made up by the others, so that
 a rare value costs other cells nothing. Without clipped cells the sample has the target marginals. `budget` None takes
-the largest scale that clips no cell, as the SQL does: there the sparsest cell sets the size of the sample. The draw
+the largest scale that clips no cell: there the sparsest cell sets the size of the sample. The draw
 is a hash of the id: repeatable, and independent of partitions.
 
 Targets are shares by value; where none are given, each value's share is its corpus share to the power `flatten`,
@@ -34,6 +34,8 @@ from rowproof.llm.common import unused
 from rowproof.session import saved
 
 FLATTEN, TOLERANCE, MAX_SWEEPS = 0.8, 1e-10, 40
+#: Sweeps of one plan: three windows each.
+PLAN_SWEEPS = 5
 #: Expected tokens of the sample, as a share of the table's.
 BUDGET = 0.5
 DIMENSIONS = ("source", "lang", "topic")
@@ -114,47 +116,54 @@ def _celled(docs: DataFrame, topic: Column | None, cell: str, tokens: str) -> Da
     return docs.select("*", F.struct(*[F.coalesce(v, F.lit(NONE)).alias(k) for k, v in named.items()]).alias(cell), tokens_of(text).alias(tokens))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with `weight` raked to the targets (value, share) of each dimension."""
-    cells = saved(cells.select(*DIMENSIONS, F.col("tokens").cast("double").alias("tokens")), "cells")
-    whole = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    aims = {}
+def _aimed(cells: DataFrame, targets: dict[str, DataFrame] | None, flatten: float) -> DataFrame:
+    """The cells with the tokens that each of their values is to have, aim_source, aim_lang and aim_topic; written."""
+    cells = cells.select(*DIMENSIONS, F.col("tokens").cast("double").alias("tokens"))
     for d in DIMENSIONS:
-        have = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("n"))
         if targets and d in targets:
-            aim = have.join(targets[d].select("value", "share"), "value").select("value", F.col("share").cast("double").alias("share"))
+            given = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias(f"share_{d}"))
+            cells = cells.join(given, d, "left").withColumn(f"share_{d}", F.coalesce(f"share_{d}", F.lit(0.0)))
         else:
-            aim = have.select("value", F.pow(F.col("n") / F.lit(whole), F.lit(flatten)).alias("share"))
-        aim = saved(aim, "target")
-        scale = aim.agg(F.sum("share")).first()[0] or 1.0
-        aims[d] = aim.select(F.col("value").alias(d), (F.col("share") / F.lit(scale) * F.lit(whole)).alias("aim"))
-    cells = cells.withColumn("weight", F.col("tokens"))
-    for _ in range(max_sweeps):
-        moved = F.lit(0.0)
-        for d in DIMENSIONS:
-            scale = cells.groupBy(d).agg(F.sum("weight").alias("have")).join(aims[d], d, "left")
-            scale = scale.select(d, F.when(F.col("have") > 0, F.coalesce("aim", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias(f"scale_{d}"))
-            cells = cells.join(scale, d).withColumn("weight", F.col("weight") * F.col(f"scale_{d}"))
-            moved = F.greatest(moved, F.when(F.col("weight") > 0, F.abs(F.col(f"scale_{d}") - 1)).otherwise(0.0))
-        step = saved(cells.select(*DIMENSIONS, "tokens", "weight", moved.alias("moved")), "raked")
-        cells = step.drop("moved")
-        if (step.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
-            return cells
-    missed = unmet(cells, aims)
+            cells = cells.withColumn(f"share_{d}", F.pow(F.sum("tokens").over(Window.partitionBy(d)), F.lit(flatten)))
+        cells = cells.withColumn(f"cells_{d}", F.count("*").over(Window.partitionBy(d)))
+    cells = saved(cells, "cells")
+    sums = cells.agg(F.sum("tokens"), *[F.sum(F.col(f"share_{d}") / F.col(f"cells_{d}")) for d in DIMENSIONS]).first()
+    whole, *scales = [x or 0.0 for x in sums]
+    return cells.select(*DIMENSIONS, "tokens", *[(F.col(f"share_{d}") / F.lit(scale or 1.0) * F.lit(whole)).alias(f"aim_{d}") for d, scale in zip(DIMENSIONS, scales)])
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS) -> DataFrame:
+    """cells (source, lang, topic, tokens) with `weight` raked to the targets (value, share) of each dimension.
+
+    Each step is a window over the cells of a value; PLAN_SWEEPS sweeps are one plan and one written table.
+    """
+    cells = _aimed(cells, targets, flatten).withColumn("weight", F.col("tokens"))
+    done = 0
+    while done < max_sweeps:
+        for _ in range(min(PLAN_SWEEPS, max_sweeps - done)):
+            done, moved = done + 1, F.lit(0.0)
+            cells = cells.withColumn("moved", moved)
+            for d in DIMENSIONS:
+                cells = cells.withColumn("have", F.sum("weight").over(Window.partitionBy(d)))
+                cells = cells.withColumn("scale", F.when(F.col("have") > 0, F.col(f"aim_{d}") / F.col("have")).otherwise(0.0)).withColumn("weight", F.col("weight") * F.col("scale"))
+                cells = cells.withColumn("moved", F.greatest("moved", F.when(F.col("weight") > 0, F.abs(F.col("scale") - 1)).otherwise(0.0)))
+        cells = saved(cells.drop("have", "scale"), "raked")
+        if (cells.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            return cells.select(*DIMENSIONS, "tokens", "weight")
+    missed = unmet(cells)
     if missed:
         text = f"targets not met after {max_sweeps} sweeps: " + "; ".join(f"{d} {value!r} has {have:.6g} of {aim:.6g} tokens" for d, value, have, aim in missed[:5])
         if targets:
             raise ValueError(text)
         warnings.warn(text, stacklevel=2)
-    return cells
+    return cells.select(*DIMENSIONS, "tokens", "weight")
 
 
-def unmet(cells: DataFrame, aims: dict[str, DataFrame]) -> list[tuple[str, str, float, float]]:
+def unmet(cells: DataFrame) -> list[tuple[str, str, float, float]]:
     """(dimension, value, weight, target) of the marginals that are MAX_OFF or more from their target, the worst first: a row a value at most."""
-    out = []
-    for d, aim in aims.items():
-        both = cells.groupBy(d).agg(F.sum("weight").alias("have")).join(aim, d)
-        out += [(d, r[d], r.have, r.aim) for r in both.where(F.abs(F.col("have") - F.col("aim")) > MAX_OFF * F.col("aim")).collect()]
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("value"), F.col(f"aim_{d}").alias("aim")) for d in DIMENSIONS]))
+    sums = cells.select("weight", each.alias("x")).groupBy("x.d", "x.value").agg(F.sum("weight").alias("have"), F.first("x.aim").alias("aim"))
+    out = [(r.d, r.value, r.have, r.aim) for r in sums.where(F.abs(F.col("have") - F.col("aim")) > MAX_OFF * F.col("aim")).collect()]
     return sorted(out, key=lambda x: -abs(x[2] - x[3]) / x[3] if x[3] else 0.0)
 
 
@@ -231,9 +240,14 @@ def oracle(sweeps: int = MAX_SWEEPS) -> str:
             name = f"w{k}_{d}"
             sql.append(f"{name} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, weight * aim / have AS weight FROM {at} c JOIN (SELECT {d}, sum(weight) AS have FROM {at} x GROUP BY {d}) h USING ({d}) JOIN aim_{d} USING ({d}))")
             at = name
+    # Expected tokens are the least of the lines that clip the k cells of the smallest quotients, so that the greatest scale of these lines meets the budget.
+    scale = (
+        f"SELECT max((budget - clipped) / left_over) FROM (SELECT {BUDGET} * sum(tokens) OVER () AS budget, coalesce(sum(tokens) OVER before, 0) AS clipped, "
+        f"sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS left_over FROM {at} WHERE weight > 0 WINDOW before AS (ORDER BY tokens / weight, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+    )
     return (
         "WITH "
         + ",\n".join(sql)
-        + f",\nrate AS (SELECT source, lang, topic, weight / tokens / (SELECT max(weight / tokens) FROM {at}) AS p FROM {at})\n"
+        + f",\nrate AS (SELECT source, lang, topic, least(1.0, weight / tokens * ({scale})) AS p FROM {at})\n"
         + f"SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS p, {draws} < p AS kept FROM doc JOIN rate USING (source, lang, topic)"
     )
