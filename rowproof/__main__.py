@@ -18,6 +18,7 @@ from rowproof.sources.files import discover, expand
 # Names that stand for delimiters and quote marks.
 DELIMITER_NAMES = {"comma": ",", "pipe": "|", "tab": "\t", "semicolon": ";", "\\t": "\t"}
 QUOTE_NAMES = {"double": '"', "single": "'"}
+ESCAPE_NAMES = {"backslash": "\\"}
 
 
 def split_option(text: str, what: str) -> tuple[str, str]:
@@ -33,10 +34,10 @@ def settings_of(args: argparse.Namespace) -> Settings:
     for text in args.format:
         name, value = split_option(text, "--format")
         pair, _, side = name.rpartition(":")
-        delim, _, quote = value.partition("+")
+        delim, quote, escape = (value.split("+", 2) + ["", ""])[:3]
         if side not in ("a", "b") or not pair:
-            raise SystemExit(f"--format is written PAIR:a=DELIMITER+QUOTE, not {text!r}")
-        formats.setdefault(pair, {})[side] = {"delim": DELIMITER_NAMES.get(delim, delim) or ",", "quote": QUOTE_NAMES.get(quote, quote) or '"'}
+            raise SystemExit(f"--format is written PAIR:a=DELIMITER+QUOTE or PAIR:a=DELIMITER+QUOTE+ESCAPE, not {text!r}")
+        formats.setdefault(pair, {})[side] = {"delim": DELIMITER_NAMES.get(delim, delim) or ",", "quote": QUOTE_NAMES.get(quote, quote) or '"'} | ({"escape": ESCAPE_NAMES.get(escape, QUOTE_NAMES.get(escape, escape))} if escape else {})
     keys: dict[str, list[str] | None] = {k: v.split(",") for k, v in (split_option(x, "--key") for x in args.key)}
     keys |= {name: None for name in args.no_key}
     plain = {f.name: getattr(args, f.name) for f in fields(Settings) if getattr(args, f.name, None) is not None}
@@ -110,7 +111,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--name-b", default="B")
     c.add_argument("--key", action="append", default=[], metavar="PAIR=COL,COL")
     c.add_argument("--no-key", action="append", default=[], metavar="PAIR", help="compare this pair row by row")
-    c.add_argument("--format", action="append", default=[], metavar="PAIR:SIDE=DELIMITER+QUOTE", help="SIDE is a or b, e.g. one:b=pipe+double")
+    c.add_argument("--format", action="append", default=[], metavar="PAIR:SIDE=DELIMITER+QUOTE+ESCAPE", help="SIDE is a or b, e.g. one:b=pipe+double; the escape may be left out, and is the mark itself then, e.g. one:a=pipe+double+backslash")
     c.add_argument("--key-mode", choices=("auto", "none"))
     c.add_argument("--key-min-overlap", type=float)
     c.add_argument("--key-max-columns", type=int)

@@ -7,6 +7,9 @@ A field that starts with the quote mark runs to the closing mark, where a double
 count as one line feed each; blanks after the closing mark are padding, anything else there is junk and becomes part of the value;
 without a closing mark the field runs to the end of the text. Any other field runs to the delimiter or line break and may
 hold quote marks as ordinary characters.
+
+A `quote` of two characters is a mark and its escape, for texts that escape marks instead of doubling them: within quotes the escape makes the mark or another
+escape an ordinary character, a doubled mark ends the field with junk after it, and an escape before anything else is junk, too.
 """
 
 from __future__ import annotations
@@ -28,10 +31,16 @@ COUNTERS = (
 )
 
 
+def quoted_body(quote: str) -> tuple[str, str]:
+    """The mark, escaped for patterns, and the pattern of what stands between marks. All repetitions are possessive: Java then matches them in a loop, however long the text."""
+    q, e = re.escape(quote[0]), re.escape(quote[1:])
+    return (q, rf"[^{q}{e}]*+(?:{e}(?s:.|\z)[^{q}{e}]*+)*+") if e and e != q else (q, f"[^{q}]*+(?:{q}{q}[^{q}]*+)*+")
+
+
 def _field(delim: str, quote: str) -> str:
-    """One field as written. All repetitions are possessive: Java then matches them in a loop, however long the text."""
-    d, q = re.escape(delim), re.escape(quote)
-    return f"(?:{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+(?:{q}[^{d}\\r\\n]*+)?+|(?!{q})[^{d}\\r\\n]*+)"
+    """One field as written."""
+    d, (q, body) = re.escape(delim), quoted_body(quote)
+    return f"(?:{q}{body}(?:{q}[^{d}\\r\\n]*+)?+|(?!{q})[^{d}\\r\\n]*+)"
 
 
 def _record_pattern(delim: str, quote: str) -> str:
@@ -65,26 +74,31 @@ def raw_records(df: DataFrame, id_col: str, text: Column, delim: str, quote: str
 
 def raw_fields(rows: DataFrame, delim: str, quote: str, where: Column | None = None) -> DataFrame:
     """rows (with raw) with the array `fields` of fields as written; null for rows outside `where`."""
-    q = re.escape(quote)
+    q, body = quoted_body(quote)
     cut = F.regexp_extract_all("raw", F.lit(_field_pattern(delim, quote)), F.lit(1))
     found = rows.withColumn("_f", cut if where is None else F.when(where, cut))
     n = F.size("_f")
     # A field that runs to the end may itself end in a delimiter, after which nothing follows.
-    open_end = F.coalesce((F.get("_f", n - 1) == "") & F.rlike(F.get("_f", n - 2), F.lit(rf"\A{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+\z")), F.lit(False))
+    open_end = F.coalesce((F.get("_f", n - 1) == "") & F.rlike(F.get("_f", n - 2), F.lit(rf"\A{q}{body}\z")), F.lit(False))
     return found.withColumn("fields", F.when(open_end, F.slice("_f", F.lit(1), n - 1)).otherwise(F.col("_f"))).drop("_f")
 
 
 def field_facts(raw: Column, delim: str, quote: str) -> dict[str, Column]:
     """What a raw field says, by the column names of the token table."""
-    q = re.escape(quote)
-    inside = rf"\A{q}([^{q}]*+(?:{q}{q}[^{q}]*+)*+)({q}?)(?s:(.*))\z"
+    q, between = quoted_body(quote)
+    inside, quote, escape = rf"\A{q}({between})({q}?)(?s:(.*))\z", quote[0], quote[1:]
     spaces = "".join(c for c in " \t" if c != delim)
     quoted = F.startswith(raw, F.lit(quote))
     part = lambda k: F.regexp_extract(raw, inside, k)
     body, closing, tail = part(1), part(2), part(3)
     junk = F.ltrim(tail, F.lit(spaces)) if spaces else tail
     broken = F.regexp_replace(body, r"\r\n|\r", "\n")
-    value = F.when(quoted, F.concat(F.replace(broken, F.lit(quote * 2), F.lit(quote)), junk)).otherwise(raw)
+    if escape and escape != quote:
+        e = re.escape(escape)
+        plain, odd = F.regexp_replace(broken, f"{e}([{e}{q}])", "$1"), ~F.rlike(body, F.lit(rf"\A[^{e}]*+(?:{e}[{e}{q}][^{e}]*+)*+\z"))
+    else:
+        plain, odd = F.replace(broken, F.lit(quote * 2), F.lit(quote)), F.lit(False)
+    value = F.when(quoted, F.concat(plain, junk)).otherwise(raw)
     blank = F.btrim(value, F.lit(spaces)) == "" if spaces else F.lit(False)
     has_quote = F.when(quoted, F.contains(body, F.lit(quote)) | F.contains(junk, F.lit(quote))).otherwise(F.contains(raw, F.lit(quote)))
     return {
@@ -94,7 +108,7 @@ def field_facts(raw: Column, delim: str, quote: str) -> dict[str, Column]:
         "has_break": quoted & F.contains(broken, F.lit("\n")),
         "has_inner_quote": has_quote,
         "unterminated": quoted & (closing == ""),
-        "junk": quoted & (junk != ""),
+        "junk": quoted & ((junk != "") | odd),
         "padded": quoted & (tail != "") & F.startswith(tail, F.lit(" ")) if spaces == " " else quoted & F.rlike(tail, F.lit(r"\A[ \t]" if spaces == " \t" else r"\A ")),
         "blank": blank & (value != ""),
     }
@@ -148,9 +162,9 @@ def counter_columns(of: Column) -> dict[str, Column]:
 
 def _candidate(delim: str, quote: str, rank: int) -> Column:
     """A dialect with its patterns, so that one pass over exploded candidates reads a text by all of them."""
-    q, d = re.escape(quote), re.escape(delim)
-    inside = rf"\A{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+"
-    parts = {"delim": delim, "quote": quote, "record": _record_pattern(delim, quote), "field": _field_pattern(delim, quote), "open": inside + r"\z", "junk": inside + q + r"[ \t]*+[^ \t]"}
+    q, body = quoted_body(quote)
+    inside = rf"\A{q}{body}"
+    parts = {"delim": delim, "quote": quote[0], "record": _record_pattern(delim, quote), "field": _field_pattern(delim, quote), "open": inside + r"\z", "junk": inside + q + r"[ \t]*+[^ \t]"}
     return F.struct(F.lit(rank).alias("rank"), *[F.lit(v).alias(k) for k, v in parts.items()])
 
 

@@ -123,7 +123,13 @@ def _process(spark: SparkSession, pair: files.Pair, settings: Settings, result:
     names = [records.first_record(o, spark, f.delim, f.quote) or [] for o, f in zip(opened, formats)]
     check = result.header_check = tables.compare_headers(*names, settings.sides)
     clock.step("format and headers")
-    sides = [tables.load(records.records(o, f.delim, f.quote), f, max(len(n), 1)) for o, f, n in zip(opened, formats, names)]
+    sides = []
+    for side, o, f, n in zip(settings.sides, opened, formats, names):
+        try:
+            found = records.records(o, f.delim, f.quote, settings.max_line_bytes)
+        except ValueError as e:
+            raise ValueError(f"{side}: {e}") from e
+        sides.append(tables.load(found, f, max(len(n), 1)))
     result.rows, result.rejected = tuple(s.n_rows for s in sides), tuple(s.n_rejects for s in sides)
     clock.step("load")
     for side, s in zip(settings.sides, sides):

@@ -10,27 +10,35 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _given() -> SparkConf:
+    """The settings that Spark was started with: by spark-submit, PYSPARK_SUBMIT_ARGS or a folder of settings."""
+    if any(os.environ.get(k) for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS", "SPARK_CONF_DIR")):
+        SparkContext._ensure_initialized()  # the JVM has them as its properties
+    return SparkConf()
+
+
 def get_session(app: str = "rowproof", cores: str | int = "*", **conf: str) -> SparkSession:
-    """A local session with adaptive execution; on a cluster, spark-submit's settings win."""
+    """The session. Settings that Spark was started with win over `conf`, and both over our defaults; most of these, and the local master of `cores` cores, hold only where no master is given."""
     builder = SparkSession.builder.appName(app)
-    if "SPARK_REMOTE" not in os.environ and not os.environ.get("MASTER"):
-        builder = builder.master(f"local[{cores}]")
-    defaults = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-    }
+    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    if "SPARK_REMOTE" in os.environ:
+        given = SparkConf(loadDefaults=False)
+    else:
+        given = _given()
+        master = given.get("spark.master", os.environ.get("MASTER"))
+        defaults |= {"spark.master": master or f"local[{cores}]"}
+        if not master:
+            defaults |= {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"}
     for key, value in {**defaults, **conf}.items():
-        builder = builder.config(key, value)
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if "SPARK_REMOTE" not in os.environ:
+        spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 

@@ -3,7 +3,7 @@
 UTF-16 is known by its byte order mark or by where its zero bytes stand, UTF-8 by being valid. Anything else is mixed:
 valid UTF-8 stays and only the bytes between are read as Windows-1252 (policy "bytes"), or the whole file is
 (policy "file"). Which bytes were read so, and on which lines, is reported. Line feeds are no part of any longer UTF-8 character, so
-that lines can be decoded one by one (records.py); only UTF-16 needs a file as a whole.
+that lines can be decoded one by one (records.py), and so can those of UTF-16, cut at line feeds of two bytes.
 """
 
 from __future__ import annotations
@@ -101,15 +101,15 @@ def decode(data: bytes, policy: str = "bytes") -> tuple[str, str, int, list[int]
 
 
 def by_lines(encoding: str) -> bool:
-    """Whether text in this encoding can be cut at the bytes of line feeds before it is decoded."""
+    """Whether text in this encoding can be cut at the bytes of line breaks before it is decoded."""
     name = codecs.lookup(encoding).name
-    return not name.startswith(("utf-16", "utf-32", "utf-7"))
+    return not name.startswith(("utf-32", "utf-7"))
 
 
 def read_texts(spark: SparkSession, paths: list[str], policy: str = "bytes", encoding: str | None = None) -> DataFrame:
     """One row per file: path, text, encoding and what was read as Windows-1252; a file that cannot be decoded has an error.
 
-    For UTF-16 only, as such a file is one value; others are read by records.py.
+    For encodings that cannot be cut at the bytes of line breaks, as such a file is one value; others are read by records.py.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

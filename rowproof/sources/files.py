@@ -53,14 +53,14 @@ def head_of(spark: SparkSession, path: str, n: int) -> tuple[bytes, int]:
         stream.close()
 
 
-def tail_of(spark: SparkSession, path: str) -> bytes:
-    """The last byte of a file, if it has one."""
+def tail_of(spark: SparkSession, path: str, n: int = 1) -> bytes:
+    """The last n bytes of a file, if it has them."""
     fs, at = _store(spark, path)
     size = fs.getFileStatus(at).getLen()
     stream = fs.open(at)
     try:
-        stream.seek(max(size - 1, 0))
-        return bytes(stream.readNBytes(1))
+        stream.seek(max(size - n, 0))
+        return bytes(stream.readNBytes(n))
     finally:
         stream.close()
 

@@ -18,6 +18,8 @@ from rowproof.session import saved
 
 @dataclass(frozen=True)
 class Format:
+    """`quote` is the quote mark, with its escape after it where marks are not doubled."""
+
     delim: str = ","
     quote: str = '"'
     source: str = "detected"
@@ -28,7 +30,8 @@ def sniff(texts: DataFrame, overrides: dict[str, dict[str, str]] | None = None,
     """The format of a file's opening (path, text): an override for its side, else the dialect that reads it best."""
     given = (overrides or {}).get(side)
     if given:
-        return Format(given.get("delim", ","), given.get("quote", '"'), "settings")
+        quote = given.get("quote", '"')
+        return Format(given.get("delim", ","), quote + given.get("escape", quote).replace(quote, ""), "settings")
     r = delimited.choose_dialect(delimited.dialect_scores(texts, "path", opening_chars=delimited.SNIFF_CHARS), "path").first()
     if r is None:
         return Format(note="empty file")
@@ -52,13 +55,14 @@ def load(records: DataFrame, fmt: Format, n_columns: int) -> Loaded:
     records has path, record_no, line and raw. The first record that is not blank is the header. A blank line is a row only where there is
     one column. Every record is read once: rows and rejects are written together, column by column, and counted from what was written.
     """
-    plain = ~F.contains("raw", F.lit(fmt.quote))
+    plain = ~F.contains("raw", F.lit(fmt.quote[0]))
     # A record without a quote mark has bare fields only, which its delimiters cut; others are read field by field.
     split = F.split("raw", re.escape(fmt.delim), -1)
     held = delimited.raw_fields(records, fmt.delim, fmt.quote, where=~plain)
-    facts = lambda k: F.exists("fields", lambda x: delimited.field_facts(x, fmt.delim, fmt.quote)[k])
-    value = lambda x: delimited.field_facts(x, fmt.delim, fmt.quote)["value"]
-    cells = held.withColumn("_cells", F.when(plain, split).otherwise(F.transform("fields", value)))
+    said = lambda x: F.struct(*[v.alias(k) for k, v in delimited.field_facts(x, fmt.delim, fmt.quote).items() if k in ("value", "unterminated", "junk")])
+    held = held.withColumn("_facts", F.transform("fields", said))
+    facts = lambda k: F.exists("_facts", lambda x: x[k])
+    cells = held.withColumn("_cells", F.when(plain, split).otherwise(F.transform("_facts", lambda x: x["value"])))
     n = F.size("_cells")
     error = (
         F.when(~plain & facts("unterminated"), "UNQUOTED VALUE").when(~plain & facts("junk"), "INVALID STATE")
