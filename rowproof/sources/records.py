@@ -217,24 +217,32 @@ class _Walk:
 
     def __init__(self, entry: bool) -> None:
         self.state, self.starts, self.longest, self.open, self.lead, self.foreign = entry, 0, 0, 0, None, entry
+        self.lines, self.begun, self.where = 0, 0, 0  # lines so far, the line that began the last record, and the longest one
 
     def add(self, o: np.ndarray, i: np.ndarray, sizes: np.ndarray, cut: np.ndarray) -> None:
         after = states(o, i, self.state)
         before = np.concatenate([[self.state], after[:-1]])
-        self.starts += int((~before).sum())
+        begins = np.flatnonzero(~before)
+        self.starts += len(begins)
         ends, upto = np.flatnonzero(~after), np.cumsum(sizes)
         if len(ends):
             lengths = np.diff(np.concatenate([[-self.open], upto[ends]])) - cut[ends]
             if self.foreign:
-                self.lead, self.foreign, lengths = int(lengths[0]), False, lengths[1:]
-            self.longest = max(self.longest, int(lengths.max(initial=0)))
+                self.lead, self.foreign, lengths, ends = int(lengths[0]), False, lengths[1:], ends[1:]
+            if len(lengths) and lengths.max() > self.longest:
+                k = int(lengths.argmax())
+                own = int(np.searchsorted(begins, ends[k], side="right"))
+                self.longest, self.where = int(lengths[k]), self.lines + int(begins[own - 1]) if own else self.begun
+            ends = np.flatnonzero(~after)
             self.open = int(upto[-1] - upto[ends[-1]])
         else:
             self.open += int(upto[-1])
-        self.state = bool(after[-1])
+        if len(begins):
+            self.begun = self.lines + int(begins[-1])
+        self.state, self.lines = bool(after[-1]), self.lines + len(after)
 
 
-WALK = "block long, entry int, exit int, starts long, lead long, longest long, open long"
+WALK = "block long, entry int, exit int, starts long, lead long, longest long, open long, begun long, place long"
 
 
 def _walked(lines: DataFrame, delim: str, quote: str) -> dict[tuple[int, int], Row]:
@@ -242,7 +250,7 @@ def _walked(lines: DataFrame, delim: str, quote: str) -> dict[tuple[int, int], R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(block: int, walks: list[_Walk]) -> pa.RecordBatch:
-            rows = [(block, e, int(w.state), w.starts, w.lead, w.longest, w.open) for e, w in enumerate(walks)]
+            rows = [(block, e, int(w.state), w.starts, w.lead, w.longest, w.open, w.begun, w.where) for e, w in enumerate(walks)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (1, 2) else pa.int64()) for k, c in enumerate(zip(*rows))], names=[c.split()[0] for c in WALK.split(", ")])
 
         block, walks = None, []
@@ -293,8 +301,8 @@ def _placed(opened: Opened, walks: dict[tuple[int, int], Row]) -> _Places:
         ended = [(held + w.lead, since)] if state and not through else []
         held = held + w.open if through else w.open if w.exit else 0
         if not through and w.exit:
-            since = line + 1
-        for size, at in [*ended, (w.longest if not through else 0, line + 1)]:
+            since = line + w.begun + 1
+        for size, at in [*ended, (w.longest if not through else 0, line + w.place + 1)]:
             if size > longest:
                 longest, longest_line = size, at
         records, line, state = records + w.starts, line + split.n, w.exit
@@ -352,7 +360,7 @@ def _chunks(opened: Opened, delim: str, quote: str, limit: int | None) -> DataFr
     """(block, record_no, line, text): the lines, where those that a quoted field spans are one text, at its first line."""
     places = _placed(opened, _walked(opened.lines, delim, quote))
     if limit is not None and places.longest > limit and not any(r.lone for r in opened.splits):
-        raise ValueError(f"a line of {places.longest} bytes is over the limit of {limit}; it begins on line {places.line} or after it, within that line's split")
+        raise ValueError(f"a line of {places.longest} bytes is over the limit of {limit}; it begins on line {places.line}")
     text = F.concat("text", F.lit(opened.sep)).alias("text")
     if places.plain:
         at = F.col("seq") + F.col("before") + 1
