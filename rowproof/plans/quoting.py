@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowproof.functions import delimited, habits
@@ -27,18 +28,21 @@ class FileProfile:
     seconds: float = 0.0
     detail: str = ""
 
-    def labels(self) -> list[str]:
-        """Column names; blank ones are numbered, repeated ones get their number."""
-        width = max([len(self.names), *(c.field_no for c in self.columns), self.profile.columns if self.profile else 0])
-        raw = [(self.names[i].replace("\r", " ").replace("\n", " ").strip() if i < len(self.names) else "") or f"column {i + 1}" for i in range(width)]
-        return [f"{n} (column {i})" if raw.count(n) > 1 else n for i, n in enumerate(raw, 1)]
-
     def groups(self) -> dict[str, list[str]]:
-        """Labels of the columns with quotes, without, and with both."""
-        labels, out = self.labels(), {"with": [], "without": [], "both": []}
-        for c in self.columns:
-            out[c.quoting].append(labels[c.field_no - 1])
-        return out
+        """Labels of the columns by how they are quoted: with, without, both."""
+        return {kind: [c.label for c in self.columns if c.quoting == kind] for _, kind in GROUPS}
+
+
+def column_table(tok: DataFrame) -> DataFrame:
+    """One row per column of the header or the data: field_no, label, and the counts and group of column_habits (null without data).
+
+    A label is the header's name on one line; a column without a name, or with one that others have too, shows its number."""
+    names = tok.where("part = 'header'").select("field_no", F.regexp_replace("value", r"\s+", " ").alias("name"))
+    both = names.join(delimited.column_habits(tok, "path").drop("path"), "field_no", "full")
+    number = F.concat(F.lit("column "), F.col("field_no").cast("string"))
+    both = both.withColumn("name", F.coalesce(F.nullif(F.btrim("name"), F.lit("")), number))
+    shared = F.count("*").over(Window.partitionBy("name")) > 1
+    return both.select("field_no", F.when(shared, F.concat("name", F.lit(" ("), number, F.lit(")"))).otherwise(F.col("name")).alias("label"), "quoted_cells", "bare_cells", "quoting")
 
 
 def profile_file(spark: SparkSession, path: str, delim: str | None = None, quote: str | None = None, encoding_name: str | None = None, header: bool = True, max_rows: int = 0) -> FileProfile:
@@ -59,7 +63,7 @@ def profile_file(spark: SparkSession, path: str, delim: str | None = None, quote
         names = [r.value for r in tok.where("part = 'header'").orderBy("field_no").select("value").collect()]
         return FileProfile(
             path, "", opened.label, profile.first(), names,
-            delimited.column_habits(tok, "path").orderBy("field_no").collect(), delimited.first_samples(tok, "path", delim, quote).orderBy("part", "record_no").collect(),
+            column_table(tok).orderBy("field_no").collect(), delimited.first_samples(tok, "path", delim, quote).orderBy("part", "record_no").collect(),
             opened.n_bytes, time.time() - start,
         )
     except Exception as e:
@@ -67,22 +71,6 @@ def profile_file(spark: SparkSession, path: str, delim: str | None = None, quote
         return FileProfile(path, "File not found." if "PATH_NOT_FOUND" in text or "FileNotFound" in text else f"{type(e).__name__}: {text[:300]}")
 
 
-def short_report(found: list[FileProfile]) -> str:
-    """Per file, the columns with quotes, without, and with both."""
-    blocks = []
-    for f in found:
-        lines = [f.path.rsplit("/", 1)[-1]]
-        if f.error:
-            lines.append(f"  {f.error}")
-        else:
-            for title, kind in (("Quoted columns:", "with"), ("Bare columns:", "without"), ("Columns with both:", "both")):
-                names = f.groups()[kind]
-                if names or kind != "both":
-                    lines += [title, *(f"  {n}" for n in names or ["(none)"])]
-        blocks.append("\n".join(lines))
-    return "\n\n".join(blocks) + "\n" if blocks else ""
-
-
 #: What a report says before its files.
 EXPLANATION = """How to read this report
   Values are judged as their file writes them: a field is quoted if it begins with the quote mark.
@@ -120,28 +108,56 @@ def write_details(found: list[FileProfile], folder: str) -> list[str]:
     return [f.detail for f in found]
 
 
+def _columns(f: FileProfile) -> Iterator[str]:
+    for title, kind in GROUPS:
+        yield f"{title}: {'; '.join(f.groups()[kind]) or '-'}"
+
+
+def _format(f: FileProfile) -> Iterator[str]:
+    p = f.profile
+    yield f"encoding {f.encoding}, delimiter {p.delim!r} ({p.delim_status}), quote {p.quote!r}, line breaks {p.newline}"
+    yield f"{size_text(f.n_bytes)}, read in {f.seconds:.1f} s"
+    for name, on in (("guessed", p.delim_status == "guessed"), ("unterminated", p.unterminated), ("low_confidence", p.low_confidence)):
+        if on:
+            yield f"caution: {CAVEATS[name]}"
+
+
+def _counts(f: FileProfile) -> Iterator[str]:
+    p = f.profile
+    yield f"{p.data_records:,} data rows, {p.columns} columns, judged from {p.judged}"
+    yield f"values: {p.value_habit}; empties: {p.empty_habit}; {p.habit}" + (f" ({p.caveat})" if p.caveat else "")
+    for where in ("header", "data"):
+        counts = ", ".join(f"{n} {p[f'{where}_{n}']:,}" for n in delimited.COUNTERS if p[f"{where}_{n}"])
+        yield f"{where}: {counts or 'nothing'}"
+
+
+def _lists(f: FileProfile) -> Iterator[str]:
+    yield from (f"column {c.label}: {c.quoted_cells:,} quoted, {c.bare_cells:,} bare" for c in f.columns if c.quoting)
+    yield from (f"check: {c}" for c in f.profile.checks)
+    yield from (f"{s.part} {s.kind}: row {s.record_no} {s.preview}" for s in f.samples)
+
+
+#: How columns are grouped, and what the sections of a file are in either report.
+GROUPS = (("always quoted", "with"), ("never quoted", "without"), ("quoted in part", "both"))
+SHORT, FULL = (_columns,), (_format, _counts, _columns, _lists)
+
+
+def report(found: list[FileProfile], sections: tuple[Callable[[FileProfile], Iterator[str]], ...]) -> list[str]:
+    """The lines of the given sections for each file, under its path; a file's error stands instead of them."""
+    out = []
+    for f in found:
+        out += [f"== {f.path}", *(f"  {line}" for line in ([f.error] if f.error else (x for section in sections for x in section(f))))]
+    return out
+
+
+def short_report(found: list[FileProfile]) -> str:
+    """Per file, which columns are quoted."""
+    return "".join(f"{line}\n" for line in report(found, SHORT))
+
+
 def full_report(found: list[FileProfile]) -> str:
     """Per file: format, habits, counts, columns, checks and samples; then how the files compare."""
-    out = [EXPLANATION]
-    for f in found:
-        out.append(f"== {f.path}")
-        if f.error:
-            out.append(f"  {f.error}")
-            continue
-        p = f.profile
-        out.append(f"  encoding {f.encoding}, delimiter {p.delim!r} ({p.delim_status}), quote {p.quote!r}, line breaks {p.newline}")
-        out.append(f"  {size_text(f.n_bytes)}, read in {f.seconds:.1f} s")
-        doubts = [CAVEATS[c] for c, on in (("guessed", p.delim_status == "guessed"), ("unterminated", p.unterminated), ("low_confidence", p.low_confidence)) if on]
-        out += [f"  caution: {text}" for text in doubts]
-        out.append(f"  {p.data_records:,} data rows, {p.columns} columns, judged from {p.judged}")
-        out.append(f"  values: {p.value_habit}; empties: {p.empty_habit}; {p.habit}" + (f" ({p.caveat})" if p.caveat else ""))
-        for where in ("header", "data"):
-            counts = ", ".join(f"{n} {p[f'{where}_{n}']:,}" for n in delimited.COUNTERS if p[f"{where}_{n}"])
-            out.append(f"  {where}: {counts or 'nothing'}")
-        labels = f.labels()
-        out += [f"  column {labels[c.field_no - 1]}: {c.quoted_cells:,} quoted, {c.bare_cells:,} bare" for c in f.columns]
-        out += [f"  check: {c}" for c in p.checks]
-        out += [f"  {s.part} {s.kind}: row {s.record_no} {s.preview}" for s in f.samples]
+    out = [EXPLANATION, *report(found, FULL)]
     usable = [f.profile for f in found if not f.error]
     if len(usable) > 1:
         for what, name in (("value", "value_habit"), ("empty", "empty_habit")):
