@@ -66,21 +66,25 @@ def raw_records(df: DataFrame, id_col: str, text: Column, delim: str, quote: str
     filled = F.transform("_r", lambda x: x["raw"] != "")
     both = both.withColumn("header_record", F.nullif(F.array_position(filled, F.lit(True)), F.lit(0)))
     first = F.get("_r", (F.col("header_record") - 1).cast("int"))["raw"]
-    both = both.withColumn("header_width", F.size(F.regexp_extract_all(first, F.lit(_field_pattern(delim, quote)), F.lit(1))))
+    both = both.withColumn("_h", F.regexp_extract_all(first, F.lit(_field_pattern(delim, quote)), F.lit(1)))
+    both = both.withColumn("header_width", F.size("_h") - _open_end("_h", quote).cast("int"))
     rows = both.select(id_col, "header_record", F.when(F.col("header_record").isNotNull(), F.col("header_width")).alias("header_width"), F.posexplode("_r").alias("_k", "_x"))
     rows = rows.select(id_col, (F.col("_k") + 1).cast("long").alias("record_no"), "header_record", "header_width", "_x.raw", "_x.end")
     return rows.where("raw <> '' or end <> ''")  # the search finds one more, empty, at the very end
 
 
+def _open_end(fields: str, quote: str) -> Column:
+    """Whether the last of the found fields is none: a field that runs to the end may itself end in a delimiter, after which nothing follows."""
+    q, body = quoted_body(quote)
+    n = F.size(fields)
+    return F.coalesce((F.get(fields, n - 1) == "") & F.rlike(F.get(fields, n - 2), F.lit(rf"\A{q}{body}\z")), F.lit(False))
+
+
 def raw_fields(rows: DataFrame, delim: str, quote: str, where: Column | None = None) -> DataFrame:
     """rows (with raw) with the array `fields` of fields as written; null for rows outside `where`."""
-    q, body = quoted_body(quote)
     cut = F.regexp_extract_all("raw", F.lit(_field_pattern(delim, quote)), F.lit(1))
     found = rows.withColumn("_f", cut if where is None else F.when(where, cut))
-    n = F.size("_f")
-    # A field that runs to the end may itself end in a delimiter, after which nothing follows.
-    open_end = F.coalesce((F.get("_f", n - 1) == "") & F.rlike(F.get("_f", n - 2), F.lit(rf"\A{q}{body}\z")), F.lit(False))
-    return found.withColumn("fields", F.when(open_end, F.slice("_f", F.lit(1), n - 1)).otherwise(F.col("_f"))).drop("_f")
+    return found.withColumn("fields", F.when(_open_end("_f", quote), F.slice("_f", F.lit(1), F.size("_f") - 1)).otherwise(F.col("_f"))).drop("_f")
 
 
 def field_facts(raw: Column, delim: str, quote: str) -> dict[str, Column]:

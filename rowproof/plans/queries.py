@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowproof.functions import delimited, habits
 from rowproof.functions.cells import as_text, is_number, row_hash, to_text
 from rowproof.operators import columns, compare, differences, keys
+from rowproof.plans import delimited_sql
 from rowproof.plans.sides import CMP_SQL, LINE_SQL, ORDER_SQL, line_sides, order_sides, table
 from rowproof.session import spread
 
@@ -297,39 +298,39 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(delimited_sql.CSV_TOKENS)
 def csv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of every document, read as comma-separated text."""
     return delimited.classified(delimited.tokens(_texts(spark, sf_dir), "doc_id")).drop("end")
 
 
-@query()
+@query(delimited_sql.CSV_PROFILE)
 def csv_profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quoting profile of every document, with its habits and checks."""
     return habits.judged(delimited.profile(_texts(spark, sf_dir), "doc_id")).withColumn("checks", F.array_join(habits.checks(), " "))
 
 
-@query()
+@query(delimited_sql.CSV_COLUMNS)
 def csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted and bare cells of each document's columns."""
     tok = delimited.records_of(delimited.classified(delimited.tokens(_texts(spark, sf_dir), "doc_id")), "doc_id")
     return delimited.column_habits(tok, "doc_id")
 
 
-@query()
+@query(delimited_sql.CSV_SAMPLES)
 def csv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first field of each kind in each document."""
     tok = delimited.records_of(delimited.classified(delimited.tokens(_texts(spark, sf_dir), "doc_id")), "doc_id")
     return delimited.first_samples(tok, "doc_id")
 
 
-@query()
+@query(delimited_sql.DIALECTS)
 def dialect_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delimiter and quote mark that read each document best."""
     return delimited.choose_dialect(delimited.dialect_scores(_texts(spark, sf_dir), "doc_id"), "doc_id")
 
 
-@query()
+@query(delimited_sql.ACROSS)
 def across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return habits.across(habits.judged(delimited.profile(_texts(spark, sf_dir), "doc_id")))
 
