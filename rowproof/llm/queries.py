@@ -96,10 +96,10 @@ SQL: dict[str, str] = {
     "op6_warc": f"""
         WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, url, octet_length(b) AS n, sha256(b) AS digest FROM p),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least FROM d)
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least, row_number() OVER (PARTITION BY digest ORDER BY page_id NULLS LAST, url NULLS FIRST) AS place FROM d)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
-               CASE WHEN n >= {warc.MIN_REVISIT} AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= {warc.MIN_REVISIT} AND page_id IS DISTINCT FROM least THEN least END AS refers_to, url
+               CASE WHEN n >= {warc.MIN_REVISIT} AND least IS NOT NULL AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= {warc.MIN_REVISIT} AND least IS NOT NULL AND place > 1 THEN least END AS refers_to, url
         FROM f""",
     "op8_line_dedup": linededup.SQL,
     "op11_licenses": licenses.oracle(),

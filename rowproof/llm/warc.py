@@ -4,12 +4,12 @@ A monolithic archive is one gzip stream over all its records, in which nothing c
 before. The normaliser inflates such a stream once, in bounded pieces, rewrites every record as a gzip member of its own
 and writes a sidecar index (one JSON line per record: offset, length, id, type, digest, page), so that a reader can seek.
 
-Files go to a folder that all executors share, through the file systems of pyarrow (file, hdfs, s3, gs); they are read
-through Spark. A task writes under a new name each time, and only names in the written manifest count, so that repeated
+Files go to a folder that all executors share, through the file systems of pyarrow (file, hdfs, s3, gs), and are read so, too: Spark
+deals the names of archives out, and each task opens its own. A task writes under a new name each time, and only names in the written manifest count, so that repeated
 or lost tasks leave no half archive in the result. An archive is closed at `roll_bytes` of records.
 
 Defined cases: a null html is the empty payload; a null url leaves out the target; payloads under `min_revisit` bytes are always
-responses; rows that repeat a page id and payload are all responses, as nothing tells them apart; a null page id never
+responses; of rows that repeat the page id and payload of a response one stays it (the smallest url) and the others revisit it; a null page id never
 serves as the one referred to while its group has another; header values lose line breaks; records of any length
 are kept whole; an empty table gives no archive and no rows; extra columns are ignored.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowproof.session import saved, scratch_path
@@ -126,12 +126,32 @@ def decisions(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     return seen.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
+def _repeats(rows: DataFrame) -> DataFrame:
+    """The responses (page_id, digest) that several rows are, of rows with digest and revisit."""
+    return rows.where(~F.col("revisit") & F.col("page_id").isNotNull()).groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"))
+
+
+def _one_response(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """rows in which one of each repeated response stays a response; equal rows are summed before the shuffle, and only one payload of them is kept."""
+    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
+    once = rows.join(repeats, same, "left_anti")
+    held = rows.join(repeats, same, "left_semi").groupBy("page_id", "url", "digest").agg(F.any_value("payload").alias("payload"), F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))  # one row for each url
+    copies = held.withColumn("place", first).select("page_id", "url", "payload", "digest", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda k: (F.col("place") > 1) | (k > 1))).alias("revisit"))
+    return once.unionByName(copies.withColumn("refers_to", F.when(F.col("revisit"), F.col("page_id"))))
+
+
 def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write every page as a record into archives of one gzip stream each; returns (archive, records)."""
     revisits = saved(decisions(pages, min_revisit), "revisits").select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "refers_to")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
     rows = rows.select("page_id", "url", "payload", "digest", F.col("of_digest").isNotNull().alias("revisit"), "refers_to")
+    ids = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), (F.octet_length(F.coalesce("html", F.lit(""))) < min_revisit).alias("revisit"))
+    ids = ids.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left_anti")
+    repeats = saved(_repeats(ids), "repeats")
+    if not repeats.isEmpty():
+        rows = _one_response(rows, repeats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_folder(folder)
@@ -158,24 +178,24 @@ def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
     return saved(rows.mapInArrow(run, "archive string, records long"), "manifest")
 
 
-def _files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(archive, content) of the archives that the manifest names."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    named = found.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    return named.join(manifest.select("archive"), "archive", "left_semi")
+def _names(manifest: DataFrame) -> DataFrame:
+    """The archives of a manifest, dealt out to tasks."""
+    tasks = min(manifest.count(), 16 * manifest.sparkSession.sparkContext.defaultParallelism)
+    return manifest.select("archive").repartition(max(tasks, 1))
 
 
 def normalise(spark: SparkSession, folder: str, manifest: DataFrame, target: str) -> DataFrame:
     """Rewrite each archive with one gzip member per record and a sidecar index; returns (archive, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = open_folder(target)
+        (source, held), (fs, base) = open_folder(folder), open_folder(target)
         for batch in batches:
-            for content in batch.column(1):
+            for archive in batch.column(0).to_pylist():
                 name = f"member-{uuid.uuid4().hex}.warc.gz"
                 at, done = 0, 0
+                content = source.open_input_stream(f"{held}/{archive}", compression=None).read()
                 with fs.open_output_stream(f"{base}/{name}", compression=None) as out, fs.open_output_stream(f"{base}/{name}.idx", compression=None) as index:
-                    for head, record in split_records(inflate(content.as_py())):
+                    for head, record in split_records(inflate(content)):
                         packed = member(record)
                         out.write(packed)
                         entry = {"offset": at, "length": len(packed), "id": head.get("warc-record-id"), "type": head.get("warc-type"), "digest": head.get("warc-payload-digest"), "page": head.get("x-page")}
@@ -184,7 +204,7 @@ def normalise(spark: SparkSession, folder: str, manifest: DataFrame, target: str
                 yield pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([done], pa.int64())})
 
     open_folder(target)[0].create_dir(open_folder(target)[1], recursive=True)
-    return saved(_files(spark, folder, manifest).mapInArrow(run, "archive string, records long"), "manifest")
+    return saved(_names(manifest).mapInArrow(run, "archive string, records long"), "manifest")
 
 
 READ_DDL = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
@@ -196,8 +216,8 @@ def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_folder(folder)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memoryview(content.as_buffer())
+            for name in batch.column(0).to_pylist():
+                data = memoryview(fs.open_input_stream(f"{base}/{name}", compression=None).read())
                 rows = []
                 for line in fs.open_input_stream(f"{base}/{name}.idx", compression=None).read().splitlines():
                     entry = json.loads(line)
@@ -217,7 +237,7 @@ def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
                     kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in READ_DDL.split(", ")])
 
-    return _files(spark, folder, manifest).mapInArrow(run, READ_DDL)
+    return _names(manifest).mapInArrow(run, READ_DDL)
 
 
 def round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
