@@ -22,7 +22,8 @@ def looked_up(rows: DataFrame, groups: DataFrame, key: str, value: str, other: s
     hubs = groups.where(F.col("n") > max(HUB_ROWS, total // MAX_HUBS)).select(key, F.col(value).alias("_hub"))
     salt = F.when(F.col("_hub").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(other), F.lit(_SALTS)) + 1).cast("long")
     dealt = rows.join(F.broadcast(hubs), key, "left").withColumn("_salt", salt)
-    met = dealt.join(groups.select(key, value, F.lit(0).cast("long").alias("_salt")), [key, "_salt"], "left")
+    none = F.pmod(F.col("n"), F.lit(1).cast("long"))  # zero, but no constant, which Spark would take out of the join's keys
+    met = dealt.join(groups.select(key, value, none.alias("_salt")), [key, "_salt"], "left")
     return met.select(key, other, F.coalesce("_hub", value).alias(value))
 
 
