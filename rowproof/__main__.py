@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 from dataclasses import fields
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from rowproof.session import get_session, scratch, ship
 from rowproof.settings import Settings
 from rowproof.sinks.csv import write_lists
 from rowproof.sinks.workbook import write_workbook
-from rowproof.sources.files import discover, expand
+from rowproof.sources.files import discover, expand, put
 
 # Names that stand for delimiters and quote marks.
 DELIMITER_NAMES = {"comma": ",", "pipe": "|", "tab": "\t", "semicolon": ";", "\\t": "\t"}
@@ -52,13 +53,16 @@ def compare(args: argparse.Namespace) -> int:
         print("The reader does not return cells unchanged; nothing was compared.")
         return 2
     found = discover(spark, args.folder, settings.suffix_a, settings.suffix_b)
-    Path(args.out).mkdir(parents=True, exist_ok=True)
-    with open(Path(args.out) / "run_log.txt", "w", encoding="utf-8") as log:
+    out = args.out.rstrip("/") if "://" in args.out else Path(args.out).absolute().as_uri()
+    # The log and the workbooks are made here and copied to the store that the lists are written to.
+    with tempfile.TemporaryDirectory() as here:
+        log = Path(here) / "run_log.txt"
 
         def say(line: str) -> None:
             print(line)
-            log.write(line + "\n")
-            log.flush()
+            with log.open("a", encoding="utf-8") as f:
+                f.write(line + "\n")
+            put(spark, str(log), f"{out}/run_log.txt")
 
         for name in found.ignored + found.unpaired:
             say(f"{name}: no pair")
@@ -67,9 +71,12 @@ def compare(args: argparse.Namespace) -> int:
         for pair in found.pairs:
             with scratch(spark):  # what a pair wrote to work with goes when its outputs are written
                 result = process_pair(spark, pair, settings)
-                write_lists(result, Path(args.out).absolute().as_uri() if "://" not in args.out else args.out, settings.sides)
-                write_workbook(result, f"{args.out}/{pair.prefix}.xlsx", settings)
+                written = write_lists(result, out, settings.sides)
+                write_workbook(result, f"{here}/{pair.prefix}.xlsx", settings)
+                put(spark, f"{here}/{pair.prefix}.xlsx", f"{out}/{pair.prefix}.xlsx")
                 say(f"{pair.prefix}: {result.overall} {result.message}".rstrip() + f" ({result.rows[0]} and {result.rows[1]} rows, {sum(s for _, s in result.timings):.1f} s)")
+                for kind, path in written.items():
+                    say(f"{pair.prefix}: {result.written[kind]} rows in {path.rsplit('/', 1)[-1]}")
     return 0
 
 

@@ -11,6 +11,9 @@ from rowproof.operators import compare
 from rowproof.operators.compare import SIDES
 from rowproof.session import saved
 
+#: Keys of more than HUB_ROWS rows, and of more than one in MAX_HUBS of those with a shared key, are told by broadcast: MAX_HUBS of them at most.
+HUB_ROWS, MAX_HUBS = 1_000, 50_000
+
 
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that more than one row has."""
@@ -18,7 +21,24 @@ def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def duplicate_key_rows(rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.join(duplicate_keys(rows, key), key, "left_semi")
+    return flagged(rows, key).where("_twice").drop("_twice")
+
+
+def flagged(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with `_twice`, whether another row has its key.
+
+    Keys of very many rows, whose number is bounded, are told by a broadcast; their rows are dealt by all cells, and only those of other keys by the key, so that no task gets
+    more rows of one key than HUB_ROWS or a MAX_HUBS-th of all.
+    """
+    shared = saved(duplicate_keys(rows, key), "duplicate-keys")
+    least = max(HUB_ROWS, (shared.agg(F.sum("n")).first()[0] or 0) // MAX_HUBS)
+    hubs = shared.where(F.col("n") > least).select(*key, F.lit(True).alias("_hub"))
+    salt = F.when(F.col("_hub").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).cast("long")
+    dealt = rows.join(F.broadcast(hubs), key, "left").withColumn("_salt", salt)
+    none = F.pmod(F.col("n"), F.lit(1).cast("long"))  # zero, but no constant, which Spark would take out of the join's keys
+    known = shared.select(*key, none.alias("_salt"), F.lit(True).alias("_known"))
+    met = dealt.join(known, [*key, "_salt"], "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("_hub", "_known", F.lit(False)).alias("_twice"))
 
 
 def pairs(a_rows: DataFrame, b_rows: DataFrame, key: list[str]) -> DataFrame:
@@ -58,9 +78,10 @@ def keyed(a: DataFrame, b: DataFrame, cmp: DataFrame, key: list[str], manual: bo
     tag_a = lambda rows, status: compare.tagged(rows, status, "copies", F.lit(0), "copies", names)
     tag_b = lambda rows, status: compare.tagged(rows, status, F.lit(0), "copies", "copies", names)
     if manual:
+        only_a, only_b = (saved(flagged(rows, key), "flagged") for rows in (only_a, only_b))
         for rows, tag, side in ((only_a, tag_a, sides[0]), (only_b, tag_b, sides[1])):
-            parts.append(tag(duplicate_key_rows(rows, key), f"Duplicate key in {side}"))
-        only_a, only_b = (rows.join(duplicate_keys(rows, key), key, "left_anti") for rows in (only_a, only_b))
+            parts.append(tag(rows.where("_twice"), f"Duplicate key in {side}"))
+        only_a, only_b = (rows.where("not _twice").drop("_twice") for rows in (only_a, only_b))
     paired = pairs(only_a, only_b, key)
     parts += [
         tag_a(only_a.join(only_b.select(*key), key, "left_anti"), f"Only in {sides[0]}"),

@@ -76,6 +76,15 @@ def tuple_stats(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("overlap", F.col("common") / F.greatest("a_distinct", "b_distinct", F.lit(1)))
 
 
+def set_stats(a: DataFrame, b: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """tuple_stats of several sets in one job and one shuffle: one row for each, with its number in `sets`; each row stands once for every set."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("number"), F.array(*s).alias("cells")) for i, s in enumerate(sets)]))
+    flags = lambda df, x: df.select(each.alias("x"), F.lit(x).alias("in_a"), F.lit(not x).alias("in_b"))
+    seen = flags(a, True).unionByName(flags(b, False)).groupBy("x.number", "x.cells").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+    out = seen.groupBy("number").agg(F.count_if("in_a").alias("a_distinct"), F.count_if("in_b").alias("b_distinct"), F.count_if(F.col("in_a") & F.col("in_b")).alias("common"))
+    return out.withColumn("overlap", F.col("common") / F.greatest("a_distinct", "b_distinct", F.lit(1)))
+
+
 def screened(a: DataFrame, b: DataFrame, sets: list[list[str]], distinct: tuple[int, int] | None = None) -> DataFrame:
     """One row per column set: columns, and whether it has nearly as many tuples as distinct rows on both sides.
 
@@ -121,13 +130,15 @@ class Finder:
         yield from (((s.pos,), s) for s in sorted(self.stats, key=lambda s: order[s.pos]))
 
     def combined(self) -> Iterator[tuple[tuple[int, ...], Row]]:
-        """Sets of the columns with most values, small sets first, that a sketch does not rule out; counted one by one, as the first is mostly it."""
+        """Sets of the columns with most values, small sets first, that a sketch does not rule out, counted in one job."""
         usable = [s for s in self.stats if s.overlap >= self.min_overlap]
         richest = [s.pos for s in sorted(usable, key=lambda s: (-max(s.a_distinct, s.b_distinct), s.pos))[: self.candidates]]
         sets = list(islice(chain.from_iterable(combinations(richest, size) for size in range(2, self.max_columns + 1)), MAX_TRIES))
         if sets:
             rough = {r.columns: r.likely for r in screened(self.a, self.b, [[f"c{p}" for p in s] for s in sets], self.distinct).collect()}
-            yield from ((s, self.exact(s)) for s in sets if rough[",".join(f"c{p}" for p in s)])
+            likely = [s for s in sets if rough[",".join(f"c{p}" for p in s)]]
+            counted = {r.number: r for r in set_stats(self.a, self.b, [[f"c{p}" for p in s] for s in likely]).collect()} if likely else {}
+            yield from ((s, counted[i]) for i, s in enumerate(likely) if i in counted)
 
     def detect(self) -> Key:
         for positions, stats in chain(self.single(), self.combined()):

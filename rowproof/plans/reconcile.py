@@ -37,6 +37,8 @@ class Result:
     encodings: tuple[str, str] = ("", "")
     formats: tuple[tables.Format, tables.Format] | None = None
     warnings: list[str] = field(default_factory=list)
+    #: Rows of each list that was written.
+    written: dict[str, int] = field(default_factory=dict)
     timings: list[tuple[str, float]] = field(default_factory=list)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowproof.plans.reconcile import Result
+from rowproof.session import removed
+from rowproof.sources import files
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -21,15 +25,22 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def write_csv(df: DataFrame, folder: str, names: list[str], one_file: bool = False) -> None:
-    """A folder of part files with headers. Values keep their blanks, and quotes are doubled inside quotes.
+def write_csv(df: DataFrame, folder: str, names: list[str], one_file: bool = False) -> tuple[str, int]:
+    """A folder of part files with headers; returns where it is and its rows. Values keep their blanks, and quotes are doubled inside quotes.
 
-    Spark's committer places only whole parts. one_file writes through a single task, for lists known to be short.
+    The parts are written beside the target, which they replace only when all are there: a failing write leaves the list that was there. Rows are
+    counted as they are written. one_file writes through a single task, for lists known to be short.
     """
-    out = df.toDF(*unique_names(names))
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option(
-        "ignoreLeadingWhiteSpace", False
-    ).option("ignoreTrailingWhiteSpace", False).option("emptyValue", '""').csv(folder)
+    out, seen, beside = df.toDF(*unique_names(names)), Observation(), f"{folder}.new-{uuid.uuid4().hex}"
+    out = (out.coalesce(1) if one_file else out).observe(seen, F.count(F.lit(1)).alias("rows"))
+    try:
+        out.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False
+        ).option("emptyValue", '""').csv(beside)
+    except Exception:
+        removed(df.sparkSession, beside)
+        raise
+    return files.replace(df.sparkSession, beside, folder), seen.get["rows"]
 
 
 def named_differences(result: Result, sides: tuple[str, str]) -> tuple[DataFrame, list[str]]:
@@ -45,18 +56,16 @@ def status_names(result: Result, sides: tuple[str, str]) -> list[str]:
 
 
 def write_lists(result: Result, folder: str, sides: tuple[str, str]) -> dict[str, str]:
-    """Write the lists that have rows; returns what was written where."""
-    base, written = f"{folder.rstrip('/')}/{result.prefix}", {}
+    """Write the lists that have rows; returns what was written where. The rows of each list are in result.written."""
+    base, lists = f"{folder.rstrip('/')}/{result.prefix}", []
     if result.differences is not None and result.counts.get("Differing cells"):
-        rows, names = named_differences(result, sides)
-        written["differences"] = f"{base}_differences.csv"
-        write_csv(rows, written["differences"], names)
+        lists.append(("differences", *named_differences(result, sides)))
     unpaired = sum(n for s, n in result.counts.items() if s not in ("Paired records", "Differing cells"))
     for kind, rows in (("unpaired", result.unpaired), ("mismatches", result.mismatches)):
         if rows is not None and unpaired:
-            written[kind] = f"{base}_{kind}.csv"
-            write_csv(rows, written[kind], status_names(result, sides))
+            lists.append((kind, rows, status_names(result, sides)))
     if result.rejects is not None:
-        written["rejected"] = f"{base}_rejected.csv"
-        write_csv(result.rejects, written["rejected"], ["File", "Line", "Error type", "Error message", "Raw line"])
-    return written
+        lists.append(("rejected", result.rejects, ["File", "Line", "Error type", "Error message", "Raw line"]))
+    found = {kind: write_csv(rows, f"{base}_{kind}.csv", names) for kind, rows, names in lists}
+    result.written = {kind: n for kind, (_, n) in found.items()}
+    return {kind: path for kind, (path, _) in found.items()}

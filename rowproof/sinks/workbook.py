@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
@@ -61,6 +62,7 @@ def summary_rows(result: Result, settings: Settings) -> Iterator[list[object]]:
         if k.reason:
             yield ["Key reason", k.reason]
     yield from ([name, n] for name, n in sorted(result.counts.items()))
+    yield from ([f"Rows written: {kind}", n] for kind, n in result.written.items())
     yield from (["Seconds", name, f"{s:.3f}"] for name, s in result.timings)
 
 
@@ -99,10 +101,12 @@ def sample_sheets(result: Result, settings: Settings) -> Iterator[tuple[str, Ite
         yield "Rejected", rows(result.rejects.orderBy("file", "line").limit(limit), ["File", "Line", "Error type", "Error message", "Raw line"])
 
 
-def _sheet(out: zipfile.ZipFile, number: int, rows: Iterable[list[object]]) -> None:
+def _sheet(out: zipfile.ZipFile, number: int, rows: Iterable[list[object]], cut: list[int]) -> None:
+    """Write one sheet; cut[0] counts the cells that are shortened."""
     with out.open(f"xl/worksheets/sheet{number}.xml", "w") as f:
         f.write(b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
         for row in rows:
+            cut[0] += sum(isinstance(v, str) and len(v) > MAX_CHARS for v in row)
             made = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_BAD.sub(" ", cell(v)))}</t></is></c>' for v in row)
             f.write(f"<row>{made}</row>".encode())
         f.write(b"</sheetData></worksheet>")
@@ -116,8 +120,10 @@ def write_workbook(result: Result, path: str, settings: Settings) -> list[str]:
     package = "http://schemas.openxmlformats.org/package/2006"
     n = range(1, len(sheets) + 1)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for i, (_, rows) in zip(n, sheets):
-            _sheet(z, i, rows)
+        cut = [0]
+        for i, (_, rows) in list(zip(n, sheets))[1:]:
+            _sheet(z, i, rows, cut)
+        _sheet(z, 1, chain(sheets[0][1], [["Cells cut in sheets", cut[0]]]), [0])  # the first sheet knows what the others came to
         z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n) + "</Types>")
         z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(t)}" sheetId="{i}" r:id="r{i}"/>' for i, (t, _) in zip(n, sheets)) + "</sheets></workbook>")

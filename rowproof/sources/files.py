@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import glob
 import shutil
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field
+from datetime import datetime
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -65,6 +68,34 @@ def tail_of(spark: SparkSession, path: str, n: int = 1) -> bytes:
         stream.close()
 
 
+def put(spark: SparkSession, local: str, target: str) -> None:
+    """Copy a file of the driver to any store that Spark writes to, over what is there."""
+    fs, at = _store(spark, target)
+    fs.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(Path(local).absolute().as_uri()), at)
+
+
+def replace(spark: SparkSession, made: str, target: str) -> str:
+    """Move a finished folder to its place; what was there goes only when the new one is in its place. Where it cannot be moved the new one gets a dated name, which is returned."""
+    fs, new = _store(spark, made)
+    at, aside = (_store(spark, x)[1] for x in (target, f"{target}.old-{uuid.uuid4().hex}"))
+    held = fs.exists(at)
+    try:
+        free = not held or fs.rename(at, aside)
+    except Py4JJavaError:
+        free = False
+    if free and fs.rename(new, at):
+        if held:
+            fs.delete(aside, True)
+        return target
+    if free and held:
+        fs.rename(aside, at)
+    stem, dot, kind = target.rpartition(".")
+    dated = f"{stem or kind}_{datetime.now():%Y%m%d-%H%M%S}{dot}{kind if stem else ''}"
+    if not fs.rename(new, _store(spark, dated)[1]):
+        raise OSError(f"{made} can be moved neither to {target} nor to {dated}")
+    return dated
+
+
 def sizes_of(spark: SparkSession, paths: list[str]) -> list[int]:
     return [fs.getFileStatus(at).getLen() for fs, at in (_store(spark, p) for p in paths)]
 

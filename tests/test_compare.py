@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowproof.functions.cells import with_hash
 from rowproof.operators import columns, compare, differences, keys
@@ -113,3 +114,31 @@ def test_empty_sides(spark):
 def test_labels(spark, cells, label):
     side = with_hash(spark.createDataFrame([(c,) for c in cells], "c1 string"))
     assert columns.shapes(side).first().label == label
+
+
+def test_rows_of_a_hot_key_are_dealt_out(spark):
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    rows = spark.range(30_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("c1"), F.col("id").cast("string").alias("c2"))
+    rows = rows.unionByName(spark.createDataFrame([("20", "x"), ("30", "y")], "c1 string, c2 string"))
+    want = {("hot", True): 27_000, ("20", True): 2, ("30", True): 2}
+    try:
+        for n, v in zip(names, ("false", "-1")):
+            spark.conf.set(n, v)
+        got = differences.flagged(rows, ["c1"]).withColumn("p", F.spark_partition_id())
+        sizes = [r["n"] for r in got.groupBy("p").agg(F.count("*").alias("n")).collect()]
+        twice = {(r.c1, r._twice): r["n"] for r in got.where("_twice").groupBy("c1", "_twice").agg(F.count("*").alias("n")).collect()}
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert twice == want and len(sizes) > 2 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_all_key_sets_are_counted_at_once_as_one_by_one(spark):
+    rows = [(str(i % 4), str(i % 6), str(i % 5)) for i in range(60)]
+    a, b = sides(spark, rows, [(x, y, z if x != "1" else z + "0") for x, y, z in rows])
+    sets = [["c1", "c2"], ["c1", "c3"], ["c1", "c2", "c3"]]
+    at_once = {r.number: r for r in keys.set_stats(a, b, sets).collect()}
+    for i, s in enumerate(sets):
+        one = keys.tuple_stats(a, b, s).first()
+        assert (at_once[i].a_distinct, at_once[i].b_distinct, at_once[i].common, at_once[i].overlap) == tuple(one)
