@@ -66,6 +66,7 @@ tok AS MATERIALIZED (SELECT *, kind IN ('quoted_required', 'quoted_optional', 'b
 
 COLUMNS = "doc_id, record_no, header_record, header_width, width, field_no, value, quoted, has_delim, has_break, has_inner_quote, unterminated, junk, padded, blank, kind, \"numeric\""
 CSV_TOKENS = tokens() + f"SELECT {COLUMNS} FROM tok"
+TABLE_FUNCTION = tokens() + "SELECT doc_id, record_no, field_no, width, value, quoted, unterminated, junk FROM tok"
 CSV_COLUMNS = tokens() + """SELECT *, CASE WHEN quoted_cells > 0 AND bare_cells > 0 THEN 'both' WHEN quoted_cells > 0 THEN 'with' ELSE 'without' END AS quoting
 FROM (SELECT doc_id, field_no, count(*) FILTER (quoted) AS quoted_cells, count(*) FILTER (NOT quoted) AS bare_cells FROM tok WHERE part = 'data' GROUP BY ALL)"""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.functions import delimited, habits
+from rowproof.functions import delimited, habits, sqltable
 from rowproof.functions.cells import as_text, is_number, row_hash, to_text
 from rowproof.operators import columns, compare, differences, keys
 from rowproof.plans import delimited_sql
@@ -304,6 +304,13 @@ def csv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.classified(delimited.tokens(_texts(spark, sf_dir), "doc_id")).drop("end")
 
 
+@query(delimited_sql.TABLE_FUNCTION)
+def csv_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of every document through the SQL table function."""
+    sqltable.register(spark)
+    return spark.sql("SELECT d.doc_id, t.* FROM {texts} d, LATERAL csv_tokens(d.text) t", texts=_texts(spark, sf_dir))
+
+
 @query(delimited_sql.CSV_PROFILE)
 def csv_profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quoting profile of every document, with its habits and checks."""
