@@ -88,11 +88,12 @@ def quotes(args: argparse.Namespace) -> int:
     if args.max_rows < 0:
         print("--max-rows is 0 (all) or more.", file=sys.stderr)
         return 2
-    paths = expand(args.paths, args.recursive)
+    spark = get_session("rowproof quotes") if any("://" in p for p in args.paths) else None
+    paths = expand(args.paths, args.recursive, spark)
     if not paths:
         print("No files.", file=sys.stderr)
         return 1
-    spark = get_session("rowproof quotes")
+    spark = spark or get_session("rowproof quotes")
     ship(spark)
     found = []
     for p in paths:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from rowproof.functions import delimited
 from rowproof.operators import columns, compare, differences, keys
-from rowproof.session import saved, shared_folder
+from rowproof.session import removed, saved, scratch_path, shared_folder
 from rowproof.settings import Settings
 from rowproof.sources import files, records, tables
 
@@ -153,12 +155,36 @@ SELF_CHECK = (" lead", "trail ", "", "", " ", "0000000100.00", "10.000", "a,b",
 
 
 def self_check(spark: SparkSession) -> bool:
-    """Whether a row of awkward cells comes through the reader unchanged."""
+    """Whether a row of awkward cells, in a file of the shared folder, comes through the reader of files unchanged."""
     quoted = [f'"{c.replace(chr(34), chr(34) * 2)}"' if any(x in c for x in ',"\n') else c for c in SELF_CHECK]
     quoted[3] = '""'
-    text = ",".join(f"C{i}" for i in range(1, 12)) + "\n" + ",".join(quoted) + "\n"
-    texts = spark.createDataFrame([("self-check", text)], "path string, text string")
-    opened = records.Opened("self-check", "UTF-8", text, texts=texts)
-    loaded = tables.load(records.records(opened, ",", '"'), tables.Format(), len(SELF_CHECK))
-    got = loaded.rows.first()
-    return got is not None and tuple(got)[:-1] == SELF_CHECK and got.h is not None
+    path = scratch_path(spark, "self-check")
+    with tempfile.NamedTemporaryFile("w", encoding="utf-8", newline="") as f:
+        f.write(",".join(f"C{i}" for i in range(1, 12)) + "\n" + ",".join(quoted) + "\n")
+        f.flush()
+        files.put(spark, f.name, path)
+    try:
+        loaded = tables.load(records.records(records.open_file(spark, path), ",", '"'), tables.Format(), len(SELF_CHECK))
+        got = loaded.rows.collect()  # one row, as the file has
+    finally:
+        removed(spark, path)
+    return len(got) == 1 and tuple(got[0])[:-1] == SELF_CHECK and got[0].h is not None and loaded.n_rejects == 0
+
+
+def _facts_of(f: tables.Format):
+    return lambda x: F.struct(*[v.alias(k) for k, v in delimited.field_facts(x, f.delim, f.quote).items() if k in ("value", "unterminated", "junk")])
+
+
+def read_pair(spark: SparkSession, pair: files.Pair, settings: Settings | None = None) -> DataFrame:
+    """Both files of a pair as one table: side, record_no and line (from 1), the cells as an array, and what is wrong with the quotes, if anything. Headers and blank lines are records, too."""
+    settings = settings or Settings()
+    overrides = {name.casefold(): given for name, given in settings.format_overrides.items()}.get(pair.prefix.casefold())
+    sides = []
+    for name, side, path in zip(settings.sides, "ab", (pair.a, pair.b)):
+        opened = records.open_file(spark, path)
+        f = tables.sniff(opened.opening_text(spark), overrides, side)
+        facts = F.transform("fields", _facts_of(f))
+        rows = delimited.raw_fields(records.records(opened, f.delim, f.quote, settings.max_line_bytes), f.delim, f.quote).withColumn("_x", facts)
+        wrong = F.when(F.exists("_x", lambda x: x["unterminated"]), "UNQUOTED VALUE").when(F.exists("_x", lambda x: x["junk"]), "INVALID STATE")
+        sides.append(rows.select(F.lit(name).alias("side"), "record_no", "line", F.transform("_x", lambda x: x["value"]).alias("cells"), wrong.alias("error")))
+    return sides[0].unionByName(sides[1])

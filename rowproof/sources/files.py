@@ -127,11 +127,13 @@ def discover(spark: SparkSession, folder: str, suffix_a: str, suffix_b: str) ->
     return found
 
 
-def expand(paths: list[str], recursive: bool = False) -> list[str]:
-    """Files, the .csv files of folders, and patterns, by lower-cased path; a pattern without a match stays, to be reported."""
+def expand(paths: list[str], recursive: bool = False, spark: SparkSession | None = None) -> list[str]:
+    """Files, the .csv files of folders, and patterns, by lower-cased path; a pattern without a match stays, to be reported. With a session, addresses of any store that Spark reads, too."""
     out: dict[str, None] = {}
     for p in paths:
-        if Path(p).is_dir():
+        if spark is not None and "://" in p:
+            found = _expand_in_store(spark, p, recursive)
+        elif Path(p).is_dir():
             found = [str(x) for x in (Path(p).rglob("*") if recursive else Path(p).iterdir()) if x.is_file() and x.suffix.lower() == ".csv"]
         elif glob.has_magic(p):
             found = glob.glob(p, recursive=recursive) or [p]
@@ -141,6 +143,21 @@ def expand(paths: list[str], recursive: bool = False) -> list[str]:
     return list(out)
 
 
+def _expand_in_store(spark: SparkSession, address: str, recursive: bool) -> list[str]:
+    fs, at = _store(spark, address)
+    out = []
+    for status in fs.globStatus(at) or []:
+        if status.isFile():
+            out.append(status.getPath().toString())
+            continue
+        inside = fs.listFiles(status.getPath(), recursive)
+        while inside.hasNext():
+            path = inside.next().getPath()
+            if path.getName().lower().endswith(".csv"):
+                out.append(path.toString())
+    return out or [address]
+
+
 def room_for(folder: str, sizes: list[int], factor: float, spark: SparkSession | None = None) -> tuple[bool, str]:
     """Whether the nearest existing parent has `factor` times the files' size free; with a session, in any store that Spark reads."""
     need = int(factor * sum(sizes))

@@ -68,3 +68,37 @@ def test_the_command_line_writes_to_a_store(spark, tmp_path, monkeypatch):
     assert cli.main(["compare", str(tmp_path / "in"), (tmp_path / "out").as_uri()]) == 0
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["p.xlsx", "p_differences.csv", "run_log.txt"]
     assert "p: 1 rows in p_differences.csv" in (tmp_path / "out" / "run_log.txt").read_text() and sorted(p.name for p in tmp_path.iterdir()) == ["in", "out"]
+
+
+def test_addresses_of_a_store_are_expanded(spark, tmp_path):
+    for name in ("b.csv", "A.CSV", "c.txt", "sub/d.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("A\n1\n")
+    address, names = tmp_path.as_uri(), lambda found: [p.rsplit("/", 1)[-1] for p in found]
+    assert names(files.expand([address], spark=spark)) == ["A.CSV", "b.csv"]
+    assert names(files.expand([address], True, spark)) == ["A.CSV", "b.csv", "d.csv"]
+    assert names(files.expand([f"{address}/*.txt", f"{address}/none*"], spark=spark)) == ["c.txt", "none*"]
+
+
+def test_the_self_check_reads_a_file_in_splits(spark, monkeypatch):
+    from rowproof.plans import reconcile
+
+    assert reconcile.self_check(spark)
+    opened = []
+    real = reconcile.records.open_file
+    monkeypatch.setattr(reconcile.records, "open_file", lambda s, p, *a: opened.append(real(s, p, *a)) or opened[-1])
+    assert reconcile.self_check(spark) and opened[0].lines is not None and opened[0].texts is None
+    monkeypatch.setattr(reconcile, "SELF_CHECK", ("x", *reconcile.SELF_CHECK[1:9], "\r", "é"))
+    assert not reconcile.self_check(spark)  # a lone carriage return outside quotes ends a record
+
+
+def test_a_pair_as_one_table(spark, tmp_path):
+    from rowproof.plans.reconcile import read_pair
+
+    (tmp_path / "a.csv").write_text('ID,N\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text('ID,N\n1,"x" z\n2,"open')
+    given = Settings(format_overrides={"p": {s: {"delim": ","} for s in "ab"}})
+    got = read_pair(spark, files.Pair("p", str(tmp_path / "a.csv"), str(tmp_path / "b.csv")), given).orderBy("side", "record_no").collect()
+    assert [(r.side, r.record_no, r.line, r.cells, r.error) for r in got] == [
+        ("A", 1, 1, ["ID", "N"], None), ("A", 2, 2, ["1", "x\ny"], None), ("B", 1, 1, ["ID", "N"], None), ("B", 2, 2, ["1", "xz"], "INVALID STATE"), ("B", 3, 3, ["2", "open"], "UNQUOTED VALUE"),
+    ]
