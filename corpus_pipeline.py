@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
 of docs; the last returns the tokens of each document.
+
+Defined cases, the same in every stage: a null text counts as empty (toxicity scores it by the intercept alone, line dedup leaves it null, SimHash links it with other texts
+without words, mixing gives it one token, BPE no tokens); null ids, sources and languages are values like any other, so that no row is lost for them; repeated rows
+are documents of their own until SimHash near-dedup, where one of a group stays; texts of any length are read whole; extra columns are carried up to the last stage, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; the labels of the held-out fold are never learned from."""
+    """Documents that the classifier rejects go, by scores of THRESHOLD or more; the labels of the held-out fold are never learned from. Without labels of both kinds the score is the base rate."""
     small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     (name,) = unused(docs, "score")
@@ -28,19 +33,19 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that too many documents of a source share go; n_chars follows the text."""
+    """Lines that too many documents of a source share go, equal texts counting once; n_chars follows the text. A document that loses all lines stays, with the empty text."""
     clean = linededup.cleaned(docs, "source", "text", counts=False)
     return clean.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest id."""
+    """One document of each SimHash group stays, that with the smallest id; of rows without an id only a group without other ids keeps one."""
     small_batches(spark)
     return simhash.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn by their calibrated probabilities."""
+    """Documents are drawn by their calibrated probabilities, to a budget of half of the tokens: the share of a rare value is clipped and costs others nothing."""
     return mixing.sampled(docs)
 
 
