@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +90,15 @@ def codebooks(classes: DataFrame, sample_rows: int, cell_size: int) -> dict[int,
     """The two codebooks of each vector length, from a bounded sample of the classes."""
     total = classes.count()
     place = F.pmod(F.xxhash64(F.lit("codebook"), "key"), F.lit(1 << 30)) / float(1 << 30)
-    rows = classes.where(place < min(1.0, sample_rows / max(total, 1))).select("dim", "vec").orderBy("dim", "key").collect()
-    met = sorted({r.dim for r in rows})  # as many as the sample has rows, at most
+    rows = classes.where(place < min(1.0, sample_rows / max(total, 1))).select("dim", "vec").orderBy("dim", "key").toArrow()
+    dims = rows.column("dim").to_numpy()
+    met = np.unique(dims).tolist()  # as many as the sample has rows, at most
     counts = classes.where(F.col("dim").isin(met)).groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels"))
     shape = counts.orderBy("dim").collect() if met else []
     books = {}
     for r in shape:
-        x = np.array([s.vec for s in rows if s.dim == r.dim], float)
+        mine = rows.filter(pa.array(dims == r.dim)).column("vec")
+        x = pc.list_flatten(mine).to_numpy().astype(float).reshape(len(mine), r.dim)
         if len(x):
             x, k = _unit(x), int(np.clip(round((r["n"] / max(r.labels, 1) / cell_size) ** 0.5), 2, 256))
             books[r.dim] = (k_means(x[:, : r.dim // 2], k), k_means(x[:, r.dim // 2 :], k))
@@ -224,10 +227,13 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH
     found = saved(_verified(classes, books, (2 - 2 * threshold) * reach + 1e-9, threshold, part), "links")
     roots = components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")))
     counts = found.where("other is null").groupBy("key").agg((F.sum("n") - 1).alias("n_links"))
-    named = saved(classes.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")), "members")
+    named = saved(classes.select("key", "least", "m").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "m", F.coalesce("root", "key").alias("root")), "members")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    by_class = looked_up(named.select("root", "key"), ids, "root", "component_id", "key", named.count())
-    per_class = saved(by_class.join(counts, "key", "left").select("key", "component_id", "n_links"), "per-class")
-    joined = rows.select("vec_id", "key").join(per_class, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    by_class = looked_up(named.select("root", F.struct("key", "m").alias("class")), ids, "root", "component_id", "class", named.count())
+    told = F.struct("component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).alias("told")
+    per_class = saved(by_class.select("class.key", "component_id", "class.m").join(counts, "key", "left").select("key", told, F.col("m").alias("n")), "per-class")
+    # Vectors of a class of very many copies are dealt out by their ids, and those that link with nothing meet no class.
+    met = looked_up(rows.where("key is not null").select("key", "vec_id"), per_class, "key", "told", "vec_id", per_class.agg(F.sum("n")).first()[0] or 0)
+    linked = met.select("vec_id", "told.n_links", "told.component_id")
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
