@@ -232,6 +232,33 @@ def key_approx_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.screened(*line_sides(spark, sf_dir), [[f"c{i}", f"c{j}"] for i, j in _PAIRS_OF])
 
 
+_SETS = [["c1", "c2"], ["c1", "c3"], ["c2", "c3"], ["c1", "c2", "c3"]]
+
+
+@query(
+    f"WITH {LINE_SQL} " + " UNION ALL ".join(
+        f"SELECT {i} AS number, count(*) FILTER (in_a) AS a_distinct, count(*) FILTER (in_b) AS b_distinct, count(*) FILTER (in_a AND in_b) AS common, count(*) FILTER (in_a AND in_b) / greatest(count(*) FILTER (in_a), count(*) FILTER (in_b)) AS overlap "
+        f"FROM (SELECT {', '.join(s)}, bool_or(s) AS in_a, bool_or(NOT s) AS in_b FROM (SELECT {', '.join(s)}, true AS s FROM a UNION ALL SELECT {', '.join(s)}, false FROM b) GROUP BY {', '.join(s)})" for i, s in enumerate(_SETS)
+    )
+)
+def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of several column sets in one job."""
+    return keys.set_stats(*line_sides(spark, sf_dir), _SETS)
+
+
+@query(f"""WITH {ORDER_SQL}, d AS (SELECT (SELECT count(DISTINCT h) FROM a) AS da, (SELECT count(DISTINCT h) FROM b) AS db),
+s AS ({" UNION ALL ".join(f"SELECT {i} AS pos, (SELECT count(DISTINCT c{i}) FROM a) AS na, (SELECT count(DISTINCT c{i}) FROM b) AS nb, (SELECT count(*) FROM (SELECT c{i} FROM a INTERSECT SELECT c{i} FROM b)) AS common" for i in range(1, 6))})
+SELECT 'detected' AS source, 'c' || pos AS columns, overlap FROM (SELECT pos, na, nb, common / greatest(na, nb) AS overlap FROM s) q, d WHERE na = da AND nb = db AND overlap >= 0.8
+ORDER BY q.overlap DESC, pos LIMIT 1""")
+def key_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record key that detection chooses among single columns and sets of them, for headers that give no hint."""
+    a, b = order_sides(spark, sf_dir)
+    n = compare.metrics(compare.counts(a, b)).first()
+    stats = columns.statistics(a, b, n.distinct_a, n.distinct_b).orderBy("pos").collect()  # one row a column
+    key = keys.select(a, b, "orders", stats, [f"f{i}" for i in range(1, 6)], (n.distinct_a, n.distinct_b))
+    return spark.createDataFrame([(key.source, ",".join(f"c{p}" for p in key.positions), key.overlap)], "source string, columns string, overlap double")
+
+
 def _hash_sql(of: str, cols: list[str]) -> str:
     text = [f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols]
     return f"SELECT {cols[0]}, md5(concat(" + ", ".join(f"strlen({t}), ':', {t}" for t in text) + f")) AS h FROM {of}"

@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from rowproof.plans.queries import QUERIES, SQL
+from rowproof.plans import file_queries, queries
 from rowproof.plans.sides import order_sides
 from rowproof.streaming.counts import arriving_counts
 
+QUERIES, SQL = queries.QUERIES | file_queries.QUERIES, queries.SQL | file_queries.SQL
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
