@@ -1,9 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, on DataFrame functions alone.
 
-Documents fall into cells of source, language and topic. The default topic is a text's form; `topic` takes any other column, such as
-`topic_of`: each language has TOPICS key words, taken from a bounded sample (`key_words`), and a document's topic is the number of the one it says
-most often. (That reads every word of the corpus, at some ten times the cost. Words that name a topic in one language only would tie
-topics to languages, so that targets for both could not be met.) The cells' token weights are raked: each sweep scales them to the
+Documents fall into cells of source, language and topic. Topics come from the texts: every language has TOPICS key words, found by their
+counts over all words of all documents (`key_table`), and a document's topic is the number of the one it says most often. (Words that name a
+topic in one language only would tie topics to languages, so that targets for both could not be met.) `topic` takes any other column, such as
+`form_of`, a text's form. The cells' token weights are raked: each sweep scales them to the
 target of every source, then of every language, then of every topic, until no scale moves by more than `tolerance`.
 A cell's calibrated weight over its tokens, times one scale and one at most, is the probability that each of its
 documents is sampled with. The scale is solved on the cells so that the sample's expected tokens are `budget` times the table's: a sparse cell
@@ -40,20 +40,23 @@ PLAN_SWEEPS = 5
 BUDGET = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 NONE, OTHER = "(none)", "(other)"
-#: Topics of a language, languages with topics, the sample that names them, and which words can: letters at least, and shares of the sample's texts.
-TOPICS, LANGUAGES, SAMPLE_ROWS, LEAST_LETTERS, RARE, COMMON = 8, 20, 2000, 4, 0.02, 0.2
-UPPER, WORD_BREAK, TOKEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\p{L}\p{N}]+", r"[^ \t\n\r]+"
+#: Topics of a language, and which words can name them: letters at least, and one in how many of the language's texts has to say them at least and may at most.
+TOPICS, LEAST_LETTERS, RARE, COMMON = 8, 4, 50, 5
+UPPER, WORD, WORD_BREAK, TOKEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+", r"[^ \t\n\r]+"
 #: How far a marginal may be from its target, relative to it, before raking counts as failed.
 MAX_OFF = 0.01
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text: A-Z in lower case, cut at anything but letters and digits."""
-    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), WORD_BREAK, -1)
+def words_of(text: Column, least: int = LEAST_LETTERS) -> Column:
+    """The words of a text of `least` letters or more: A-Z in lower case, cut at anything but letters and digits."""
+    t = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(t) == F.length(t)  # there lower does no more than translate, and faster
+    low = F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, UPPER, UPPER.lower()))
+    return F.regexp_extract_all(low, F.lit(f"{WORD}{{{least},}}"), F.lit(0))
 
 
 def form_of(text: Column) -> Column:
-    """The default topic, by form: tables, short notes, articles, long reads."""
+    """A topic by form: tables, short notes, articles, long reads."""
     t = F.coalesce(text, F.lit(""))
     return F.when(F.contains(t, F.lit(" | ")), "table").when(F.length(t) < 500, "note").when(F.length(t) < 5000, "article").otherwise("long read")
 
@@ -61,43 +64,46 @@ def form_of(text: Column) -> Column:
 Names = dict[str, list[str]]
 
 
-def key_words(docs: DataFrame, topics: int = TOPICS, sample_rows: int = SAMPLE_ROWS) -> Names:
-    """The words that tell the topics of each language: of those in some but not in most of its texts in a bounded sample, by hash of the id, the most frequent.
+def key_table(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
+    """The words that tell the topics of each language, lang, keys and all keys as one text: of those in some but not in most of its texts, those in most texts.
 
-    The LANGUAGES most frequent languages of the sample have topics."""
-    n = docs.count()
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang")
-    drawn = saved(docs.where(draw(F.col("doc_id")) < min(1.0, sample_rows / max(n, 1))).select(lang, F.array_distinct(words_of(F.col("text"))).alias("w")), "topic-sample")
-    sizes = {r.lang: r["n"] for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return {}
-    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang"))
-    found = drawn.where(F.col("lang").isin(*sizes)).select("lang", F.explode("w").alias("w")).where(F.length("w") >= LEAST_LETTERS).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    Every text of docs is read and every language has its own; written.
+    """
+    held = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), "text")
+    sizes = saved(held.groupBy("lang").agg(F.count("*").alias("of")), "languages")
+    # The outer form, as for the other Spark cuts the texts a second time to test for empty arrays.
+    found = held.select("lang", F.explode_outer(F.array_distinct(words_of(F.col("text")))).alias("w")).where("w IS NOT NULL").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    found = found.join(sizes, "lang").where(F.col("n") * RARE >= F.col("of")).where(F.col("n") * COMMON <= F.col("of"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "w"))
-    rows = found.where(F.col("n").between(RARE * size, COMMON * size)).withColumn("place", place).where(F.col("place") <= topics).orderBy("lang", "place").collect()
-    names: Names = {}
-    for r in rows:
-        names.setdefault(r.lang, []).append(r.w)
-    return names
+    first = found.select("lang", "w", place.alias("place")).where(F.col("place") <= topics)
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda x: x["w"])
+    return saved(first.groupBy("lang").agg(keys.alias("keys")).withColumn("joined", F.array_join("keys", " ")), "keys")
 
 
-def topic_of(text: Column, lang: Column, names: Names) -> Column:
-    """The number of the key word of its language that a text says most often, the first on ties; OTHER if it says none."""
-    count = lambda said, w: F.size(F.filter(said, lambda x: x == w))
-    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("place"))
+def key_words(docs: DataFrame, topics: int = TOPICS) -> Names:
+    """`key_table` on the driver, for tables of few languages."""
+    return {r.lang: r["keys"] for r in key_table(docs, topics).collect()}
+
+
+def _topic(text: Column, keys: Column, joined: Column, least: int = LEAST_LETTERS) -> Column:
+    """The number of the key word that a text says most often, the first on ties; OTHER if it says none or keys is null."""
+    said = F.filter(words_of(text, least), lambda w: F.contains(joined, w) & F.array_contains(keys, w))  # most words fail the first test, which is the faster one
 
     def best(said: Column) -> Column:
-        out = none
-        for name, words in names.items():
-            mine = F.greatest(*[F.struct(count(said, w).alias("n"), F.lit(-i).alias("place")) for i, w in enumerate(words, 1)], none)
-            out = F.when(F.coalesce(lang, F.lit(NONE)) == name, mine).otherwise(out)
-        return out["place"]
+        times = F.transform(keys, lambda k, i: F.struct(F.size(F.filter(said, lambda w: w == k)).alias("n"), (-1 - i).alias("place")))
+        return F.concat(F.lit("topic "), (-F.array_max(times)["place"]).cast("string"))
 
+    one = F.transform(F.array(said), lambda x: F.when(F.size(x) > 0, best(x)))  # said is cut once
+    return F.coalesce(F.get(F.when(keys.isNotNull(), one), F.lit(0)), F.lit(OTHER))
+
+
+def topic_of(text: Column, lang: Column, names: Names) -> Column:
+    """The number of the key word of its language that a text says most often, the first on ties; OTHER if it says none."""
     if not names:
         return F.lit(OTHER)
-    said = F.filter(words_of(text), lambda x: x.isin(*sorted({w for words in names.values() for w in words})))
-    place = F.get(F.transform(F.array(said), best), F.lit(0))
-    return F.when(place < 0, F.concat(F.lit("topic "), (-place).cast("string"))).otherwise(OTHER)
+    keys = F.create_map(*[x for name, words in names.items() for x in (F.lit(name), F.array(*map(F.lit, words)))])
+    mine = F.try_element_at(keys, F.coalesce(lang, F.lit(NONE)))
+    return _topic(text, mine, F.array_join(mine, " "), min((len(w) for words in names.values() for w in words), default=1))
 
 
 def tokens_of(text: Column) -> Column:
@@ -111,9 +117,14 @@ def draw(id_col: Column) -> Column:
 
 
 def _celled(docs: DataFrame, topic: Column | None, cell: str, tokens: str) -> DataFrame:
-    text = F.col("text")
-    named = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": form_of(text) if topic is None else topic}
-    return docs.select("*", F.struct(*[F.coalesce(v, F.lit(NONE)).alias(k) for k, v in named.items()]).alias(cell), tokens_of(text).alias(tokens))
+    """docs with the cell and the tokens of each row; the key words of its language meet a row in one join, broadcast if the written table of them is small."""
+    text, lang, columns = F.col("text"), F.col("lang").cast("string"), [f"`{c}`" for c in docs.columns]
+    if topic is None:
+        keys, joined, of = unused(docs, "_keys", "_joined", "_of")
+        words = key_table(docs).select(F.col("lang").alias(of), F.col("keys").alias(keys), F.col("joined").alias(joined))
+        docs, topic = docs.join(words, F.coalesce(lang, F.lit(NONE)) == F.col(of), "left"), _topic(text, F.col(keys), F.col(joined))
+    named = {"source": F.col("source").cast("string"), "lang": lang, "topic": topic}
+    return docs.select(*columns, F.struct(*[F.coalesce(v, F.lit(NONE)).alias(k) for k, v in named.items()]).alias(cell), tokens_of(text).alias(tokens))
 
 
 def _aimed(cells: DataFrame, targets: dict[str, DataFrame] | None, flatten: float) -> DataFrame:
@@ -197,7 +208,10 @@ def _rates(held: DataFrame, cell: str, tokens: str, targets: dict[str, DataFrame
 
 def probabilities(docs: DataFrame, cell: str, tokens: str, p: str, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, flatten: float = FLATTEN, budget: float | None = BUDGET) -> DataFrame:
     """docs with three more columns under the given names: the cell, the tokens and the sampling probability."""
-    held = _celled(docs, topic, cell, tokens)
+    return _rated(_celled(docs, topic, cell, tokens), cell, tokens, p, targets, flatten, budget)
+
+
+def _rated(held: DataFrame, cell: str, tokens: str, p: str, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, budget: float | None = BUDGET) -> DataFrame:
     (of,) = unused(held, "_of")
     rates = _rates(held, cell, tokens, targets, flatten, budget).select(F.struct(*DIMENSIONS).alias(of), F.col("rate").alias(p))
     return held.join(rates, held[cell] == rates[of]).drop(of)
@@ -215,9 +229,10 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
     return probabilities(docs, cell, tokens, p, **options).where(draw(F.col("doc_id")) < F.col(p)).select(*[f"`{c}`" for c in docs.columns])
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """Every document with its cell, tokens, probability and whether it is drawn."""
-    rows = probabilities(docs.select("doc_id", "text", "source", "lang"), "cell", "tokens", "p", **options)
+def report(docs: DataFrame, topic: Column | None = None, **options) -> DataFrame:
+    """Every document with its cell, tokens, probability and whether it is drawn; cells and tokens are written, so that texts are cut into words for them once."""
+    held = saved(_celled(docs.select("doc_id", "text", "source", "lang"), topic, "cell", "tokens").drop("text", "source", "lang"), "celled")
+    rows = _rated(held, "cell", "tokens", "p", **options)
     return rows.select("doc_id", "cell.*", "tokens", F.round("p", 6).alias("p"), (draw(F.col("doc_id")) < F.col("p")).alias("kept"))
 
 
@@ -225,10 +240,16 @@ def oracle(sweeps: int = MAX_SWEEPS) -> str:
     """The same in SQL, with the sweeps written out."""
     cut = "coalesce(text, '')"
     draws = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0"
+    words = f"string_split_regex(translate({cut}, '{UPPER}', '{UPPER.lower()}'), '{WORD_BREAK}')"
     sql = [
-        f"doc AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE WHEN contains({cut}, ' | ') THEN 'table' "
-        f"WHEN length({cut}) < 500 THEN 'note' WHEN length({cut}) < 5000 THEN 'article' ELSE 'long read' END AS topic, "
-        f"greatest(1, len(regexp_extract_all({cut}, '{TOKEN}'))) AS tokens FROM documents)",
+        f"said AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, source, coalesce(lang, '{NONE}') AS lang, {words} AS words FROM documents)",
+        "held AS MATERIALIZED (SELECT lang, count(*) AS m FROM said GROUP BY lang)",
+        f"often AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_distinct(words)) AS w FROM said) WHERE length(w) >= {LEAST_LETTERS} GROUP BY lang, w)",
+        f"named AS MATERIALIZED (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS i FROM often JOIN held USING (lang) WHERE n * {RARE} >= m AND n * {COMMON} <= m QUALIFY i <= {TOPICS})",
+        "hit AS (SELECT r, i, count(*) AS n FROM (SELECT r, lang, unnest(words) AS w FROM said) JOIN named USING (lang, w) GROUP BY ALL)",
+        "topic AS (SELECT r, 'topic ' || i AS w FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, i) = 1)",
+        f"doc AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, lang, coalesce(w, '{OTHER}') AS topic, "
+        f"greatest(1, len(regexp_extract_all({cut}, '{TOKEN}'))) AS tokens FROM said LEFT JOIN topic USING (r))",
         "cell AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM doc GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
