@@ -49,52 +49,91 @@ def _code_widths(min_size: int, n: int) -> np.ndarray:
 
 
 WIDTHS = {m: _code_widths(m, MOST_CODES) for m in range(2, 9)}
+#: Codes that a stream of 8-bit samples adds between two clear codes, with that which no longer fits, and those of the samples; all eight bits up.
+FREE, RAISED = range(258 << 8, (MOST_CODES << 8) + 1, 1 << 8), [i << 8 for i in range(256)]
 OFFSETS = {m: np.concatenate([[0], np.cumsum(w)]) for m, w in WIDTHS.items()}
 
 
 def lzw_compress(data: bytes) -> bytes:
     """The LZW stream of 8-bit samples, with a clear code whenever the table is full."""
-    clear, end, codes, starts = 256, 257, [256], [1]
-    table: dict[int, int] = {}
-    put, free = codes.append, 258
+    clear, end = 256 << 8, 257 << 8  # codes stand eight bits up, so that a code and a sample add up to a key
+    codes, starts = [clear], [1]
+    put = codes.append
     samples = iter(data)
     word = next(samples, None)
     if word is not None:
-        for sample in samples:
-            key = word << 8 | sample
-            if key in table:
-                word = table[key]
+        word <<= 8
+    while word is not None:  # once for each clear code
+        table: dict[int, int] = {}
+        for free in FREE:
+            for sample in samples:
+                key = word + sample
+                if key in table:
+                    word = table[key]
+                else:
+                    break
             else:
                 put(word)
-                word = sample
-                if free < MOST_CODES:
-                    table[key] = free
-                    free += 1
-                else:
-                    put(clear)
-                    starts.append(len(codes))
-                    table, free = {}, 258
-        put(word)
+                word = None
+                break
+            put(word)
+            table[key] = free
+            word = RAISED[sample]
+        else:
+            put(clear)
+            starts.append(len(codes))
     put(end)
     at = np.arange(len(codes)) - np.repeat([0, *starts], np.diff([0, *starts, len(codes)]))
     widths = WIDTHS[8][np.minimum(at, MOST_CODES - 1)]
     widths[0] = 9
-    bits = np.unpackbits(np.array(codes, "<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    bits = np.unpackbits((np.array(codes) >> 8).astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
     return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
+def _strings(codes: np.ndarray, clear: int, most: int, skip: int = 0) -> bytes:
+    """The samples of the codes between two clear codes, without those of the first `skip` codes and `most` at most.
+
+    The k-th code after the end code names the k-th string and the sample after it, so that each sample is found
+    by following such references, all at once and doubled, back to a code that is a sample itself.
+    """
+    place, named = np.arange(len(codes)), codes - (clear + 2)
+    if codes[0] >= clear:
+        raise ValueError(f"code {codes[0]} comes first")
+    beyond = named >= place
+    if beyond.any():
+        raise ValueError(f"code {codes[beyond.argmax()]} is beyond the table")
+    deep = named >= 0
+    back = up = np.where(deep, named, place)
+    lengths, steps = deep.astype(np.int64), 0
+    while deep.take(up).any():
+        lengths += lengths.take(up)
+        up, steps = up.take(up), steps + 1
+    lengths += 1
+    ends = lengths.cumsum()
+    starts = ends - lengths
+    first = int(starts[skip])
+    size = min(int(ends[-1]), first + most)
+    source = np.arange(size) - (starts - starts.take(back)).repeat(lengths)[:size]
+    heads = starts[: starts.searchsorted(size)]
+    source[heads] = heads
+    for _ in range(steps):  # a sample is no deeper than its code
+        source = source.take(source)
+    out = np.zeros(size, np.uint8)
+    out[heads] = codes.take(up[: len(heads)])
+    return out.take(source[first:]).tobytes()
+
+
 def lzw_expand(data: bytes, min_size: int, most: int) -> bytes:
     """The samples of an LZW stream, `most` at most; a stream may end without its end code."""
     clear, end = 1 << min_size, (1 << min_size) + 1
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
-    n_bits, at, made = 8 * len(data), 0, 0
+    n_bits, at, made, left = 8 * len(data), 0, 0, most
     widths, offsets = WIDTHS[min_size], OFFSETS[min_size]
-    base: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    put, table, prev = out.append, list(base), b""
-    room = MOST_CODES - len(base) + 1  # codes after a clear code until the table is full
+    none = table = np.zeros(0, np.int64)  # the codes since the last clear code, as far as they make the table
+    room = MOST_CODES - clear - 1  # codes after a clear code until the table is full
     while at < n_bits and made < most:
-        if not prev:
+        if not len(table):
             n = min(int(np.searchsorted(offsets, n_bits - at, "right")) - 1, room)
             where, wide = at + offsets[:n], widths[:n]
         else:  # the table is full and no clear code has come: twelve bits each
@@ -106,36 +145,17 @@ def lzw_expand(data: bytes, min_size: int, most: int) -> bytes:
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (where & 7)) & ((1 << wide) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         last = int(stop[0]) if len(stop) else n
-        run = codes[:last].tolist()
-        if prev:
-            out += [table[code] for code in run]
-        elif run:
-            if run[0] >= clear:
-                raise ValueError(f"code {run[0]} comes first")
-            prev, free = base[run[0]], len(base)
-            put(prev)
-            grow = table.append
-            for code in run[1:]:
-                if code < free:
-                    word = table[code]
-                    grow(prev + word[:1])
-                elif code == free:
-                    word = prev + prev[:1]
-                    grow(word)
-                else:
-                    raise ValueError(f"code {code} is beyond the table")
-                free += 1
-                put(word)
-                prev = word
+        if last:
+            out.append(_strings(np.concatenate([table, codes[:last]]), clear, left, len(table)))
+            left -= len(out[-1])
         made += last  # a lower bound
         if last < n:
             if codes[last] == end:
                 break
-            at = int(where[last] + wide[last])
-            table, prev = list(base), b""
+            at, table = int(where[last] + wide[last]), none
         else:
-            at = int(where[-1] + wide[-1])
-    return b"".join(out)[:most]
+            at, table = int(where[-1] + wide[-1]), table if len(table) else codes
+    return b"".join(out)
 
 
 def _blocks(data: bytes) -> bytes:
